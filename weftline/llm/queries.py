@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import embed_dedup, licences, mixing, packing, quality, topk, url_filter
+from weftline.llm import embed_dedup, licences, mixing, ngrams, packing, quality, substrings, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"), window=35)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -51,6 +59,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1,
+    "op2_ngram_jaccard_join": op2,
+    "op3_substring_dedup": op3,
     "op5_embedding_near_dedup": op5,
     "op6_exact_top_k": op6,
     "op7_license_scan": op7,
