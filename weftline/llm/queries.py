@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import embed_dedup, licences, mixing, ngrams, packing, quality, substrings, topk, url_filter
+from weftline.llm import embed_dedup, html_text, licences, mixing, ngrams, packing, quality, substrings, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"), window=35)
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_best_fit_packing": op1,
     "op2_ngram_jaccard_join": op2,
     "op3_substring_dedup": op3,
+    "op4_html_extraction": op4,
     "op5_embedding_near_dedup": op5,
     "op6_exact_top_k": op6,
     "op7_license_scan": op7,
@@ -69,4 +74,42 @@ QUERIES = {
     "op10_quality_classifier": op10,
 }
 
-ORACLES: dict[str, str] = {}
+#: op1-op5, op7's fuzzy labels, op10: SQL can't express the method's rows; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id AS query_id, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM v WHERE vec_id % 100 = 0),
+        c AS (SELECT vec_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM v),
+        s AS (SELECT query_id, vec_id, CAST(sum(w * x) AS BIGINT) AS score FROM q JOIN c USING (k) WHERE query_id <> vec_id GROUP BY ALL),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op8_url_filter": r"""
+        WITH RECURSIVE p AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        n AS (SELECT *, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^((?s:.*?))://', 1)) || '://' || host || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END AS node FROM p),
+        tags AS (SELECT node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<link\b[^>]*>')) AS t FROM n),
+        links AS (SELECT DISTINCT node AS a, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>#]+)', 1) AS b FROM tags WHERE regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical')),
+        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM both UNION SELECT r.a, b.b FROM reach r JOIN both b ON r.b = b.a),
+        nodes AS (SELECT node, host, path FROM n UNION SELECT b, lower(regexp_extract(b, '://([^/?#]*)', 1)), regexp_extract(b, '://[^/?#]*([^?#]*)', 1) FROM links),
+        rules(kind, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fit AS (SELECT node, arg_max(h || q, length(h || q)) AS rule, arg_max(kind, length(h || q)) AS kind FROM nodes JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY node),
+        spread AS (SELECT r.a AS node FROM reach r JOIN fit f ON f.node = r.b GROUP BY r.a HAVING bool_or(f.kind = 'block') AND NOT bool_or(f.kind = 'allow'))
+        SELECT page_id, n.host, n.path, f.rule, coalesce(f.kind, CASE WHEN s.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+        FROM n LEFT JOIN fit f ON f.node = n.node LEFT JOIN spread s ON s.node = n.node""",
+    "op9_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        s AS (SELECT source, sum(size) AS source_size, list_value(3, 1, 2)[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+        f AS (SELECT *, CAST(source_size AS DOUBLE) / w AS ratio FROM s),
+        c AS (SELECT *, (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS each,
+            coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f),
+        k AS (SELECT arg_min(each, used) AS factor FROM c WHERE each * w <= 2.0 * source_size),
+        t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(2.0 * source_size, factor * w) AS DOUBLE) AS target, CAST(floor(least(2.0 * source_size, factor * w) + 0.5) AS BIGINT) AS quota FROM c, k),
+        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+        SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)) AS BIGINT) AS taken
+        FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+}
