@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,32 +23,85 @@ CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 3, 4
 #: Bins of a first round with more room than this are opened again and packed together.
 ROOM = 32
 #: Words whose ids a Python worker keeps at most.
-KNOWN = 400_000
+KNOWN = 1_200_000
 
 
 @lru_cache(2)
 def _encoder(path: str) -> tuple:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    return tokenizer, ends, {}
 
 
-def token_ids(text: bytes, path: str) -> bytes:
-    """Ids of a text as little-endian unsigned 32-bit numbers, with the end id 0.
+def _words(text: bytes) -> list[bytes]:
+    """A-Z fall to lower case, as the vocabulary has it, unless that could make a special token of what is none."""
+    return (text if b"<|" in text else text.lower()).split()
 
-    The vocabulary splits at white space before all else, so a text's ids are those of its words in a row, and each word is encoded once.
+
+#: Signs that stand as a token run of their own after letters (no apostrophe: some letters after it belong to it).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _encoded(tokenizer: "Tokenizer", ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of each word. Words of letters alone are one run each, whose last id ends it, so they are encoded in one text."""
+    plain = [k for k, w in enumerate(words) if w.isalpha()]
+    out: list[bytes | None] = [None] * len(words)
+    if plain:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(plain):
+            raw, a = ids.tobytes(), 0
+            for k, c in zip(plain, (4 * cuts).tolist()):
+                out[k] = raw[a:c]
+                a = c
+    rest = [k for k, x in enumerate(out) if x is None]
+    for k, e in zip(rest, tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+        out[k] = array("I", e.ids).tobytes()
+    return out
+
+
+def token_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of texts as little-endian unsigned 32-bit numbers, with the end id 0.
+
+    The vocabulary splits at white space before all else, so a text's ids are those of its words in a row, and each word is
+    encoded once. It also splits letters from signs, so letters with signs after them have the ids of both.
     """
-    tokenizer, known = _encoder(path)
-    words = text.split()
-    try:
-        return b"".join([known[w] for w in words]) + b"\0\0\0\0"
-    except KeyError:
+    tokenizer, ends, known = _encoder(path)
+    words = [_words(t) for t in texts]
+    missing = [w for w in set().union(*words) if w not in known]
+    if missing:
         if len(known) > KNOWN:
             known.clear()
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words]) + b"\0\0\0\0"
+            missing = list(set().union(*words))
+        parts = {}
+        for w in missing:
+            s = w.decode()
+            head = s.rstrip(SIGNS)
+            parts[w] = (head, s[len(head) :]) if len(head) < len(s) and head.isalpha() else (s,)
+        new = {p: p.encode() for x in parts.values() for p in x}
+        new = {p: e for p, e in new.items() if e not in known}
+        known.update(zip(new.values(), _encoded(tokenizer, ends, list(new))))
+        for w, x in parts.items():
+            if len(x) > 1:
+                known[w] = known[x[0].encode()] + known[x[1].encode()]
+    return [b"".join([known[w] for w in x]) + b"\0\0\0\0" for x in words]
+
+
+def _grouped(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of whole texts of about ``size`` bytes."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def tokenised(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
@@ -56,8 +111,8 @@ def tokenised(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_string()).cast(pa.large_binary())):
-                ids = token_ids(t.as_buffer().to_pybytes() if t.is_valid else b"", path)
+            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text").cast(pa.large_string()).cast(pa.large_binary()))
+            for d, ids in zip(b.column("doc_id").to_pylist(), (i for g in _grouped(texts) for i in token_ids(g, path))):
                 for p, a in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[a : a + 4 * limit]
                     for c, v in zip(out, (d, p, a // 4, len(part) // 4, zlib.crc32(part), part)):
