@@ -78,8 +78,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
-            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         q AS (SELECT vec_id AS query_id, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM v WHERE vec_id % 100 = 0),
         c AS (SELECT vec_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM v),
         s AS (SELECT query_id, vec_id, CAST(sum(w * x) AS BIGINT) AS score FROM q JOIN c USING (k) WHERE query_id <> vec_id GROUP BY ALL),
