@@ -16,8 +16,16 @@ SPREAD = 4
 KIND = "bucket int, keys binary, vals binary"
 
 
-def packets(keys: np.ndarray, vals: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Records dealt to buckets by the high bits of their 64-bit keys; ``vals`` has 64-bit columns."""
+def short_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys cut to the bucket and 32 bits. Buckets grow in number with the records, so keys that are one thereby stay as rare."""
+    return ((((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | (keys & np.uint64(2**32 - 1))
+
+
+def packets(keys: np.ndarray, vals: np.ndarray, buckets: int, short: bool = False) -> Iterator[pa.RecordBatch]:
+    """Records dealt to buckets by the high bits of their 64-bit keys; ``vals`` holds a row of numbers for each.
+
+    ``short``: only the low 32 bits of keys are sent, see ``short_keys``.
+    """
     if not len(keys):
         return
     order = np.argsort(keys, kind="stable")
@@ -25,6 +33,7 @@ def packets(keys: np.ndarray, vals: np.ndarray, buckets: int) -> Iterator[pa.Rec
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     on = np.flatnonzero(np.diff(cuts))
+    keys = keys.astype(np.uint32) if short else keys
     cols = [pa.array(on.astype(np.int32)), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in on], pa.binary()) for x in (keys, vals))]
     yield pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "vals"])
 
@@ -57,19 +66,20 @@ def exchanged(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, F.xxhash64("bucket"))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.uint64, short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted (keys, vals) of each bucket of a partition; of buckets below 0 each packet by itself."""
     held: dict[int, list] = {}
     for b in batches:
         for bucket, k, v in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), b.column("vals").to_pylist()):
             if bucket < 0:
-                yield np.frombuffer(k, np.uint64), np.frombuffer(v, np.uint64).reshape(-1, width)
+                yield np.frombuffer(k, np.uint64), np.frombuffer(v, kind).reshape(-1, width)
             else:
                 held.setdefault(bucket, []).append((k, v))
     for bucket in sorted(held):
         parts = held.pop(bucket)
-        keys = np.frombuffer(b"".join(k for k, _ in parts), np.uint64)
-        vals = np.frombuffer(b"".join(v for _, v in parts), np.uint64).reshape(-1, width)
+        keys = np.frombuffer(b"".join(k for k, _ in parts), np.uint32 if short else np.uint64)
+        keys = keys | np.uint64(bucket << 32) if short else keys
+        vals = np.frombuffer(b"".join(v for _, v in parts), kind).reshape(-1, width)
         order = np.argsort(keys, kind="stable")
         yield keys[order], vals[order]
 

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.exchange import KIND, buckets, exchanged, gathered, repeated, split_repeats
-from weftline.llm.store import cut
+from weftline.llm.exchange import KIND, SPREAD, exchanged, gathered, packets, repeated, split_repeats
 from weftline.llm.words import blocks, hashed, mix
 
 WINDOW = 35
+#: Records that a task holds before it sends them.
+RECORDS = 1 << 20
 
 
 def reach(window: int) -> tuple[int, int]:
@@ -124,45 +126,70 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     return chosen, value[chosen]
 
 
-def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for i, j, data, at in blocks(b.column("text")):
+def _text(b: pa.RecordBatch, text: str) -> pa.Array:
+    return pc.struct_field(b.column("row"), text)
+
+
+def _texts(b: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for i, j, data, at in blocks(_text(b, text)):
         yield i, j, data, *hashed(data, at)
 
 
+def _records(uid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Row and place in 12 bytes."""
+    return np.column_stack([uid.view(np.uint32).reshape(-1, 2), at.astype(np.uint32)])
+
+
 def _owner(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, at, "right") - 1
 
 
-def _keyed(window: int, n: int) -> "callable":
+def _keyed(text: str, window: int, n: int) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packets of (anchor key; row, place)."""
         for b in batches:
             uid = b.column("uid").to_numpy().view(np.uint64)
             keys, vals = [], []
-            for i, j, _, h, _, _, first in _texts(b):
+            for i, j, _, h, _, _, first in _texts(b, text):
                 at, key = anchors(h, first, window)
                 doc = _owner(first, at)
                 keys.append(key)
-                vals.append(np.stack([uid[i:j][doc], (at - first[doc]).astype(np.uint64)], axis=1))
+                vals.append(_records(uid[i:j][doc], at - first[doc]))
             if keys:
                 yield from split_repeats(np.concatenate(keys), np.concatenate(vals), n, int(uid[0]))
 
     return run
 
 
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, places) of records whose key stands there more than once."""
-    for keys, vals in gathered(batches, 2):
-        got = vals[repeated(keys)]
-        if not len(got):
-            continue
-        got = got[np.lexsort((got[:, 1], got[:, 0]))]
-        cuts = np.flatnonzero(np.concatenate([[True], got[1:, 0] != got[:-1, 0], [True]]))
-        places = [got[a:b, 1].astype(np.int64).astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(got[cuts[:-1], 0].view(np.int64)), pa.array(places, pa.binary())], ["uid", "places"])
+def _twice(n: int) -> "callable":
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packets of (row; place) of records whose key stands there more than once."""
+        held, count = [], 0
+        for keys, vals in gathered(batches, 3, np.uint32):
+            held.append(vals[repeated(keys)])
+            count += len(held[-1])
+            if count >= RECORDS:
+                yield from _to_rows(np.concatenate(held), n)
+                held, count = [], 0
+        if held:
+            yield from _to_rows(np.concatenate(held), n)
+
+    return run
+
+
+def _to_rows(records: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    yield from packets(np.ascontiguousarray(records[:, :2]).view(np.uint64)[:, 0], records[:, 2:], n)
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, places), a row for each uid."""
+    for uid, place in gathered(batches, 1, np.uint32):
+        cuts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1], [True]]))
+        places = [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(uid[cuts[:-1]].view(np.int64)), pa.array(places, pa.binary())], ["uid", "places"])
 
 
-def _windowed(window: int, n: int) -> "callable":
+def _windowed(text: str, window: int, n: int) -> "callable":
     rounds, side = reach(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,12 +197,12 @@ def _windowed(window: int, n: int) -> "callable":
         for b in batches:
             uid, places = b.column("uid").to_numpy().view(np.uint64), b.column("places").to_pylist()
             keys, vals = [], []
-            for i, j, _, h, _, _, first in _texts(b):
+            for i, j, _, h, _, _, first in _texts(b, text):
                 if len(h) < window:
                     continue
                 change = np.zeros(len(h) + 2, np.int64)
                 for d, p in enumerate(places[i:j]):
-                    at = np.concatenate([np.frombuffer(x, np.int32) for x in p]).astype(np.int64)
+                    at = np.frombuffer(p, np.uint32).astype(np.int64)
                     lo = np.maximum(at - (window - side if rounds else 0), 0)
                     hi = np.minimum(at - side if rounds else at, first[d + 1] - first[d] - window)
                     on = lo <= hi
@@ -184,18 +211,18 @@ def _windowed(window: int, n: int) -> "callable":
                 at = np.flatnonzero(np.cumsum(change[:-2]) > 0)
                 doc = _owner(first, at)
                 keys.append(spans(h, window)[at])
-                vals.append(np.stack([uid[i:j][doc], (at - first[doc]).astype(np.uint64)], axis=1))
+                vals.append(_records(uid[i:j][doc], at - first[doc]))
             if keys:
                 yield from split_repeats(np.concatenate(keys), np.concatenate(vals), n, int(uid[0]))
 
     return run
 
 
-def _removed(window: int) -> "callable":
+def _removed(text: str, window: int) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What is left of each text: (row, n_words, n_removed, kept), kept words joined by one blank."""
         for b in batches:
-            texts = b.column("text").cast(pa.large_string()).cast(pa.large_binary())
+            texts = _text(b, text).cast(pa.large_string()).cast(pa.large_binary())
             n_words, n_removed, kept = [], [], []
             for t, p in zip(texts, b.column("places").to_pylist()):
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
@@ -203,7 +230,7 @@ def _removed(window: int) -> "callable":
                 gone = 0
                 if p:
                     change = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in p]))
+                    at = np.unique(np.frombuffer(p, np.uint32)).astype(np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
                     stay = np.cumsum(change[:-1]) <= 0
@@ -225,21 +252,22 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of their own, so equal rows lose all their windows. No rows give no rows.
 
     Two passes exchange records: anchors of recompression symbols (about one in ten words), then windows around anchors that are shared. A window's
-    own hash decides, so a shared symbol alone removes nothing. Records are of fixed size and dealt by hash, in packets; one key's records
-    meet in one bucket as 24 bytes each, and only the row and place of repeated ones go on. Hashes of 64 bits stand for word sequences and rows.
+    own hash decides, so a shared symbol alone removes nothing. Records are of fixed size and dealt by hash, in packets; a key sends one record a
+    packet to its bucket, and only the row and place of repeated ones go on. Hashes of 64 bits stand for word sequences and rows.
+    Texts are dealt by row once: all three passes read whole rows, so that Spark finds one exchange in the plan thrice and writes it once.
     """
-    rows = docs.select(F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
-    words = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"] // 4
-    n, many = buckets(docs, words // 10, 3)
-    keyed = exchanged(rows.mapInArrow(_keyed(window, many), KIND), n)
-    shared = cut(keyed.mapInArrow(_twice, "uid long, places binary").groupBy("uid").agg(F.collect_list("places").alias("places")))
-    again = rows.join(shared, "uid").select("uid", "text", "places")
-    seen = exchanged(again.mapInArrow(_windowed(window, many), KIND), n)
-    starts = cut(seen.mapInArrow(_twice, "uid long, places binary").groupBy("uid").agg(F.collect_list("places").alias("places")))
-    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).join(starts, "uid", "left")
-    whole = whole.select("row", F.col(f"row.{text}").alias("text"), "places")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).repartition(n, "uid")
+    many = n * SPREAD
+    keyed = exchanged(rows.mapInArrow(_keyed(text, window, many), KIND), n)
+    shared = exchanged(keyed.mapInArrow(_twice(many), KIND), n).mapInArrow(_by_row, "uid long, places binary")
+    seen = exchanged(rows.join(shared, "uid").mapInArrow(_windowed(text, window, many), KIND), n)
+    starts = exchanged(seen.mapInArrow(_twice(many), KIND), n).mapInArrow(_by_row, "uid long, places binary")
+    whole = rows.join(starts, "uid", "left")
     kind = whole.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
-    return whole.mapInArrow(_removed(window), kind)
+    for f in kind:
+        f.nullable = True
+    return whole.mapInArrow(_removed(text, window), kind)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
