@@ -7,22 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.store import cut
+
 MOST_DEPTH, MOST_NODES, MOST_PATHS = 20, 2000, 200
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", key: list[str] | None = None) -> DataFrame:
     """(key..., id, hop) of what edges lead to from the seeds (key..., id) within ``depth`` hops, the seeds at hop 0; the least hop of each.
 
-    A hop is one join and one aggregation that keeps the least; the plan has ``depth`` of them and needs no driver loop.
+    A hop joins what the last one found with the edges and leaves out what was seen; each is checkpointed, and an empty one ends the walk.
     """
     key = key or []
     step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
-    seen = seeds.select(*key, "id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    seen = front = cut(seeds.select(*key, "id").distinct().withColumn("hop", F.lit(0)))
     for h in range(1, min(depth, MOST_DEPTH) + 1):
-        front = front.where(F.col("hop") == h - 1).join(step, F.col("id") == F.col("_from")).select(*key, F.col("_to").alias("id"), F.lit(h).alias("hop")).distinct()
-        seen = seen.unionByName(front).groupBy(*key, "id").agg(F.min("hop").alias("hop"))
-        front = seen
+        found = front.join(step, F.col("id") == F.col("_from")).select(*key, F.col("_to").alias("id")).distinct()
+        front = cut(found.join(seen, [*key, "id"], "left_anti").withColumn("hop", F.lit(h)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -78,9 +81,11 @@ def task_levels(edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
 
 def peeled(edges: DataFrame, rounds: int) -> DataFrame:
     """Edges left after nodes without incoming edges have been taken away, with theirs, so many times; none are left of a graph without cycles."""
-    left = edges.select("src", "dst").distinct()
+    left = cut(edges.select("src", "dst").distinct())
     for _ in range(rounds):
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        if left.isEmpty():
+            break
     return left
 
 
@@ -90,7 +95,7 @@ def layers(edges: DataFrame, nodes: DataFrame, rounds: int, key: list[str] | Non
     level = nodes.select(*key, "id").withColumn("layer", F.lit(0))
     for _ in range(rounds):
         up = level.join(edges.withColumnRenamed("src", "id"), [*key, "id"]).select(*key, F.col("dst").alias("id"), (F.col("layer") + 1).alias("layer"))
-        level = level.unionByName(up).groupBy(*key, "id").agg(F.max("layer").alias("layer"))
+        level = cut(level.unionByName(up).groupBy(*key, "id").agg(F.max("layer").alias("layer")))
     return level.withColumn("x", 50 + 220 * F.col("layer"))
 
 
