@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("plans.filtering", "plans.aggregation", "plans.joining", "plans.lineage", "plans.readiness", "plans.corpus")
+MODULES = ("plans.filtering", "plans.aggregation", "plans.joining", "plans.lineage", "plans.readiness", "plans.corpus", "plans.platform")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
