@@ -81,7 +81,7 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
         for w in missing:
             s = w.decode()
             head = s.rstrip(SIGNS)
-            parts[w] = (head, s[len(head) :]) if len(head) < len(s) and head.isalpha() else (s,)
+            parts[w] = (head, s[len(head) :]) if len(head) < len(s) and head.isalpha() and head.lower().isalpha() else (s,)
         new = {p: p.encode() for x in parts.values() for p in x}
         new = {p: e for p, e in new.items() if e not in known}
         known.update(zip(new.values(), _encoded(tokenizer, ends, list(new))))
