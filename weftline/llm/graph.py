@@ -18,21 +18,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes, which takes about the logarithm of the longest path.
     Smallest neighbours are taken by partial aggregation and joined back, so a node with very many edges is a skewed join
-    that Spark may split, never one group in one task. Each step is checkpointed. Edges with a null end and loops count for
+    that Spark may split, never one group in one task. Each round is checkpointed. Edges with a null end and loops count for
     nothing but their own nodes; no edges give no rows. Ends may be numbers or strings, of one type.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     stars = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    before = _mark(stars)
+    while before[0]:
         both = stars.union(stars.select("b", "a"))
         near = cut(_nearest(both))
         large = both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.union(near.select("a", F.col("m").alias("b"))).distinct())
-        near = cut(_nearest(large.where("b <= a")))
-        small = large.where("b <= a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = cut(small.union(near.select("a", F.col("m").alias("b"))).where("b <= a").distinct())
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        large = large.union(near.select("a", F.col("m").alias("b"))).where("b <= a").distinct()
+        near = _nearest(large)
+        small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = cut(small.union(near.select("a", F.col("m").alias("b"))).distinct())
+        now = _mark(stars)
         if now == before:
-            return stars.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component"))
+            break
         before = now
+    return stars.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _mark(stars: DataFrame) -> tuple:
+    """Number and sum of hashes of edges: the same for the same edges."""
+    return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import erfc, exp, sqrt
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated
+from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
 from weftline.llm.store import cut, pick
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
 WORDS, PERCENT = 5, 80
-#: Documents of one signature in a task, when those of different components are paired.
+#: Signature records that a task holds before it sends them.
+RECORDS = 1 << 20
+#: Documents of one signature in a tile, when those of different components are paired.
 TILE = 256
 ROLE = np.uint64(1)
+PARITY = 2048
 
 
 class Band(NamedTuple):
@@ -48,18 +50,13 @@ def bands(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, tuple[Band, ...
     found = []
     for k in range(len(low) - 1):
         most, n = (low[k + 1] - 1) * (100 - percent) // percent, (low[k] + low[k + 1]) / 2
-        costs = []
-        for spare in range(0, 200):
+        costs, usual = {}, (most + 1) * exp(-n / (most + 1))
+        start, end = int(max(0, usual - 3 * sqrt(usual) - 2)), int(1.3 * usual + 9 * sqrt(usual) + 6)
+        for spare in range(start, end, 1 + (end - start) // 200):
             m = most + 1 + spare
             mean = m * exp(-n / m)
-            p = total = exp(-mean)
-            for i in range(1, spare + 1):
-                p *= mean / i
-                total += p
-            costs.append(m + max(0.0, 1 - total) * n)
-            if len(costs) > 3 and costs[-1] > costs[-2] > costs[-3]:
-                break
-        spare = int(np.argmin(costs))
+            costs[spare] = m + n * 0.5 * erfc((spare + 0.5 - mean) / sqrt(2 * mean))
+        spare = min(costs, key=costs.get)
         found.append(Band(k, most, spare, most + 1 + spare))
     return np.array(low), tuple(found)
 
@@ -90,6 +87,12 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(a & ~np.uint64(3)), int(b)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """PARITY bits, each the parity of how many elements fall on it: of two sets, no more of them differ than elements do."""
+    odd = np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def signatures(x: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, bool]]:
     """(signatures, whether they are of sets less one element) of a set of sorted hashes, for each band that it takes part in.
 
@@ -125,13 +128,16 @@ def signatures(x: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarr
 def _thin(words: int, seed: int) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prints = [], []
+            sizes, prints, maps = [], [], []
             for _, _, data, at in blocks(b.column("text")):
                 for x in shingles(data, at, words, seed):
                     sizes.append(len(x))
                     prints.append(fingerprint(x))
+                    maps.append(parity(x))
             both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "uid", "n", "node", "check"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
+            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), bits]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits"])
 
     return run
 
@@ -153,42 +159,48 @@ def _grouped(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _signed(words: int, percent: int, seed: int, n: int) -> "callable":
+    def packed(keys: np.ndarray, nodes: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        twice = repeated(keys)
+        k, v, begin = _grouped(keys[twice], nodes[twice])
+        size = np.repeat(np.diff(begin), np.diff(begin))
+        hot = size > 2
+        if hot.any():
+            cols = [pa.array([-1 - (turn + int(v[0] >> np.uint64(2))) % n], pa.int32()), *(pa.array([x[hot].tobytes()], pa.binary()) for x in (short_keys(k, n), v))]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "vals"])
+        lead = np.zeros(len(k), bool)
+        lead[begin[:-1]] = True
+        send = ~hot | lead
+        # bit 1 of a leader's node says that the others of its signature stay in the other bucket
+        v = v[send] | (hot[send].astype(np.uint64) << np.uint64(1))
+        yield from packets(np.concatenate([keys[~twice], k[send]]), np.concatenate([nodes[~twice], v]), n, short=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packets of (signature; node, kept here). A signature that three or more nodes of a batch have goes to a bucket below 0
+        """Packets of (signature; node, kept here) for about RECORDS records at a time. A signature that three or more of their nodes have goes to a bucket below 0
         with all of them, and only with the first of them to its own bucket."""
-        for turn, b in enumerate(batches):
-            keys, nodes = [], []
+        keys, nodes, held, turn = [], [], 0, 0
+        for b in batches:
             for _, _, data, at in blocks(b.column("text")):
                 for x in shingles(data, at, words, seed):
                     if len(x):
                         node = fingerprint(x)[0]
                         for s, less in signatures(x, percent):
                             keys.append(s)
-                            nodes.append(np.full(len(s), node + less, np.uint64))
-            if not keys:
-                continue
-            keys, nodes = np.concatenate(keys), np.concatenate(nodes)
-            order = np.argsort(keys)
-            keys, nodes = keys[order], nodes[order]
-            twice = repeated(keys)
-            k, v, begin = _grouped(keys[twice], nodes[twice])
-            size = np.repeat(np.diff(begin), np.diff(begin))
-            hot = size > 2
-            if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - (turn + int(v[0] >> np.uint64(2))) % n], pa.int32()), *(pa.array([x[hot].tobytes()], pa.binary()) for x in (k, v))], ["bucket", "keys", "vals"])
-            lead = np.zeros(len(k), bool)
-            lead[begin[:-1]] = True
-            send = ~hot | lead
-            # bit 1 of a leader's node says that the others of its signature stay in the other bucket
-            v = v[send] | (hot[send].astype(np.uint64) << np.uint64(1))
-            yield from packets(np.concatenate([keys[~twice], k[send]]), np.concatenate([nodes[~twice], v]), n)
+                            nodes.append((len(s), node + less))
+                            held += len(s)
+                if held >= RECORDS:
+                    yield from packed(np.concatenate(keys), np.repeat(np.array([v for _, v in nodes], np.uint64), [c for c, _ in nodes]), turn)
+                    keys, nodes, held, turn = [], [], 0, turn + 1
+        if keys:
+            yield from packed(np.concatenate(keys), np.repeat(np.array([v for _, v in nodes], np.uint64), [c for c, _ in nodes]), turn)
 
     return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (each node with the first of its signature), and the records of signatures that three nodes or more have."""
-    for keys, vals in gathered(batches, 1):
+    for keys, vals in gathered(batches, 1, short=True):
         twice = repeated(keys)
         k, v, begin = _grouped(keys[twice], vals[twice, 0] & ~np.uint64(2))
         hot = np.zeros(len(k), bool)
@@ -230,24 +242,6 @@ def _sets(words: int, seed: int) -> "callable":
     return run
 
 
-def _tiled(percent: int) -> "callable":
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two tiles of one signature's nodes that are of different components and whose sizes allow a link."""
-        lo, hi = group.lo.iloc[0], group.hi.iloc[0]
-        a, b = (group[group.tile == t] for t in (lo, hi))
-        size = lambda x: x.n.to_numpy()
-        ok = a.component.to_numpy()[:, None] != b.component.to_numpy()[None, :]
-        ok &= ~(a.less.to_numpy()[:, None] & b.less.to_numpy()[None, :])
-        ok &= 100 * np.minimum(size(a)[:, None], size(b)[None, :]) >= percent * np.maximum(size(a)[:, None], size(b)[None, :])
-        i, j = np.nonzero(ok)
-        if lo == hi:
-            i, j = i[i < j], j[i < j]
-        x, y = a.node.to_numpy()[i], b.node.to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return run
-
-
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): a row per row of ``docs`` with doc_id, n and node; and each node's component, the smallest doc_id in it.
 
@@ -263,24 +257,25 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     Should two sets have one node number (64 bits) all is done again with other hashes. Null ids are no smallest ids; extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
-    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long"))
-    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid")))
+    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits array<long>"))
+    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("bits").alias("bits")))
     count = nodes.agg(F.count("*").alias("all"), F.count_distinct("node").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
     if count["all"] != count["different"]:
         return links(docs, doc_id, text, words, percent, seed + 1)
-    n, many = buckets(docs, count["elements"] * (100 - percent) // percent * 2, 2)
+    n, many = buckets(docs, count["elements"] * (100 - percent) * 2 // percent, 2)
     signed = exchanged(rows.mapInArrow(_signed(words, percent, seed, many), KIND), n)
     met = cut(signed.mapInArrow(_met, "a binary, b binary, keys binary, nodes binary"))
     sizes = nodes.select("node", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that are linked: their sets, from the texts again, are intersected."""
+        """Pairs that are linked: sizes and parities rule most others out, then the sets, from the texts again, are intersected."""
         for side in ("a", "b"):
-            pairs = pairs.join(sizes.withColumnsRenamed({"node": side, "n": f"n_{side}"}), side)
-        pairs = cut(pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "uid")
-        sets = pick(rows.select("uid", "text"), cut(needed), "uid").select("node", "text").mapInArrow(_sets(words, seed), "node long, x array<long>")
-        sets = cut(sets.groupBy("node").agg(F.any_value("x").alias("x")))  # a row may be there more than once
+            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+        pairs = cut(pairs.select("a", "b", "n_a", "n_b"))
+        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "uid"), "node"))
+        sets = pick(rows.select("uid", "text"), needed, "uid").select("node", "text").mapInArrow(_sets(words, seed), "node long, x array<long>")
         for side in ("a", "b"):
             pairs = pairs.join(sets.withColumnsRenamed({"node": side, "x": f"x_{side}"}), side)
         both = F.size(F.array_intersect("x_a", "x_b"))
@@ -293,11 +288,14 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     records = records.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = records.groupBy("keys").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
     mixed = cut(mixed.select("keys", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
-    left = records.join(mixed, "keys").join(sizes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
-    pairs = left.groupBy("keys", "lo", "hi").applyInPandas(_tiled(percent), "a long, b long").distinct()
+    left = cut(records.join(mixed, "keys").join(sizes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    x = left.select("keys", F.col("tile").alias("lo"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("hi"), *(F.col(c).alias(f"{c}_a") for c in ("node", "less", "n", "component")))
+    y = left.select("keys", F.explode(F.sequence(F.lit(0), "tile")).alias("lo"), F.col("tile").alias("hi"), *(F.col(c).alias(f"{c}_b") for c in ("node", "less", "n", "component")))
+    fits = f"component_a <> component_b and not (less_a and less_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (lo < hi or node_a < node_b)"
+    pairs = x.join(y, ["keys", "lo", "hi"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     second = verified(pairs)
-    parts = components(first.union(second))
+    # stars of the first components and the new links: what is joined already needs no second search
+    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
     joined = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = cut(joined)
     least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
