@@ -158,3 +158,20 @@ def context(line: Column, name: Column) -> Column:
 def script_subset(kind: Column, text: Column) -> Column:
     """python, shell or sql: by declared kind, else by the look of the text; sql if nothing tells."""
     return F.coalesce(F.when(F.lower(kind).isin("python", "pyspark"), "python").when(F.lower(kind).isin("shell", "bash"), "shell"), F.when(text.rlike(r"(?m)^\s*(import|from|def)\s"), "python").when(text.rlike(r"(?m)^#!.*sh|^\s*(echo|export)\s"), "shell"), F.lit("sql"))
+
+
+def job_kind(path: Column, text: Column) -> Column:
+    """job or library: by path, then by what a script does at its top level."""
+    return F.when(path.rlike(r"(?i)(^|/)(tests?|lib|utils?|setup)(/|\.|$)"), "library").when(text.rlike(r"(?m)^\s*if __name__|spark\.|\.write"), "job").otherwise("library")
+
+
+def legal_name(name: Column) -> Column:
+    return F.coalesce(name.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*){0,2}$"), F.lit(False))
+
+
+def literal_reject(name: Column, text: Column) -> Column:
+    """Why a name is no table that a script names literally: blank, dynamic, path, absent, or view; null if it is."""
+    last = leaf(name)
+    view = F.concat(F.lit(r"(?i)(createOrReplaceTempView\(\s*['\"]|\bwith\s+|,\s*)\Q"), last, F.lit(r"\E(['\"]|\s+as\s*\()"))
+    return (F.when(F.coalesce(F.trim(name), F.lit("")) == "", "blank").when(dynamic(name), "dynamic").when(name.rlike(r"[/\\]"), "path")
+            .when(~F.lower(text).contains(F.lower(last)), "absent").when(F.rlike(text, view), "view"))

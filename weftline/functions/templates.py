@@ -73,3 +73,7 @@ def resolve_lenient(text: str, biz_date: str, today: str, params: dict[str, str]
             return "${" + m[1].strip() + "}"
 
     return re.sub(r"\$\{([^}]*)\}", value, text)
+
+
+def is_date(text: str | None) -> bool:
+    return bool(re.fullmatch(r"\d{4}-\d{2}-\d{2}", text or ""))
