@@ -92,8 +92,8 @@ ORACLES: dict[str, str] = {
         n AS (SELECT *, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^((?s:.*?))://', 1)) || '://' || host || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END AS node FROM p),
         tags AS (SELECT node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<link\b[^>]*>')) AS t FROM n),
         links AS (SELECT DISTINCT node AS a, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>#]+)', 1) AS b FROM tags WHERE regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical')),
-        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-        reach AS (SELECT a, b FROM both UNION SELECT r.a, b.b FROM reach r JOIN both b ON r.b = b.a),
+        two_way AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM two_way UNION SELECT r.a, w.b FROM reach r JOIN two_way w ON r.b = w.a),
         nodes AS (SELECT node, host, path FROM n UNION SELECT b, lower(regexp_extract(b, '://([^/?#]*)', 1)), regexp_extract(b, '://[^/?#]*([^?#]*)', 1) FROM links),
         rules(kind, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         fit AS (SELECT node, arg_max(h || q, length(h || q)) AS rule, arg_max(kind, length(h || q)) AS kind FROM nodes JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY node),
