@@ -312,9 +312,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``docs``: that of its smallest id. Of rows that repeat that id one stays; rows without words all stay."""
-    found = near_duplicates(docs, doc_id, text, words, percent)
-    stay = cut(found.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stay"), (F.col("n_shingles") == 0).alias("_bare")).distinct())
+    found = near_duplicates(docs, doc_id, text, words, percent).where("n_shingles > 0")
+    stay = cut(found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct())
     bare = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = docs.withColumn("_bare_row", bare).join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.col("_bare") == F.col("_bare_row")))
-    bare_rows = kept.where("_bare_row").select(docs.columns)
-    return kept.where("not _bare_row").select(docs.columns).dropDuplicates([doc_id]).unionByName(bare_rows)
+    kept = docs.where(~bare).join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([doc_id])
+    return kept.select(docs.columns).unionByName(docs.where(bare))
