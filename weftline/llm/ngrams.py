@@ -24,6 +24,7 @@ RECORDS = 1 << 20
 TILE = 256
 ROLE = np.uint64(1)
 PARITY = 2048
+FOLD = ("f0", "f1", "f2", "f3")
 
 
 class Band(NamedTuple):
@@ -136,8 +137,10 @@ def _thin(words: int, seed: int) -> "callable":
                     maps.append(parity(x))
             both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
-            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), bits]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits"])
+            # folded to 4 words the parities still bound the difference from below, more coarsely
+            fold = np.bitwise_xor.reduce(np.array(maps, np.int64).reshape(-1, PARITY // 256, 4), axis=1)
+            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), bits, *(pa.array(fold[:, k].copy()) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits", *FOLD])
 
     return run
 
@@ -251,21 +254,20 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     1. Sets, as 128-bit fingerprints: rows with one set become one node.
     2. Signatures (see ``signatures``) meet in packets. Each node is a candidate with the first node of its signature, and candidates are
        verified on whole sets; so near copies fall into one component by as many pairs as there are copies and signatures.
-    3. Of signatures that three or more nodes have, those with several components are left; their nodes are paired, in tiles, if
+    3. Of signatures that three or more nodes have, those with several components are left; their nodes are paired, in tiles, if they are
        of different components and sizes that allow a link, and verified. Every linked pair shares a signature, so it has been verified or
        joined by others: no component is missed.
     Should two sets have one node number (64 bits) all is done again with other hashes. Null ids are no smallest ids; extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
-    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits array<long>"))
-    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("bits").alias("bits")))
+    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits array<long>, f0 long, f1 long, f2 long, f3 long"))
+    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("bits").alias("bits"), *(F.min(f).alias(f) for f in FOLD)))
     count = nodes.agg(F.count("*").alias("all"), F.count_distinct("node").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
     if count["all"] != count["different"]:
         return links(docs, doc_id, text, words, percent, seed + 1)
     n, many = buckets(docs, count["elements"] * (100 - percent) * 2 // percent, 2)
     signed = exchanged(rows.mapInArrow(_signed(words, percent, seed, many), KIND), n)
     met = cut(signed.mapInArrow(_met, "a binary, b binary, keys binary, nodes binary"))
-    sizes = nodes.select("node", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that are linked: sizes and parities rule most others out, then the sets, from the texts again, are intersected."""
@@ -288,10 +290,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     records = records.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = records.groupBy("keys").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
     mixed = cut(mixed.select("keys", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
-    left = cut(records.join(mixed, "keys").join(sizes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
-    x = left.select("keys", F.col("tile").alias("lo"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("hi"), *(F.col(c).alias(f"{c}_a") for c in ("node", "less", "n", "component")))
-    y = left.select("keys", F.explode(F.sequence(F.lit(0), "tile")).alias("lo"), F.col("tile").alias("hi"), *(F.col(c).alias(f"{c}_b") for c in ("node", "less", "n", "component")))
+    left = cut(records.join(mixed, "keys").join(nodes.select("node", "n", *FOLD), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    x = left.select("keys", F.col("tile").alias("lo"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("hi"), *(F.col(c).alias(f"{c}_a") for c in ("node", "less", "n", "component", *FOLD)))
+    y = left.select("keys", F.explode(F.sequence(F.lit(0), "tile")).alias("lo"), F.col("tile").alias("hi"), *(F.col(c).alias(f"{c}_b") for c in ("node", "less", "n", "component", *FOLD)))
     fits = f"component_a <> component_b and not (less_a and less_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (lo < hi or node_a < node_b)"
+    fits += f" and ({' + '.join(f'bit_count({f}_a ^ {f}_b)' for f in FOLD)}) * {100 + percent} <= (n_a + n_b) * {100 - percent}"
     pairs = x.join(y, ["keys", "lo", "hi"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     second = verified(pairs)
     # stars of the first components and the new links: what is joined already needs no second search
