@@ -149,7 +149,7 @@ def digest(plan: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = None, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` as ``mix`` takes them: repeated where taken twice, the last of a source cut after its words.
+    """The rows of ``docs`` as ``mix`` takes them: repeated where taken twice, the last of a source cut to its first words, joined by one blank.
 
     Rows come by shard, shuffled within it. ``n_chars`` names a column that holds the length of the text.
     """
@@ -157,7 +157,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     dealt, n = _dealt(goal, block, shard_blocks, seed)
     rows = _drawn(placed, cut(dealt), block).select("row", "shard", "rank", "start", "size", "words")
     rows = rows.repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", "rank", "start")
-    first = F.regexp_extract(f"row.{text}", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){"), (F.col("words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), F.lit(0))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     now = F.when(F.col("words") < F.col("size"), first).otherwise(F.col(f"row.{text}"))
     out = {c: F.col("row")[c] for c in docs.columns} | {text: now} | ({n_chars: F.length(now).cast(dict(docs.dtypes)[n_chars])} if n_chars else {})
     return rows.select(*(v.alias(k) for k, v in out.items()))
