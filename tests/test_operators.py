@@ -65,3 +65,13 @@ def test_mcnemar(spark):
     rows = spark.createDataFrame([(True, False)] * 4 + [(False, True)] * 20 + [(True, True)] * 5, "a boolean, b boolean")
     r = evaluation.mcnemar(rows, "a", "b").first()
     assert (r.b_only, r.c_only) == (4, 20) and abs(r.p - 0.0015) < 0.0005
+
+
+def test_ungrounded_names_as_brute_force(spark):
+    long = "x" * 60
+    docs = [(1, f"select a from {long}1"), (41, "only here"), (2, None), (3, "from b.c")]
+    names = [f"{long}1", f"{long}2", "b.c", "here", "here", " ", None]
+    gold = [(2, "b.c"), (3, f"{long}2"), (41, None), (None, "here")]
+    got = evaluation.ungrounded(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(gold, "doc_id long, name string"), "doc_id")
+    want = sorted((d, x) for d, text in docs for x in {x for x in names if x and x.strip()} if (d, x) not in gold and x not in (text or ""))
+    assert sorted(map(tuple, got.collect())) == want and (1, f"{long}2") in want

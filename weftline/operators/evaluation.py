@@ -68,6 +68,18 @@ def folds(rows: DataFrame, k: int, order: str) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(k)))
 
 
+def ungrounded(docs: DataFrame, names: DataFrame, gold: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, name) of each row of ``docs`` and each different name predicted for all of them that is neither gold for its key nor stands literally, as a whole, in its text.
+
+    names: name; gold: key, name. Blank names are none, a null text holds nothing. A key's gold names are one array beside its text, so pairs aren't
+    shuffled; Spark broadcasts the names only up to its own size limit, else it pairs blocks of both sides.
+    """
+    known = gold.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("name").alias("_gold"))
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("_text")).join(known, key, "left")
+    pairs = rows.crossJoin(names.where("trim(name) <> ''").select("name").distinct())
+    return pairs.where(~F.coalesce(F.array_contains("_gold", F.col("name")), F.lit(False)) & ~F.col("_text").contains(F.col("name"))).select(key, "name")
+
+
 def frontier(points: DataFrame, least: float) -> DataFrame:
     """The point of highest recall whose precision is enough."""
     return points.where(F.col("precision") >= least).agg(F.max_by("tier", F.struct("recall", "precision")).alias("tier"), F.max("recall").alias("recall"))

@@ -222,6 +222,16 @@ def ungrounded(t):
     return rows.where(~F.col("text").contains(F.col("name"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+_KEY = r"substr(sha256(regexp_replace(lower(trim({0}.text)), '\s+', ' ', 'g')), 1, 16)"
+
+
+@_r.query("evl_11_ungrounded_whole", f"SELECT d.doc_id, count(*) AS n FROM (SELECT doc_id, coalesce(text, '') AS text, {_KEY.format('documents')} AS k FROM documents) d CROSS JOIN (SELECT DISTINCT text, {_KEY.format('benchmark')} AS k FROM benchmark WHERE trim(text) <> '') b WHERE NOT contains(d.text, b.text) AND d.k IS DISTINCT FROM b.k GROUP BY d.doc_id")
+def ungrounded_whole(t):
+    names = t.read("benchmark").select(F.col("text").alias("name"))
+    gold = _docs(t).select("doc_id", s.dedup_key(F.col("text")).alias("k")).join(names.select("name", s.dedup_key(F.col("name")).alias("k")), "k").select("doc_id", "name")
+    return e.ungrounded(_docs(t), names, gold, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 _VOTES = "SELECT l_orderkey AS row, l_suppkey AS item, l_linenumber AS voter FROM lineitem"
 
 
