@@ -92,3 +92,10 @@ def test_one_of_each_group_stays(spark):
     got = sorted(map(tuple, ngrams.without_near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, text + " w", "y", 1), (2, "other words", "z", 1), (4, None, None, 1), (5, " ", "e", 1), (5, " ", "e", 1)], key=str)
     assert ngrams.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a"), "1"), (None, text("b"), "1"), (None, text("b") + " w", "1"), (None, text("c"), "1"), (1, text("d"), "1"), (2, text("d") + " w", "1"), (2, text("e"), "1"), (None, text("e") + " w", "1"), (3, text("f"), "1"), (3, text("f") + " w", "1"), (3, text("f"), "1"), (4, text("g"), "1"), (4, text("g"), "1"), (5, text("h"), "1"), (5, text("k"), "1")]
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in ngrams.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect())
+    assert got == [("1", "d0"), ("2", "e0"), ("3", "f0"), ("4", "g0"), ("5", "h0"), ("5", "k0"), ("None", "a0"), ("None", "b0"), ("None", "c0")]

@@ -246,7 +246,7 @@ def _sets(words: int, seed: int) -> "callable":
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): a row per row of ``docs`` with doc_id, n and node; and each node's component, the smallest doc_id in it.
+    """(rows, classes): a row per row of ``docs`` with doc_id, uid, n and node; and each node's component, by number and by the smallest doc_id in it.
 
     A-Z is lower-cased; sets are of shingles of ``words`` words of whole texts, of all words where they are fewer, and
     empty sets link with nothing. Two rows are linked if 100 * intersection >= percent * union. Rows with one set are one node.
@@ -302,8 +302,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     joined = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = cut(joined)
     least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
-    classes = cut(joined.join(least, "component").select("node", "component_id"))
-    return thin.select("doc_id", "n", "node"), classes
+    classes = cut(joined.join(least, "component").select("node", "component", "component_id"))
+    return thin.select("doc_id", "uid", "n", "node"), classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -314,9 +314,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``docs``: that of its smallest id. Of rows that repeat that id one stays; rows without words all stay."""
-    found = near_duplicates(docs, doc_id, text, words, percent).where("n_shingles > 0")
-    stay = cut(found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct())
+    """One row of each component of ``docs``: that of its smallest id, null ids last. A component is one whatever ids its rows have, so rows that
+    share an id, or have none, stay each for its own component; a row that stays and its repeats (id and text) are one. Rows without words all stay."""
+    rows, classes = links(docs.select(doc_id, text), doc_id, text, words, percent)
+    found = rows.where("n > 0").join(classes, "node")
+    stay = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("_x")).select(F.col("_x.doc_id").alias("_stay"), F.col("_x.uid").alias("_uid")))
     bare = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = docs.where(~bare).join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([doc_id])
+    this = F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.xxhash64(doc_id, text) == F.col("_uid"))
+    kept = docs.where(~bare).join(stay, this, "left_semi").dropDuplicates([doc_id, text])
     return kept.select(docs.columns).unionByName(docs.where(bare))
