@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import catalog
 from weftline.functions import scalar as s
 from weftline.operators import evaluation, filters, graph, keyed, readiness
 
@@ -75,3 +76,14 @@ def test_ungrounded_names_as_brute_force(spark):
     got = evaluation.ungrounded(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(gold, "doc_id long, name string"), "doc_id")
     want = sorted((d, x) for d, text in docs for x in {x for x in names if x and x.strip()} if (d, x) not in gold and x not in (text or ""))
     assert sorted(map(tuple, got.collect())) == want and (1, f"{long}2") in want
+
+
+def test_whole_tables_whatever_the_ids(spark, tmp_path):
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    table("customer", [(1, "a", "m", 1, 0.0), (2500, "a", "m", 1, 0.0), (90000, "b", "m", 1, 0.0)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long, c_acctbal double")
+    table("supplier", [(1, 5.0), (2, -5.0), (3, 5.0)], "s_suppkey long, s_acctbal double")
+    table("lineitem", [(700, 1, 1, 9), (500, 2, 1, 8), (500, 1, 1, 7), (100, 1, 2, 6), (300, 1, 3, 5)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long")
+    got = catalog.QUERIES["set_07_requested_valid_whole"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 500, 1, 7), (3, 300, 1, 5)]
+    got = catalog.QUERIES["evl_02_same_table_whole"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2500), (2500, 1), (2500, 2500), (90000, 90000)]

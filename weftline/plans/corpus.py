@@ -160,13 +160,22 @@ def table_sets(t):
     return _sets(t).select("k", F.size("gold").alias("n"))
 
 
-@_r.query("evl_02_same_table", "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name WHERE a.id <= 2000")
-def same_table(t):
-    a = t.task().where("id <= 2000").select("id", F.concat(F.lit("db."), "name").alias("qualified"), F.col("name").alias("leaf"))
+def _same_table(t, tasks):
+    a = tasks.select("id", F.concat(F.lit("db."), "name").alias("qualified"), F.col("name").alias("leaf"))
     b = t.task().select(F.col("id").alias("other"), F.col("name").alias("leaf"))
     return a.join(b, "leaf").where(s.same_table(F.col("qualified"), F.col("leaf"))).select("id", "other")
 
 
+@_r.query("evl_02_same_table", "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name WHERE a.id <= 2000")
+def same_table(t):
+    return _same_table(t, t.task().where("id <= 2000"))
+
+
+@_r.query("evl_02_same_table_whole", "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name")
+def same_table_whole(t):
+    return _same_table(t, t.task())
+
+
 @_r.query("evl_04_row_counts", _COUNTS)
 def row_counts(t):
     return _counts(t)

@@ -186,6 +186,14 @@ def requested(t):
     return k.first_of(asked.join(valid, "id", "left_semi"), "k", "id")
 
 
+@_r.query("set_07_requested_valid_whole", "SELECT id, l_orderkey, l_linenumber, l_partkey FROM (SELECT l_suppkey AS id, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) WHERE k = 1")
+def requested_whole(t):
+    place = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    asked = t.read("lineitem").select(F.col("l_suppkey").alias("id"), place.alias("k"))
+    valid = t.read("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    return k.first_of(asked.join(valid, "id", "left_semi"), "k", "id").select("id", "k.l_orderkey", "k.l_linenumber", "k.l_partkey")
+
+
 @_r.query("set_08_merged_edges", "SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM flow UNION ALL SELECT src, dst FROM flow WHERE confidence = 'CONFIRMED') GROUP BY ALL HAVING count(*) >= 1")
 def merged(t):
     flow = t.flow().select("src", "dst", "confidence")
