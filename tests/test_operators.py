@@ -87,3 +87,13 @@ def test_whole_tables_whatever_the_ids(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 500, 1, 7), (3, 300, 1, 5)]
     got = catalog.QUERIES["evl_02_same_table_whole"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2500), (2500, 1), (2500, 2500), (90000, 90000)]
+
+
+def test_long_paths_are_no_cycles(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(14)] + [(0, 14)], "src int, dst int")
+    n = spark.range(15).select(F.col("id").cast("int"))
+    loop = e.union(spark.createDataFrame([(12, 10)], e.schema))
+    assert graph.peeled(e).count() == 0 and {(r.src, r.dst) for r in graph.peeled(loop).collect()} == {(10, 11), (11, 12), (12, 10), (12, 13), (13, 14)}
+    assert {r.id: r.layer for r in graph.layers(e, n).collect()} == {i: i for i in range(15)}
+    with pytest.raises(ValueError):
+        graph.layers(loop, n)

@@ -79,23 +79,38 @@ def task_levels(edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     return near.join(reads, "id").where("other <> task_id").groupBy("task_id", "other").agg((F.min("hop") + 1).alias("level"))
 
 
-def peeled(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges left after nodes without incoming edges have been taken away, with theirs, so many times; none are left of a graph without cycles."""
-    left = cut(edges.select("src", "dst").distinct())
-    for _ in range(rounds):
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        if left.isEmpty():
+def peeled(edges: DataFrame, rounds: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """Edges (key..., src, dst) left after nodes without incoming edges have been taken away, with theirs, again and again until nothing changes.
+
+    Edges are left if and only if there is a cycle: those of cycles and of what cycles lead to. ``rounds`` takes away no oftener than that; what is
+    left then need not be a cycle.
+    """
+    key = key or []
+    left = cut(edges.select(*key, "src", "dst").distinct())
+    n, done = left.count(), 0
+    while n and (rounds is None or done < rounds):
+        left = cut(left.join(left.select(*key, F.col("dst").alias("src")).distinct(), [*key, "src"], "left_semi"))
+        before, n, done = n, left.count(), done + 1
+        if n == before:
             break
     return left
 
 
-def layers(edges: DataFrame, nodes: DataFrame, rounds: int, key: list[str] | None = None) -> DataFrame:
-    """(key..., id, layer, x) of a graph without cycles: the longest path that leads to each node, and where that stands in a layout."""
+def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """(key..., id, layer, x) of a graph without cycles: the longest path that leads to each node, and where that stands in a layout.
+
+    Goes on until no layer grows; a graph with a cycle, in which none would stop to grow, is a ValueError. ``rounds`` bounds the paths instead.
+    """
     key = key or []
-    level = nodes.select(*key, "id").withColumn("layer", F.lit(0))
-    for _ in range(rounds):
+    if rounds is None and not peeled(edges, key=key).isEmpty():
+        raise ValueError("the graph has a cycle")
+    level, total, done = nodes.select(*key, "id").withColumn("layer", F.lit(0)), 0, 0
+    while rounds is None or done < rounds:
         up = level.join(edges.withColumnRenamed("src", "id"), [*key, "id"]).select(*key, F.col("dst").alias("id"), (F.col("layer") + 1).alias("layer"))
         level = cut(level.unionByName(up).groupBy(*key, "id").agg(F.max("layer").alias("layer")))
+        before, total, done = total, level.agg(F.struct(F.count("*"), F.coalesce(F.sum("layer"), F.lit(0)))).first()[0], done + 1
+        if total == before:
+            break
     return level.withColumn("x", 50 + 220 * F.col("layer"))
 
 

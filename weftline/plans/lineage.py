@@ -119,13 +119,13 @@ def corrections(t):
 
 @_r.query("grf_15_cycle_residue", "SELECT count(*) > 0 AS cyclic FROM flow WHERE src = dst")
 def cycles(t):
-    return g.peeled(t.flow(), 5).agg((F.count("*") > 0).alias("cyclic"))
+    return g.peeled(t.flow()).agg((F.count("*") > 0).alias("cyclic"))
 
 
 @_r.query("grf_16_dependency_check", "SELECT count(*) AS left_over FROM dag_edge WHERE src >= dst")
 def dependencies(t):
     inner = t.dag_edge().select(F.concat_ws("/", "run_id", "src").alias("src"), F.concat_ws("/", "run_id", "dst").alias("dst"))
-    return g.peeled(inner, 8).agg(F.count("*").alias("left_over"))
+    return g.peeled(inner).agg(F.count("*").alias("left_over"))
 
 
 @_r.query("grf_17_scope_closure", "SELECT a.run_id, a.node FROM dag_node a JOIN (SELECT run_id, max(node) AS top FROM dag_node WHERE state = 'FAILED' GROUP BY 1) b ON a.run_id = b.run_id AND a.node <= b.top")
@@ -150,7 +150,7 @@ def frozen(t):
 
 @_r.query("grf_19_layers", "SELECT run_id, node, rank - 1 AS layer, 50 + 220 * (rank - 1) AS x FROM dag_node")
 def dag_layers(t):
-    return g.layers(t.dag_edge(), t.dag_node().select("run_id", F.col("node").alias("id")), 6, ["run_id"]).withColumnRenamed("id", "node")
+    return g.layers(t.dag_edge(), t.dag_node().select("run_id", F.col("node").alias("id")), key=["run_id"]).withColumnRenamed("id", "node")
 
 
 @_r.query("grf_20_merged_dependencies", "WITH a AS (SELECT DISTINCT src, dst, 1 AS hop FROM flow WHERE src LIKE 'nation:%'), b AS (SELECT DISTINCT src, dst, 2 AS hop FROM flow WHERE confidence = 'DECLARED' OR src LIKE 'supplier:%') SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN b.src IS NULL THEN 'DECLARED' WHEN a.src IS NULL THEN 'DERIVED' ELSE 'BOTH' END AS origin, least(a.hop, b.hop) AS hop FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst")
