@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
-from weftline.llm.store import cut, pick
+from weftline.llm.store import cut, partitions, pick
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
 WORDS, PERCENT = 5, 80
 #: Signature records that a task holds before it sends them.
 RECORDS = 1 << 20
 #: Documents of one signature in a tile, when those of different components are paired.
-TILE = 256
+TILE = 512
+#: Sets that are intersected with one other at a time.
+LEAVES = 64
 ROLE = np.uint64(1)
-PARITY = 2048
-FOLD = ("f0", "f1", "f2", "f3")
+#: Parities that a set has at least and at most.
+PARITY = 128, 2048
 
 
 class Band(NamedTuple):
@@ -88,10 +90,37 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(a & ~np.uint64(3)), int(b)
 
 
-def parity(x: np.ndarray) -> np.ndarray:
-    """PARITY bits, each the parity of how many elements fall on it: of two sets, no more of them differ than elements do."""
-    odd = np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+def parity(x: np.ndarray) -> bytes:
+    """A power of 2 of bits, at least four times as many as elements up to 2048, each the parity of how many elements fall on it."""
+    bits = min(max(PARITY[0], 1 << (4 * len(x) - 1).bit_length()), PARITY[1]) if len(x) else PARITY[0]
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+class Parities:
+    """Parities of many sets: of two sets, no more parities differ than elements do."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.width = np.array([len(b) // 8 for b in bits], np.int64)
+        self.folds: dict[int, np.ndarray] = {}
+        above, most = None, PARITY[1] // 64
+        while most >= PARITY[0] // 64:
+            fold = np.zeros((len(bits), most), np.uint64) if above is None else above[:, :most] ^ above[:, most:]
+            own = np.flatnonzero(self.width == most)
+            if len(own):
+                fold[own] = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(-1, most)
+            self.folds[most] = above = fold
+            most //= 2
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Parities that differ, the longer of two folded to the shorter: a lower bound of the elements that do."""
+        out, width = np.zeros(len(a), np.int64), np.minimum(self.width[a], self.width[b])
+        for w, fold in self.folds.items():
+            at = np.flatnonzero(width == w)
+            for k in range(0, len(at), 1 << 14):
+                here = at[k : k + (1 << 14)]
+                out[here] = np.bitwise_count(fold[a[here]] ^ fold[b[here]]).sum(axis=1)
+        return out
 
 
 def signatures(x: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, bool]]:
@@ -136,11 +165,8 @@ def _thin(words: int, seed: int) -> "callable":
                     prints.append(fingerprint(x))
                     maps.append(parity(x))
             both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
-            # folded to 4 words the parities still bound the difference from below, more coarsely
-            fold = np.bitwise_xor.reduce(np.array(maps, np.int64).reshape(-1, PARITY // 256, 4), axis=1)
-            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), bits, *(pa.array(fold[:, k].copy()) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits", *FOLD])
+            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits"])
 
     return run
 
@@ -235,12 +261,126 @@ def _longs(*names: str) -> "callable":
 
 def _sets(words: int, seed: int) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Goals and set of each node, of equal rows in a task once."""
+        seen = set()
         for b in batches:
+            nodes = b.column("node").to_pylist()
+            b = b.take(pa.array([k for k, node in enumerate(nodes) if node not in seen and not seen.add(node)], pa.int64()))
             for i, j, data, where in blocks(b.column("text")):
                 x = list(shingles(data, where, words, seed))
                 flat = pa.array(np.concatenate(x).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), lists], ["node", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("goals").slice(i, j - i), lists], ["goals", "x"])
+
+    return run
+
+
+def _possible(percent: int) -> "callable":
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose parities allow a link."""
+        for b in batches:
+            n = b.num_rows
+            all_ = Parities([*b.column("bits_a").to_pylist(), *b.column("bits_b").to_pylist()])
+            both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            fits = all_.differ(np.arange(n), np.arange(n) + n) * (100 + percent) <= both * (100 - percent)
+            yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
+def _pairs(group: np.ndarray, side: np.ndarray, own: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), some at a time, of records of one group whose sizes allow a link. Records are sorted by group, side and size; those of side 0 are
+    paired with those of side 1 and, where ``own``, with each other."""
+    seg = np.cumsum(np.concatenate([[False], (group[1:] != group[:-1]) | (side[1:] != side[:-1])])) if len(group) else group
+    of = (seg << 40) + n
+    left, with_own = side == 0, (side == 0) & own
+    follows = np.searchsorted(seg, seg + 1)  # where the next side, or the next group, begins
+    inner = np.minimum(follows, len(seg) - 1)
+    crosses = left & (follows < len(seg)) & (group[inner] == group)
+    own_end = np.searchsorted(of, (seg << 40) + n * 100 // percent, "right")
+    low = np.searchsorted(of, ((seg + 1) << 40) + -(-n * percent // 100))
+    high = np.searchsorted(of, ((seg + 1) << 40) + n * 100 // percent, "right")
+    at = np.arange(len(seg))
+    for start, end, on in ((at + 1, own_end, with_own), (low, high, crosses)):
+        count = np.where(on, np.maximum(end - start, 0), 0)
+        total = np.concatenate([[0], np.cumsum(count)])
+        first = 0
+        while first < len(seg):
+            last = max(first + 1, int(np.searchsorted(total, total[first] + (1 << 17), "right")) - 1)
+            c = count[first:last]
+            i = np.repeat(at[first:last], c)
+            yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            first = last
+
+
+def _tiles(percent: int, most: bool) -> "callable":
+    """(a, b) of different components in a group whose sizes and parities allow a link. With ``most``, where a group has more such pairs than nodes, of each
+    node only the pair that differs least, and a row that has the group's key as ``more``."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        col = lambda c: t.column(c).to_numpy()
+        node, n, component, less = col("node"), col("n"), col("component"), col("less")
+        group = np.cumsum(np.concatenate([[False], np.any([col(c)[1:] != col(c)[:-1] for c in ("keys", "lo", "hi")], axis=0)]))
+        bits, found = Parities(t.column("bits").to_pylist()), [np.zeros((3, 0))]
+        for i, j in _pairs(group, col("side"), col("own"), n, percent):
+            ok = (component[i] != component[j]) & ~(less[i] & less[j])
+            i, j = i[ok], j[ok]
+            apart = bits.differ(i, j)
+            ok = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            found.append(np.stack([i[ok], j[ok], (apart / (n[i] + n[j]))[ok]]))
+        i, j, apart = np.concatenate(found, axis=1)
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        more = np.zeros(0, np.int64)
+        if most:
+            many = np.bincount(group[i], minlength=group[-1] + 1) > np.bincount(group)
+            more = np.unique(col("keys")[many[group]])
+            far = np.flatnonzero(many[group[i]])
+            nearest = []
+            for x in (i[far], j[far]):
+                order = np.lexsort((apart[far], x))
+                nearest.append(far[order[np.concatenate([[True], x[order][1:] != x[order][:-1]])[: len(x)]]])
+            stay = np.concatenate([np.flatnonzero(~many[group[i]]), *nearest])
+            i, j = i[stay], j[stay]
+        both = np.unique(np.sort(np.stack([node[i], node[j]], axis=1), axis=1), axis=0)
+        none = pa.nulls(len(both), pa.int64()), pa.nulls(len(more), pa.int64())
+        cols = [pa.concat_arrays([pa.array(both[:, k].copy()), none[1]]) for k in (0, 1)] + [pa.concat_arrays([none[0], pa.array(more)])]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come sorted; those that are whole are taken some thousand rows at a time."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= 1 << 14:
+                keys = np.any([(x := held.column(c).to_numpy())[1:] != x[:-1] for c in ("keys", "lo", "hi")], axis=0)
+                cut_ = int(np.flatnonzero(keys)[-1]) + 1 if keys.any() else 0
+                if cut_:
+                    yield pairs(held.slice(0, cut_))
+                    held = held.slice(cut_).combine_chunks()
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return run
+
+
+def _intersected(percent: int) -> "callable":
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Linked pairs: of each (a, chunk) the set of a comes first, then those of its partners."""
+        key, hub = None, None
+        for batch in batches:
+            a, chunk, leaf, x = (batch.column(c) for c in ("a", "chunk", "b", "x"))
+            out = []
+            for k in range(batch.num_rows):
+                this = np.asarray(x[k].values)
+                if not leaf[k].is_valid:
+                    key, hub = (a[k].as_py(), chunk[k].as_py()), this
+                    continue
+                assert key == (a[k].as_py(), chunk[k].as_py())
+                both = len(this) + len(hub) - len(np.union1d(this, hub))
+                if 100 * both >= percent * (len(this) + len(hub) - both):
+                    out.append((key[0], leaf[k].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -254,14 +394,17 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     1. Sets, as 128-bit fingerprints: rows with one set become one node.
     2. Signatures (see ``signatures``) meet in packets. Each node is a candidate with the first node of its signature, and candidates are
        verified on whole sets; so near copies fall into one component by as many pairs as there are copies and signatures.
-    3. Of signatures that three or more nodes have, those with several components are left; their nodes are paired, in tiles, if they are
-       of different components and sizes that allow a link, and verified. Every linked pair shares a signature, so it has been verified or
-       joined by others: no component is missed.
+    3. Of signatures that three or more nodes have, those with several components are left. In tiles, their nodes of different components are compared by
+       size and parities inside a task. Where more pairs may be linked than there are nodes, each node is a candidate with the nearest one only: that
+       joins most of what step 2 left apart.
+    4. Signatures that step 3 has cut short, or split into several tiles, and that still have several components, are compared in full, tile by tile. Every
+       linked pair shares a signature, so it has been verified or joined by others: no component is missed.
     Should two sets have one node number (64 bits) all is done again with other hashes. Null ids are no smallest ids; extra columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
-    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits array<long>, f0 long, f1 long, f2 long, f3 long"))
-    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("bits").alias("bits"), *(F.min(f).alias(f) for f in FOLD)))
+    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits binary"))
+    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.min("bits").alias("bits")))
     count = nodes.agg(F.count("*").alias("all"), F.count_distinct("node").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
     if count["all"] != count["different"]:
         return links(docs, doc_id, text, words, percent, seed + 1)
@@ -270,37 +413,57 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     met = cut(signed.mapInArrow(_met, "a binary, b binary, keys binary, nodes binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that are linked: sizes and parities rule most others out, then the sets, from the texts again, are intersected."""
-        for side in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-        pairs = cut(pairs.select("a", "b", "n_a", "n_b"))
-        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "uid"), "node"))
-        sets = pick(rows.select("uid", "text"), needed, "uid").select("node", "text").mapInArrow(_sets(words, seed), "node long, x array<long>")
-        for side in ("a", "b"):
-            pairs = pairs.join(sets.withColumnsRenamed({"node": side, "x": f"x_{side}"}), side)
-        both = F.size(F.array_intersect("x_a", "x_b"))
-        return pairs.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
-
-    first = cut(verified(met.select("a", "b").mapInArrow(_longs("a", "b"), "a long, b long").distinct()))
-    parts = cut(components(first))
+        """Pairs (a < b) that are linked. The sets of b's go to those of a's, LEAVES at a time, from the texts again, and are intersected."""
+        degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("chunks"))
+        pairs = cut(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk")))
+        goals = pairs.select(F.col("b").alias("node"), "a", "chunk", "b").union(pairs.select(F.col("a"), "a", "chunk", F.lit(None).cast("long")).distinct())
+        goals = goals.groupBy("node").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("goals"))
+        needed = cut(goals.join(nodes.select("node", "uid", "n"), "node"))
+        sent = needed.agg(F.sum(F.col("n") * F.size("goals"))).first()[0] or 0
+        sets = pick(rows.select("uid", "text"), needed.select("uid", "node", "goals"), "uid").select("node", "goals", "text")
+        sets = sets.mapInArrow(_sets(words, seed), "goals array<struct<a:long, chunk:int, b:long>>, x array<long>").select(F.explode("goals").alias("goal"), "x").select("goal.*", "x")
+        dealt = sets.repartition(partitions(spark, 8 * sent), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+        return dealt.mapInArrow(_intersected(percent), "a long, b long").distinct()
+
+    def tiled(keys: DataFrame | None = None) -> DataFrame:
+        """Candidates among nodes of one signature and different components; of signatures in ``keys``, all of them, else the nearest where they are many."""
+        marked = records.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        each = marked.groupBy("keys", "component").agg(F.count("*").alias("k"))
+        each = each if keys is None else each.join(keys, "keys", "left_semi")
+        mixed = each.groupBy("keys").agg(F.sum("k").alias("k"), F.max("k").alias("m"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+        tiles = lambda x: F.ceil(x / TILE).cast("int")
+        deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        if keys is None:
+            left = marked.join(mixed.select("keys", tiles(F.col("k")).alias("tiles")), "keys").select("*", deal("tiles").alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), F.lit(True).alias("own"))
+        else:
+            # nodes of the signature's largest component need no comparison with each other: their tiles come after the others', and only meet those
+            left = marked.join(mixed.select("keys", "main", tiles(F.col("k") - F.col("m")).alias("tiles"), tiles(F.col("m")).alias("rest")), "keys")
+            left = left.withColumn("tile", F.when(F.col("component") == F.col("main"), F.col("tiles") + deal("rest")).otherwise(deal("tiles")))
+            as_lo = "case when tile < tiles then transform(sequence(tile + 1, tiles + rest - 1), x -> struct(tile as lo, x as hi, 0 as side, x = tiles as own)) end"
+            as_hi = "case when tile > 0 then transform(sequence(0, least(tile, tiles) - 1), x -> struct(x as lo, tile as hi, 1 as side, false as own)) end"
+            left = left.select("*", F.explode(F.expr(f"flatten(filter(array({as_lo}, {as_hi}), x -> x is not null))")).alias("x")).select("*", "x.*")
+        left = left.join(nodes.select("node", "n", "bits"), "node").select("keys", "lo", "hi", "side", "own", "node", "n", "component", "less", "bits")
+        left = left.repartition(partitions(spark, 200 * size), "keys", "lo", "hi").sortWithinPartitions("keys", "lo", "hi", "side", "n")
+        return left.mapInArrow(_tiles(percent, keys is None), "a long, b long, more long").distinct()
+
+    def grown(found: DataFrame) -> DataFrame:
+        """Components by the stars of those so far and the new links."""
+        return parts if found.isEmpty() else cut(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+
+    pairs = met.select("a", "b").mapInArrow(_longs("a", "b"), "a long, b long").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(_possible(percent), "a long, b long")
+    parts = cut(components(cut(verified(pairs))))
     records = met.select("keys", "nodes").mapInArrow(_longs("keys", "nodes"), "keys long, nodes long")
-    records = records.select("keys", (F.col("nodes").bitwiseAND(F.lit(-2))).alias("node"), (F.col("nodes") % 2 != 0).alias("less")).distinct()
-    records = records.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = records.groupBy("keys").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x <> y")
-    mixed = cut(mixed.select("keys", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
-    left = cut(records.join(mixed, "keys").join(nodes.select("node", "n", *FOLD), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
-    x = left.select("keys", F.col("tile").alias("lo"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("hi"), *(F.col(c).alias(f"{c}_a") for c in ("node", "less", "n", "component", *FOLD)))
-    y = left.select("keys", F.explode(F.sequence(F.lit(0), "tile")).alias("lo"), F.col("tile").alias("hi"), *(F.col(c).alias(f"{c}_b") for c in ("node", "less", "n", "component", *FOLD)))
-    fits = f"component_a <> component_b and not (less_a and less_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (lo < hi or node_a < node_b)"
-    fits += f" and ({' + '.join(f'bit_count({f}_a ^ {f}_b)' for f in FOLD)}) * {100 + percent} <= (n_a + n_b) * {100 - percent}"
-    pairs = x.join(y, ["keys", "lo", "hi"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    second = verified(pairs)
-    # stars of the first components and the new links: what is joined already needs no second search
-    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-    joined = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    joined = cut(joined)
+    records = cut(records.select("keys", (F.col("nodes").bitwiseAND(F.lit(-2))).alias("node"), (F.col("nodes") % 2 != 0).alias("less")).distinct())
+    size = records.count()
+    near = cut(tiled())
+    parts = grown(cut(verified(near.where("more is null").select("a", "b"))))
+    # signatures of several tiles, and those of which not all pairs have been sent
+    keys = near.where("more is not null").select(F.col("more").alias("keys")).union(records.groupBy("keys").count().where(f"count > {TILE}").select("keys")).distinct()
+    parts = grown(cut(verified(tiled(cut(keys)).select("a", "b").distinct())))
+    joined = cut(nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = cut(joined.join(least, "component").select("node", "component", "component_id"))
     return thin.select("doc_id", "uid", "n", "node"), classes
