@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import cut
+from weftline.llm.store import trim
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nothing but their own nodes; no edges give no rows. Ends may be numbers or strings, of one type.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    stars = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = trim(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(stars)
     while before[0]:
         both = stars.union(stars.select("b", "a"))
-        near = cut(_nearest(both))
+        near = trim(_nearest(both))
         large = both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(near.select("a", F.col("m").alias("b"))).where("b <= a").distinct()
         near = _nearest(large)
         small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = cut(small.union(near.select("a", F.col("m").alias("b"))).distinct())
+        stars = trim(small.union(near.select("a", F.col("m").alias("b"))).distinct())
         now = _mark(stars)
         if now == before:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
-from weftline.llm.store import cut, partitions, pick
+from weftline.llm.store import cut, partitions, pick, small, trim
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
 WORDS, PERCENT = 5, 80
@@ -25,8 +25,8 @@ TILE = 512
 #: Sets that are intersected with one other at a time.
 LEAVES = 64
 ROLE = np.uint64(1)
-#: Parities that a set has at least and at most.
-PARITY = 128, 2048
+#: Parities that a set has at least and at most for comparison in tiles, and at most for that of two sets.
+PARITY, WIDE = (128, 2048), 1 << 16
 
 
 class Band(NamedTuple):
@@ -90,9 +90,9 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(a & ~np.uint64(3)), int(b)
 
 
-def parity(x: np.ndarray) -> bytes:
-    """A power of 2 of bits, at least four times as many as elements up to 2048, each the parity of how many elements fall on it."""
-    bits = min(max(PARITY[0], 1 << (4 * len(x) - 1).bit_length()), PARITY[1]) if len(x) else PARITY[0]
+def parity(x: np.ndarray, most: int = PARITY[1]) -> bytes:
+    """A power of 2 of bits, at least four times as many as elements up to ``most``, each the parity of how many elements fall on it."""
+    bits = min(max(PARITY[0], 1 << (4 * len(x) - 1).bit_length()), most) if len(x) else PARITY[0]
     odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -158,15 +158,16 @@ def signatures(x: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarr
 def _thin(words: int, seed: int) -> "callable":
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prints, maps = [], [], []
+            sizes, prints, maps, wide = [], [], [], []
             for _, _, data, at in blocks(b.column("text")):
                 for x in shingles(data, at, words, seed):
                     sizes.append(len(x))
                     prints.append(fingerprint(x))
                     maps.append(parity(x))
+                    wide.append(parity(x, WIDE) if 4 * len(x) > PARITY[1] else None)
             both = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits"])
+            cols = [b.column("doc_id"), b.column("uid"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n", "node", "check", "bits", "wide"])
 
     return run
 
@@ -276,14 +277,23 @@ def _sets(words: int, seed: int) -> "callable":
 
 
 def _possible(percent: int) -> "callable":
+    def far(a: bytes | None, b: bytes | None) -> int:
+        if a is None or b is None:
+            return 0
+        x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+        return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose parities allow a link."""
+        """Pairs whose sizes and parities allow a link, and how far apart these are."""
         for b in batches:
-            n = b.num_rows
-            all_ = Parities([*b.column("bits_a").to_pylist(), *b.column("bits_b").to_pylist()])
+            n_a, n_b = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+            b = b.filter(pa.array(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)))
+            at = np.arange(b.num_rows)
+            apart = Parities([*b.column("bits_a").to_pylist(), *b.column("bits_b").to_pylist()]).differ(at, at + len(at))
+            apart = np.maximum(apart, [far(x, y) for x, y in zip(b.column("wide_a").to_pylist(), b.column("wide_b").to_pylist())]).astype(np.int64)
             both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            fits = all_.differ(np.arange(n), np.arange(n) + n) * (100 + percent) <= both * (100 - percent)
-            yield b.select(["a", "b"]).filter(pa.array(fits))
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(apart / both)], ["a", "b", "apart"])
+            yield out.filter(pa.array(apart * (100 + percent) <= both * (100 - percent)))
 
     return run
 
@@ -403,8 +413,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
-    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits binary"))
-    nodes = cut(thin.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.min("bits").alias("bits")))
+    thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits binary, wide binary"))
+    same = thin.where("n > 0").groupBy("node", "n", "check")
+    nodes = cut(same.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("uid", "bits", "wide"), "uid").alias("x")).select("node", "n", "check", "least", "x.*"))
     count = nodes.agg(F.count("*").alias("all"), F.count_distinct("node").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
     if count["all"] != count["different"]:
         return links(docs, doc_id, text, words, percent, seed + 1)
@@ -412,57 +423,70 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     signed = exchanged(rows.mapInArrow(_signed(words, percent, seed, many), KIND), n)
     met = cut(signed.mapInArrow(_met, "a binary, b binary, keys binary, nodes binary"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b) that are linked. The sets of b's go to those of a's, LEAVES at a time, from the texts again, and are intersected."""
+    def possible(pairs: DataFrame) -> DataFrame:
+        """(a, b, apart) of pairs that may be linked by size and parities."""
+        ends = trim(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        ends = pick(nodes.select("node", "n", "bits", "wide"), ends, "node")
+        for side in ("a", "b"):
+            pairs = pairs.join(ends.withColumnsRenamed({"node": side} | {c: f"{c}_{side}" for c in ("n", "bits", "wide")}), side)
+        return pairs.mapInArrow(_possible(percent), "a long, b long, apart double")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Pairs that are linked. The sets of b's go to those of a's, LEAVES at a time, from the texts again, and are intersected."""
         degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("chunks"))
-        pairs = cut(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk")))
+        pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
         goals = pairs.select(F.col("b").alias("node"), "a", "chunk", "b").union(pairs.select(F.col("a"), "a", "chunk", F.lit(None).cast("long")).distinct())
         goals = goals.groupBy("node").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("goals"))
-        needed = cut(goals.join(nodes.select("node", "uid", "n"), "node"))
+        needed = trim(pick(nodes.select("node", "uid", "n"), trim(goals), "node"))
         sent = needed.agg(F.sum(F.col("n") * F.size("goals"))).first()[0] or 0
         sets = pick(rows.select("uid", "text"), needed.select("uid", "node", "goals"), "uid").select("node", "goals", "text")
         sets = sets.mapInArrow(_sets(words, seed), "goals array<struct<a:long, chunk:int, b:long>>, x array<long>").select(F.explode("goals").alias("goal"), "x").select("goal.*", "x")
         dealt = sets.repartition(partitions(spark, 8 * sent), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-        return dealt.mapInArrow(_intersected(percent), "a long, b long").distinct()
-
-    def tiled(keys: DataFrame | None = None) -> DataFrame:
-        """Candidates among nodes of one signature and different components; of signatures in ``keys``, all of them, else the nearest where they are many."""
-        marked = records.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        each = marked.groupBy("keys", "component").agg(F.count("*").alias("k"))
-        each = each if keys is None else each.join(keys, "keys", "left_semi")
-        mixed = each.groupBy("keys").agg(F.sum("k").alias("k"), F.max("k").alias("m"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
-        tiles = lambda x: F.ceil(x / TILE).cast("int")
-        deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-        if keys is None:
-            left = marked.join(mixed.select("keys", tiles(F.col("k")).alias("tiles")), "keys").select("*", deal("tiles").alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), F.lit(True).alias("own"))
-        else:
-            # nodes of the signature's largest component need no comparison with each other: their tiles come after the others', and only meet those
-            left = marked.join(mixed.select("keys", "main", tiles(F.col("k") - F.col("m")).alias("tiles"), tiles(F.col("m")).alias("rest")), "keys")
-            left = left.withColumn("tile", F.when(F.col("component") == F.col("main"), F.col("tiles") + deal("rest")).otherwise(deal("tiles")))
-            as_lo = "case when tile < tiles then transform(sequence(tile + 1, tiles + rest - 1), x -> struct(tile as lo, x as hi, 0 as side, x = tiles as own)) end"
-            as_hi = "case when tile > 0 then transform(sequence(0, least(tile, tiles) - 1), x -> struct(x as lo, tile as hi, 1 as side, false as own)) end"
-            left = left.select("*", F.explode(F.expr(f"flatten(filter(array({as_lo}, {as_hi}), x -> x is not null))")).alias("x")).select("*", "x.*")
-        left = left.join(nodes.select("node", "n", "bits"), "node").select("keys", "lo", "hi", "side", "own", "node", "n", "component", "less", "bits")
-        left = left.repartition(partitions(spark, 200 * size), "keys", "lo", "hi").sortWithinPartitions("keys", "lo", "hi", "side", "n")
-        return left.mapInArrow(_tiles(percent, keys is None), "a long, b long, more long").distinct()
+        return trim(dealt.mapInArrow(_intersected(percent), "a long, b long").distinct())
 
-    def grown(found: DataFrame) -> DataFrame:
+    def grown(parts: DataFrame, found: DataFrame) -> DataFrame:
         """Components by the stars of those so far and the new links."""
-        return parts if found.isEmpty() else cut(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+        return parts if found.isEmpty() else trim(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+
+    def marked(table: DataFrame, node: str, into: str) -> DataFrame:
+        return table.join(small(parts).select(F.col("node").alias(node), F.col("component").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return marked(marked(pairs, "a", "x"), "b", "y").where("x <> y").select("a", "b")
+
+    def tiled(left: DataFrame, most: bool) -> DataFrame:
+        """Candidates among records with keys, lo, hi, side and own."""
+        left = left.join(nodes.select("node", "n", "bits"), "node").select("keys", "lo", "hi", "side", "own", "node", "n", "component", "less", "bits")
+        left = left.repartition(partitions(spark, 200 * size), "keys", "lo", "hi").sortWithinPartitions("keys", "lo", "hi", "side", "n")
+        return trim(left.mapInArrow(_tiles(percent, most), "a long, b long, more long").distinct())
 
-    pairs = met.select("a", "b").mapInArrow(_longs("a", "b"), "a long, b long").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInArrow(_possible(percent), "a long, b long")
-    parts = cut(components(cut(verified(pairs))))
+    stars = met.select("a", "b").mapInArrow(_longs("a", "b"), "a long, b long").distinct()
+    stars = trim(possible(stars))
+    first = trim(stars.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    parts = trim(components(exact(first)))
     records = met.select("keys", "nodes").mapInArrow(_longs("keys", "nodes"), "keys long, nodes long")
     records = cut(records.select("keys", (F.col("nodes").bitwiseAND(F.lit(-2))).alias("node"), (F.col("nodes") % 2 != 0).alias("less")).distinct())
     size = records.count()
-    near = cut(tiled())
-    parts = grown(cut(verified(near.where("more is null").select("a", "b"))))
-    # signatures of several tiles, and those of which not all pairs have been sent
-    keys = near.where("more is not null").select(F.col("more").alias("keys")).union(records.groupBy("keys").count().where(f"count > {TILE}").select("keys")).distinct()
-    parts = grown(cut(verified(tiled(cut(keys)).select("a", "b").distinct())))
+    tiles = lambda x: F.ceil(x / TILE).cast("int")
+    deal = lambda x: F.pmod(F.xxhash64("node"), x).cast("int")
+    large = trim(records.groupBy("keys").agg(F.count("*").alias("k")).where(f"k > {TILE}").select("keys", tiles(F.col("k")).alias("tiles")))
+    left = marked(records, "node", "component").join(small(large), "keys", "left").withColumn("lo", deal(F.coalesce("tiles", F.lit(1))))
+    near = tiled(left.select("*", F.lit(0).alias("hi"), F.lit(0).alias("side"), F.lit(True).alias("own")), True)
+    pairs = possible(near.where("more is null").select("a", "b")).select("a", "b").union(apart(stars.select("a", "b"))).distinct()
+    parts = grown(parts, exact(trim(pairs)))
+    # in full: signatures of which step 3 has not sent all pairs, and those of several tiles
+    keys = trim(near.where("more is not null").select(F.col("more").alias("keys")).union(large.select("keys")).distinct())
+    left = cut(marked(records.join(small(keys), "keys", "left_semi"), "node", "component"))
+    mixed = left.groupBy("keys", "component").agg(F.count("*").alias("k")).groupBy("keys")
+    mixed = mixed.agg(F.sum("k").alias("k"), F.max("k").alias("m"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+    left = left.join(small(trim(mixed.select("keys", "main", tiles(F.col("k") - F.col("m")).alias("tiles"), tiles(F.col("m")).alias("rest")))), "keys")
+    # nodes of a signature's largest component need no comparison with each other: their tiles come after the others', and only meet those
+    left = left.withColumn("tile", F.when(F.col("component") == F.col("main"), F.col("tiles") + deal(F.col("rest"))).otherwise(deal(F.col("tiles"))))
+    as_lo = "case when tile < tiles then transform(sequence(tile + 1, tiles + rest - 1), x -> struct(tile as lo, x as hi, 0 as side, x = tiles as own)) end"
+    as_hi = "case when tile > 0 then transform(sequence(0, least(tile, tiles) - 1), x -> struct(x as lo, tile as hi, 1 as side, false as own)) end"
+    left = left.select("*", F.explode(F.expr(f"flatten(filter(array({as_lo}, {as_hi}), x -> x is not null))")).alias("x")).select("*", "x.*")
+    pairs = trim(possible(tiled(left, False).select("a", "b")).select("a", "b"))
+    parts = grown(parts, exact(pairs))
     joined = cut(nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = cut(joined.join(least, "component").select("node", "component", "component_id"))

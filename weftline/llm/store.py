@@ -27,14 +27,23 @@ def partitions(spark: SparkSession, bytes_: int = 0, per: int = 64 << 20) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // per))
 
 
+def trim(df: DataFrame, per: int = 200_000) -> DataFrame:
+    """``cut``, read back in one partition for ``per`` rows, so that a small table is no burden of empty tasks and files."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // per)))
+
+
+def small(keys: DataFrame, bound: int = 200_000) -> DataFrame:
+    """``keys`` (a checkpointed table of small rows) to be broadcast if they are at most ``bound`` (about 20 MB)."""
+    return F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
+
+
 def pick(rows: DataFrame, keys: DataFrame, on: str, bound: int = 200_000) -> DataFrame:
-    """Rows whose ``on`` is in ``keys`` (a checkpointed table of unique keys), with the columns of both.
+    """Rows whose ``on`` is in ``keys`` (a checkpointed table), with the columns of both.
 
-    The keys are broadcast if they are at most ``bound`` (about 20 MB); beyond that both sides are shuffled, and Spark
-    splits partitions that are too large.
+    The keys are broadcast if they are at most ``bound``; beyond that both sides are shuffled, and Spark splits partitions that are too large.
     """
-    few = keys.limit(bound + 1).count() <= bound
-    return rows.join(F.broadcast(keys) if few else keys, on)
+    return rows.join(small(keys, bound), on)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
