@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.store import batched
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?=[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 #: Elements by what they do to the tree and to text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -367,7 +369,7 @@ def main_text(pages: DataFrame, html: str = "html", model: Model | None = None,
     """
     model = model or trained()
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(F.struct(*kept).alias("row"), F.col(html).alias("html"))
+    rows = batched(pages).select(F.struct(*kept).alias("row"), F.col(html).alias("html"))
     kind = rows.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     for f in kind:
         f.nullable = True

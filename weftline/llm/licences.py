@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from weftline.llm.store import batched
+
 #: Words: runs of other than these; upper case falls to lower case first.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
@@ -134,7 +136,7 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notice
             out = pa.RecordBatch.from_pylist(rows, SCHEMA)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *out.columns], ["doc_id", *out.schema.names])
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInArrow(run, kind)
+    return batched(docs).selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInArrow(run, kind)
 
 
 SCHEMA = pa.schema([(x, pa.int64()) for x in ("n_words", "n_base", "first_word", "last_word")] + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("errors", pa.int32())])))])

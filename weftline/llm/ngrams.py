@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
-from weftline.llm.store import cut, partitions, pick, small, trim
+from weftline.llm.store import batched, cut, partitions, pick, small, trim
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
 WORDS, PERCENT = 5, 80
@@ -412,7 +412,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     Should two sets have one node number (64 bits) all is done again with other hashes. Null ids are no smallest ids; extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
+    rows = batched(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
     thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits binary, wide binary"))
     same = thin.where("n > 0").groupBy("node", "n", "check")
     nodes = cut(same.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("uid", "bits", "wide"), "uid").alias("x")).select("node", "n", "check", "least", "x.*"))

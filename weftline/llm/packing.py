@@ -10,20 +10,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import cut
+from weftline.llm.store import batched, cut
 
 LIMIT = 2048
 #: Pieces that are packed together, islands that search for each such set, and what each island does.
 CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 3, 4
 #: Bins of a first round with more room than this are opened again and packed together.
 ROOM = 32
-#: Words whose ids a Python worker keeps at most.
-KNOWN = 1_200_000
+#: Bytes of words and their ids that a Python worker keeps at most, and what a word takes besides.
+KNOWN, ENTRY = 64 << 20, 170
 
 
 @lru_cache(2)
@@ -34,7 +33,7 @@ def _encoder(path: str) -> tuple:
     tokenizer = Tokenizer.from_file(path)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-    return tokenizer, ends, {}
+    return tokenizer, ends, {}, [0]
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -70,12 +69,13 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     The vocabulary splits at white space before all else, so a text's ids are those of its words in a row, and each word is
     encoded once. It also splits letters from signs, so letters with signs after them have the ids of both.
     """
-    tokenizer, ends, known = _encoder(path)
+    tokenizer, ends, known, held = _encoder(path)
     words = [_words(t) for t in texts]
     missing = [w for w in set().union(*words) if w not in known]
     if missing:
-        if len(known) > KNOWN:
+        if held[0] > KNOWN:
             known.clear()
+            held[0] = 0
             missing = list(set().union(*words))
         parts = {}
         for w in missing:
@@ -88,6 +88,7 @@ def token_ids(texts: list[bytes], path: str) -> list[bytes]:
         for w, x in parts.items():
             if len(x) > 1:
                 known[w] = known[x[0].encode()] + known[x[1].encode()]
+            held[0] += ENTRY + len(w) + len(known[w])
     return [b"".join([known[w] for w in x]) + b"\0\0\0\0" for x in words]
 
 
@@ -121,7 +122,7 @@ def tokenised(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[: len(names)], types)], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kind)
+    return batched(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kind)
 
 
 class Bins:
@@ -209,32 +210,30 @@ def evolve(population: list[list[list[int]]], lengths: list[int], limit: int, rn
     return population
 
 
-def _coded(bins: list[list[int]], n: int) -> bytes:
+def _coded(bins: list[list[int]], n: int) -> list[int]:
+    """The bin of each of n items."""
     out = np.empty(n, np.int32)
     for k, b in enumerate(bins):
         out[b] = k
-    return out.tobytes()
+    return out.tolist()
 
 
-def _bins(code: bytes) -> list[list[int]]:
-    of = np.frombuffer(code, np.int32)
+def _bins(of: list[int]) -> list[list[int]]:
     order = np.argsort(of, kind="stable")
     return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(of))[:-1])] if len(of) else []
 
 
-STATE = "cell long, island int, lengths binary, population array<binary>"
+STATE = "cell long, island int, lengths array<int>, population array<array<int>>"
 
 
 def _epoch(limit: int, size: int, generations: int, epoch: int) -> "callable":
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                lengths = np.frombuffer(r.lengths, np.int32).tolist()
-                rng = np.random.default_rng([epoch, int(r.cell), int(r.island)])
-                best = evolve([_bins(c) for c in r.population], lengths, limit, rng, size, generations)
-                rows.append((r.cell, r.island, r.lengths, [_coded(x, len(lengths)) for x in best]))
-            yield pd.DataFrame(rows, columns=["cell", "island", "lengths", "population"])
+            for r in range(b.num_rows):
+                cell, island, lengths, population = (b.column(c)[r].as_py() for c in ("cell", "island", "lengths", "population"))
+                best = evolve([_bins(c) for c in population], lengths, limit, np.random.default_rng([epoch, cell, island]), size, generations)
+                best = pa.array([[_coded(x, len(lengths)) for x in best]], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(r, 1) for c in ("cell", "island", "lengths")), best], ["cell", "island", "lengths", "population"])
 
     return run
 
@@ -245,17 +244,15 @@ def _round(items: DataFrame, n: int, limit: int, islands: int, epochs: int, size
     dealt = items.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("long"))
     packed = dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("x"))
     packed = cut(packed.select("cell", F.col("x.key").alias("keys"), F.col("x.length").alias("ls")))
-    code = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, np.int32).tobytes()), "binary")
-    state = packed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), code("ls").alias("lengths"), F.expr("cast(array() as array<binary>)").alias("population"))
+    state = packed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("ls").alias("lengths"), F.expr("cast(array() as array<array<int>>)").alias("population"))
     state = state.repartition(min(cells * islands, 4096), "cell", "island")
     for e in range(epochs):
-        state = state.mapInPandas(_epoch(limit, size, generations, e), STATE)
+        state = state.mapInArrow(_epoch(limit, size, generations, e), STATE)
         if e < epochs - 1 and islands > 1:
             state = cut(state)
             elite = state.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("population", 1, 1).alias("elite"))
             state = state.join(elite, ["cell", "island"]).select("cell", "island", "lengths", F.concat("elite", "population").alias("population"))
-    best = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(x, np.int32)), "array<int>")
-    found = state.select("cell", best(F.element_at("population", 1)).alias("bins"))
+    found = state.select("cell", F.element_at("population", 1).alias("bins"))
     found = found.groupBy("cell").agg(F.min_by("bins", F.struct(F.array_max("bins"), F.col("bins"))).alias("bins"))
     each = packed.join(found, "cell").select("cell", F.explode(F.arrays_zip("keys", "ls", "bins")).alias("x"))
     return each.select(F.col("x.keys").alias("key"), F.col("x.ls").alias("length"), "cell", F.col("x.bins").alias("bin"))

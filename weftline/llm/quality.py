@@ -7,10 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import cut, pick
+from weftline.llm.store import batched, cut, pick
 from weftline.llm.words import LOWER, SPACE, blocks, hashed, mix, powers
 
 BUCKETS = 1 << 18
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = cut(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample))
-    chosen = pick(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), known, "doc_id")
+    chosen = pick(batched(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), known, "doc_id")
     rows = chosen.mapInArrow(_counted, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, buckets binary, shares binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.buckets))
     return fit([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows], np.array([r.label for r in rows], np.int64), **more)
@@ -127,16 +128,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     those (1 MB, broadcast). Other columns pass through; one named like ``into`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.weight)
-    kept = docs.drop(into)
+    kept = batched(docs).drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [Model(sent.value).scores(data, at) for _, _, data, at in blocks(b.column("text"))]
+            parts = [Model(sent.value).scores(data, at) for _, _, data, at in blocks(pc.struct_field(b.column("row"), text))]
             out = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("row"), out], ["row", "s"])
 
     kind = kept.select(F.struct("*").alias("row"), F.lit(0.0).alias("s")).schema
     for f in kind:
         f.nullable = True
-    rows = kept.select(F.struct("*").alias("row"), F.col(text).alias("text")).mapInArrow(run, kind)
+    rows = kept.select(F.struct("*").alias("row")).mapInArrow(run, kind)
     return rows.select(*(F.col("row")[c].alias(c) for c in kept.columns), F.col("s").alias(into))

@@ -22,6 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def batched(df: DataFrame, bytes_: int = 8 << 20) -> DataFrame:
+    """``df``, its session's Arrow batches bounded to about ``bytes_`` unless the session has a bound of its own: texts can be long, and a worker
+    and the JVM beside it hold several batches at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(bytes_))
+    return df
+
+
 def partitions(spark: SparkSession, bytes_: int = 0, per: int = 64 << 20) -> int:
     """Shuffle partitions for so many bytes: as the session has them, more where they would be larger than ``per``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // per))

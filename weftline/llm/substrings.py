@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, SPREAD, exchanged, gathered, packets, repeated, split_repeats
+from weftline.llm.store import batched
 from weftline.llm.words import blocks, hashed, mix
 
 WINDOW = 35
@@ -257,7 +258,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are dealt by row once: all three passes read whole rows, so that Spark finds one exchange in the plan thrice and writes it once.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).repartition(n, "uid")
+    rows = batched(docs).select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).repartition(n, "uid")
     many = n * SPREAD
     keyed = exchanged(rows.mapInArrow(_keyed(text, window, many), KIND), n)
     shared = exchanged(keyed.mapInArrow(_twice(many), KIND), n).mapInArrow(_by_row, "uid long, places binary")
