@@ -18,7 +18,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def test_near_duplicates_as_brute_force(spark):
     rows = vectors()
-    rows.append(rows[0])
+    rows += [rows[0], (5, rows[70][1], rows[70][2]), (5, rows[0][1], 2), (5, rows[7][1], rows[7][2])]
     got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), tile=16).collect()))
     unit = {}
     for k, (i, e, l) in enumerate(rows):
@@ -65,3 +65,16 @@ def test_top_k_as_brute_force(spark):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embed_dedup.near_duplicates(none).collect() == [] and topk.top_k(none, "vec_id % 20 = 0").collect() == []
+
+
+def test_one_id_over_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, a, 1), (7, b, 1), (9, [1.0, 0.01, 0.0], 1)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert sorted(map(tuple, got)) == [(7, 0, 7, True), (7, 1, 7, True), (9, 1, 7, False)]
+
+
+def test_scores_beyond_64_bits_stop_at_their_ends(spark):
+    rows = [(0, [3e38, 1.0], 0), (1, [3e38, 2.0], 0), (2, [-3e38, 0.0], 0), (3, [0.0, 1.0], 0)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), "vec_id = 0", k=3).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 2**63 - 1), (2, 3, 1024 * 1024), (3, 2, -(2**63))]

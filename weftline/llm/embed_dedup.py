@@ -142,7 +142,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("embedding"))
     ok = v.where(f"vec_id is not null and label is not null and embedding is not null and {USABLE.format('embedding')}")
     ok = ok.withColumn("h", F.xxhash64("embedding"))
-    classes = cut(ok.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w")))
+    classes = ok.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # a number of its own: ids may repeat
     spark = vectors.sparkSession
     kind = "f4" if "float" in dict(v.dtypes)["embedding"] else "f8"
     n = partitions(spark)
@@ -155,8 +156,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = cut(pairs.groupBy("lo", "hi").applyInPandas(_product(threshold, kind), "cid long, links long, root long"))
     parts = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    per = classes.join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    per = cut(per.select("label", "h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "cid").alias("component")))
+    per = classes.join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("number", F.coalesce("component", "cid")).drop("component")
+    per = cut(per.select("label", "h", "embedding", "number", "least", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links")))
+    per = per.join(per.groupBy("number").agg(F.min("least").alias("component")), "number").select("label", "h", "embedding", "links", "component")
     out = ok.join(per, ["label", "h", "embedding"]).select("vec_id", "links", "component")
     rest = v.where(f"not coalesce(vec_id is not null and label is not null and embedding is not null and {USABLE.format('embedding')}, false)")
     out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import trim
+from weftline.llm.store import TRIM, trim
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -25,13 +27,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars = trim(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(stars)
     while before[0]:
-        both = stars.union(stars.select("b", "a"))
+        few = ceil(before[0] / TRIM)  # in one partition, a small graph needs no exchanges
+        both = stars.union(stars.select("b", "a")).coalesce(few)
         near = trim(_nearest(both))
         large = both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(near.select("a", F.col("m").alias("b"))).where("b <= a").distinct()
+        large = trim(large.union(near.select("a", F.col("m").alias("b"))).where("b <= a").coalesce(few).distinct())
         near = _nearest(large)
         small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = trim(small.union(near.select("a", F.col("m").alias("b"))).distinct())
+        stars = trim(small.union(near.select("a", F.col("m").alias("b"))).coalesce(few).distinct())
         now = _mark(stars)
         if now == before:
             break

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import batched
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?=[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 #: Elements by what they do to the tree and to text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("head script style title noscript template iframe object svg math canvas audio video textarea select option datalist".split())
@@ -48,9 +49,10 @@ FEATURES = len(TAGS) + 2 + len(HINTS) + 2
 
 
 class Tree(NamedTuple):
-    """Nodes of a page, parents before children: parent, tag and attributes, text (of text nodes), block number, inside a link, label."""
+    """Nodes of a page, parents before children: parent, depth, tag and attributes, text (of text nodes), block number, inside a link, label."""
 
     parent: list[int]
+    depth: list[int]
     kind: list[tuple[str, str]]
     text: list[str | None]
     block: list[int]
@@ -59,48 +61,71 @@ class Tree(NamedTuple):
 
 
 def parse(html: str) -> Tree:
-    """A lenient tree of what is shown: unclosed and stray tags, comments and unseen elements are dealt with as browsers do, roughly."""
-    tree = Tree([-1], [("html", "")], [None], [0], [False], [0])
-    stack, block, links, at, unseen = [(0, "html")], 0, 0, 0, 0
+    """A lenient tree of what is shown: unclosed and stray tags, comments and unseen elements are dealt with as browsers do, roughly.
+
+    Takes time in proportion to the page, however deep. Once a quote in a tag turns out never to close, quotes are signs like any others in the rest
+    of the page, and tags end at the next ">". A "<" that begins no tag, and one without a ">" after it, is text. Character references are decoded
+    within one text node.
+    """
+    tree = Tree([-1], [0], [("html", "")], [None], [0], [False], [0])
+    stack, block, links, unseen = [(0, "html")], 0, 0, 0
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+
+    def add(top: int, kind: tuple[str, str], text: str | None, label: int) -> int:
+        for column, value in zip(tree, (top, tree.depth[top] + 1, kind, text, block, links > 0, label)):
+            column.append(value)
+        return len(tree.parent) - 1
 
     def add_text(s: str) -> None:
-        if unseen or not s or s.isspace():
-            if s and not unseen and tree.text[-1] is not None and tree.block[-1] == block:
+        if unseen or not s:
+            return
+        s = unescape(s) if "&" in s else s
+        if s.isspace():
+            if tree.text[-1] is not None and tree.block[-1] == block:
                 tree.text[-1] += " "
             return
-        top = stack[-1][0]
-        tree.parent.append(top)
-        tree.kind.append(("#text", ""))
-        tree.text.append(s)
-        tree.block.append(block)
-        tree.linked.append(links > 0)
-        tree.label.append(tree.label[top])
+        add(stack[-1][0], ("#text", ""), s, tree.label[stack[-1][0]])
+
+    def push(node: int, tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((node, tag))
 
     def pop(to: int) -> None:
         nonlocal block, links, unseen
         while len(stack) > to:
             _, tag = stack.pop()
+            places[tag].pop()
             if tag in BLOCK:
                 block += 1
             links -= tag == "a"
             unseen -= tag in UNSEEN
 
     def find(tags: tuple[str, ...], stop: tuple[str, ...]) -> int | None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][1] in tags:
-                return k
-            if stack[k][1] in stop:
-                return None
-        return None
-
-    pos = 0
-    while m := TOKEN.search(html, pos):
+        """Place of the innermost open element of ``tags``, unless one of ``stop`` is open within it."""
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        k = last(tags)
+        return k if k and k >= last(stop) else None
+
+    pos, quotes = 0, True
+    while m := MARKUP.search(html, pos):
+        tag, after = m[2], m.end()
+        if tag is None and html.startswith("--", m.start() + 2):
+            end = html.find("-->", m.start() + 2)
+            end = len(html) if end < 0 else end + 3
+        else:
+            end = ATTRIBUTES.match(html, after).end() if tag is not None and quotes else -1
+            if end < 0 or not html.startswith(">", end):
+                quotes = quotes and tag is None
+                end = html.find(">", after)
+            if end < 0:
+                break
+            end += 1
         if m.start() > pos:
             add_text(html[pos : m.start()])
-        pos = m.end()
-        tag = m[2]
+        pos = end
         if tag is None:
             continue
+        attributes = html[after : end - 1]
         tag = tag.lower()
         if m[1]:
             if tag == "br" or tag == "p" and find(("p",), ()) is None:
@@ -113,9 +138,8 @@ def parse(html: str) -> Tree:
                 unseen_head = find(("head",), ())
                 if unseen_head is not None:
                     pop(unseen_head)
-                if not any(t == "body" for _, t in stack):
-                    tree.parent.append(0), tree.kind.append((tag, m[3])), tree.text.append(None), tree.block.append(block), tree.linked.append(False), tree.label.append(0)
-                    stack.append((len(tree.parent) - 1, tag))
+                if not places.get("body"):
+                    push(add(0, (tag, attributes), None, 0), tag)
             continue
         if tag == "br" or tag in ("td", "th", "img", "input", "wbr") and not unseen:
             if tag != "wbr" and tree.text[-1] is not None:
@@ -137,22 +161,17 @@ def parse(html: str) -> Tree:
         block += tag in BLOCK
         links += tag == "a"
         unseen += tag in UNSEEN
+        top = stack[-1][0]
         if unseen:
-            stack.append((stack[-1][0], tag))
+            push(top, tag)
             continue
-        top = stack[-1][0]
-        tree.parent.append(top)
-        tree.kind.append((tag, m[3]))
-        tree.text.append(None)
-        tree.block.append(block)
-        tree.linked.append(links > 0)
-        tree.label.append(0 if "data-y" in m[3] and "data-y=0" in m[3] else 1 if "data-y=1" in m[3] else tree.label[top])
-        stack.append((len(tree.parent) - 1, tag))
+        label = 0 if "data-y=0" in attributes else 1 if "data-y=1" in attributes else tree.label[top]
+        push(add(top, (tag, attributes), None, label), tag)
     add_text(html[pos:])
     return tree
 
 
-@lru_cache(50_000)
+@lru_cache(10_000)
 def _features(tag: str, attributes: str) -> tuple[int, ...]:
     """Features that a node's tag and attributes have."""
     out = [TAGS.index(tag) if tag in TAGS else len(TAGS) if tag != "#text" else len(TAGS) + 1]
@@ -166,9 +185,14 @@ def _features(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def by_level(depth: np.ndarray) -> list[np.ndarray]:
+    """Nodes of each depth from 0."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
+
+
 class Forest(NamedTuple):
     parent: np.ndarray
-    depth: np.ndarray
+    levels: list[np.ndarray]
     sets: np.ndarray  # features of each kind of node
     kind: np.ndarray
     numbers: np.ndarray
@@ -180,28 +204,21 @@ def forest(trees: list[Tree]) -> Forest:
     for t in trees:
         parents.append(np.array(t.parent) + np.where(np.array(t.parent) >= 0, base, 0))
         kinds += [seen.setdefault(_features(*k), len(seen)) for k in t.kind]
-        numbers += [(len(x), len(x) if a else 0, x.rstrip()[-1:] in ".!?…\"”»:;" , "©" in x or "&copy" in x) if x is not None else (0, 0, 0, 0) for x, a in zip(t.text, t.linked)]
+        numbers += [(len(x), len(x) if a else 0, x.rstrip()[-1:] in ".!?…\"”»:;", "©" in x) if x is not None else (0, 0, 0, 0) for x, a in zip(t.text, t.linked)]
         base += len(t.parent)
     parent = np.concatenate(parents)
     raw = np.array(numbers, float)
-    depth = np.zeros(len(parent), np.int64)
-    for _ in range(100_000):  # all nodes of a level at a time
-        new = np.where(parent >= 0, depth[parent] + 1, 0)
-        if (new == depth).all():
-            break
-        depth = new
+    levels = by_level(np.concatenate([np.array(t.depth) for t in trees]))
     total = raw.copy()
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        for c in range(4):
-            total[:, c] += np.bincount(parent[at], total[at, c], len(parent))
+    for at in reversed(levels[1:]):
+        np.add.at(total, parent[at], total[at])
     size, share = total[:, 0], total[:, 1] / np.maximum(total[:, 0], 1)
     text = raw[:, 0] > 0
     numeric = np.stack([np.ones(len(parent)), np.log1p(size) / 8, share, (size > 0) & (size < 40), size > 200, share > 0.6, text & (raw[:, 2] > 0), text & (raw[:, 3] > 0), text & (size < 25)], axis=1).astype(float)
     sets = np.zeros((len(seen), FEATURES))
     for f, k in seen.items():
         sets[k, list(f)] = 1
-    return Forest(parent, depth, sets, np.array(kinds), numeric)
+    return Forest(parent, levels, sets, np.array(kinds), numeric)
 
 
 class Model(NamedTuple):
@@ -216,12 +233,11 @@ class Model(NamedTuple):
         unary = (f.sets @ self.tags)[f.kind] + f.numbers @ self.numbers
         (w00, w01), (w10, w11) = self.pair
         up, message = unary.copy(), np.zeros(len(unary))
-        levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=0)) + 1)]
-        for at in reversed(levels[1:]):
+        for at in reversed(f.levels[1:]):
             message[at] = np.logaddexp(w10, w11 + up[at]) - np.logaddexp(w00, w01 + up[at])
-            up += np.bincount(f.parent[at], message[at], len(up))
+            np.add.at(up, f.parent[at], message[at])
         belief, above = up.copy(), np.zeros(len(up))
-        for at in levels[1:]:
+        for at in f.levels[1:]:
             above[at] = belief[f.parent[at]] - message[at]
             belief[at] = up[at] + np.logaddexp(w01, w11 + above[at]) - np.logaddexp(w00, w10 + above[at])
         return 1 / (1 + np.exp(-np.clip(belief, -500, 500))), up, above
@@ -340,7 +356,7 @@ def trained() -> Model:
 
 def extract(pages: list[str | None], model: Model) -> list[str]:
     """Main text of each page: blocks of the text nodes that are content more likely than not."""
-    trees = [parse((p or "").replace("\0", "")) for p in pages]
+    trees = [parse(p or "") for p in pages]
     if not trees:
         return []
     marginal, _, _ = model.marginals(forest(trees))
@@ -355,7 +371,7 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
                     last = block
                 blocks[-1].append(text)
         base += len(t.parent)
-        texts = (" ".join(unescape("".join(b)).split()) for b in blocks)
+        texts = (" ".join("".join(b).split()) for b in blocks)
         out.append("\n\n".join(x for x in texts if x))
     return out
 
@@ -364,7 +380,8 @@ def main_text(pages: DataFrame, html: str = "html", model: Model | None = None,
     """``pages`` with text and n_chars (which replace columns of these names): the main text of the whole html, and its code points.
 
     Null or empty html, and pages without content, have an empty text. Character references are decoded, white space within a
-    block becomes one blank, blocks are joined by two line feeds in page order. Repeated rows are extracted again. The model is trained on the driver, from
+    block becomes one blank, blocks are joined by two line feeds in page order; no other character is dropped. Pages may be of any length and depth.
+    Repeated rows are extracted again, no rows give no rows. The model is trained on the driver, from
     pages that ``labelled_pages`` makes, and sent to the tasks (about 1 KB).
     """
     model = model or trained()

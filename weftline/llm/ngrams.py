@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import erfc, exp, sqrt
+from math import ceil, erfc, exp, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
-from weftline.llm.store import batched, cut, partitions, pick, small, trim
+from weftline.llm.store import TRIM, batched, cut, partitions, pick, small, trim
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
 WORDS, PERCENT = 5, 80
@@ -433,10 +433,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     def exact(pairs: DataFrame) -> DataFrame:
         """Pairs that are linked. The sets of b's go to those of a's, LEAVES at a time, from the texts again, and are intersected."""
+        pairs = trim(pairs)
         degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("chunks"))
         pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
         goals = pairs.select(F.col("b").alias("node"), "a", "chunk", "b").union(pairs.select(F.col("a"), "a", "chunk", F.lit(None).cast("long")).distinct())
-        goals = goals.groupBy("node").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("goals"))
+        goals = goals.coalesce(ceil(max(pairs.count(), 1) / TRIM)).groupBy("node").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("goals"))
         needed = trim(pick(nodes.select("node", "uid", "n"), trim(goals), "node"))
         sent = needed.agg(F.sum(F.col("n") * F.size("goals"))).first()[0] or 0
         sets = pick(rows.select("uid", "text"), needed.select("uid", "node", "goals"), "uid").select("node", "goals", "text")
@@ -462,7 +463,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     stars = met.select("a", "b").mapInArrow(_longs("a", "b"), "a long, b long").distinct()
     stars = trim(possible(stars))
-    first = trim(stars.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    first = stars.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
     parts = trim(components(exact(first)))
     records = met.select("keys", "nodes").mapInArrow(_longs("keys", "nodes"), "keys long, nodes long")
     records = cut(records.select("keys", (F.col("nodes").bitwiseAND(F.lit(-2))).alias("node"), (F.col("nodes") % 2 != 0).alias("less")).distinct())
@@ -473,7 +474,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     left = marked(records, "node", "component").join(small(large), "keys", "left").withColumn("lo", deal(F.coalesce("tiles", F.lit(1))))
     near = tiled(left.select("*", F.lit(0).alias("hi"), F.lit(0).alias("side"), F.lit(True).alias("own")), True)
     pairs = possible(near.where("more is null").select("a", "b")).select("a", "b").union(apart(stars.select("a", "b"))).distinct()
-    parts = grown(parts, exact(trim(pairs)))
+    parts = grown(parts, exact(pairs))
     # in full: signatures of which step 3 has not sent all pairs, and those of several tiles
     keys = trim(near.where("more is not null").select(F.col("more").alias("keys")).union(large.select("keys")).distinct())
     left = cut(marked(records.join(small(keys), "keys", "left_semi"), "node", "component"))
@@ -485,7 +486,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     as_lo = "case when tile < tiles then transform(sequence(tile + 1, tiles + rest - 1), x -> struct(tile as lo, x as hi, 0 as side, x = tiles as own)) end"
     as_hi = "case when tile > 0 then transform(sequence(0, least(tile, tiles) - 1), x -> struct(x as lo, tile as hi, 1 as side, false as own)) end"
     left = left.select("*", F.explode(F.expr(f"flatten(filter(array({as_lo}, {as_hi}), x -> x is not null))")).alias("x")).select("*", "x.*")
-    pairs = trim(possible(tiled(left, False).select("a", "b")).select("a", "b"))
+    pairs = possible(tiled(left, False).select("a", "b")).select("a", "b")
     parts = grown(parts, exact(pairs))
     joined = cut(nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))

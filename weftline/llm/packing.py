@@ -18,7 +18,7 @@ from weftline.llm.store import batched, cut
 
 LIMIT = 2048
 #: Pieces that are packed together, islands that search for each such set, and what each island does.
-CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 3, 4
+CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 6, 12
 #: Bins of a first round with more room than this are opened again and packed together.
 ROOM = 32
 #: Bytes of words and their ids that a Python worker keeps at most, and what a word takes besides.
@@ -135,6 +135,27 @@ class Bins:
         insort(self.rooms, (self.limit - sum(self.lengths[i] for i in items), len(self.items)))
         self.items.append(items)
 
+    def exchange(self, loose: list[int]) -> list[int]:
+        """Fill kept bins better: one item of each goes for the largest loose one that there is room for instead. What is loose then."""
+        lengths = self.lengths
+        held = sorted((lengths[i], i) for i in loose)
+        rooms = []
+        for room, b in self.rooms:
+            best = None
+            for i in self.items[b] if room else ():
+                at = bisect_left(held, (lengths[i] + room + 1, -1)) - 1
+                if at >= 0 and (gain := held[at][0] - lengths[i]) > 0 and (best is None or gain > best[0]):
+                    best = gain, at, i
+            if best:
+                gain, at, i = best
+                self.items[b] = [x for x in self.items[b] if x != i] + [held.pop(at)[1]]
+                insort(held, (lengths[i], i))
+                room -= gain
+            if room:
+                rooms.append((room, b))
+        self.rooms = sorted(rooms)
+        return [i for _, i in held]
+
     def add(self, items: list[int]) -> None:
         """Largest first."""
         rooms, held, lengths = self.rooms, self.items, self.lengths
@@ -159,7 +180,7 @@ def _fit(bins: list[list[int]], lengths: list[int], limit: int) -> tuple[int, fl
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], limit: int, rng: np.random.Generator) -> list[list[int]]:
     """Inject whole well-filled bins of ``b`` into ``a``, drop the bins of ``a`` that hold any of their items, best-fit what that displaces.
 
-    Some of the worst-filled other bins are opened too (mutation).
+    Some of the worst-filled other bins are opened too (mutation), and before best fit loose items go for smaller ones of kept bins.
     """
     fills = np.array([sum(lengths[i] for i in x) for x in b])
     good = np.argsort(-fills, kind="stable")[: max(1, len(b) // 2)]
@@ -180,7 +201,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], limit:
         loose += x
     for x in rest[:kept]:
         child.keep(list(x))
-    child.add(loose)
+    child.add(child.exchange(loose))
     return child.items
 
 

@@ -39,7 +39,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licences(table(spark, sf_dir, "documents")).drop("spans")
+    return licences.licences(table(spark, sf_dir, "documents"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,11 @@ def partitions(spark: SparkSession, bytes_: int = 0, per: int = 64 << 20) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // per))
 
 
-def trim(df: DataFrame, per: int = 200_000) -> DataFrame:
+#: Small rows that a partition of a trimmed table holds.
+TRIM = 200_000
+
+
+def trim(df: DataFrame, per: int = TRIM) -> DataFrame:
     """``cut``, read back in one partition for ``per`` rows, so that a small table is no burden of empty tasks and files."""
     kept = cut(df)
     return kept.coalesce(max(1, -(-kept.count() // per)))

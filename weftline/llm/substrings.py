@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, SPREAD, exchanged, gathered, packets, repeated, split_repeats
 from weftline.llm.store import batched
-from weftline.llm.words import blocks, hashed, mix
+from weftline.llm.words import blocks, hashed, mix, powers
 
 WINDOW = 35
 #: Records that a task holds before it sends them.
 RECORDS = 1 << 20
 
 
-def reach(window: int) -> tuple[int, int]:
-    """(rounds, words on either side that settle a boundary after them) that a window of so many words allows.
+def reach(window: int) -> tuple[int, int, int]:
+    """(rounds, words on either side that settle a boundary and the symbols about it, words on either side that these symbols lie in) that a window allows.
 
     A round of runs joins exactly two equal neighbours: whether it does depends on two words on either side, and symbols
-    are two words at most. Each round of pairs doubles the words of a symbol and adds the words of one to what settles a boundary. A
-    window needs a boundary in its settled middle: more words there than a symbol can have.
+    are two words at most. Each round of pairs doubles the words of a symbol and adds the words of one to what settles a boundary. The symbols about a
+    boundary are those wholly within one and a half times the longest symbol. A window needs a boundary in its settled middle: more words there than a symbol can have.
     """
-    rounds, side, span = 1, 2, 2
-    while window - 2 * (side + span) + 1 > 2 * span and rounds < 3:
+    found, rounds, side, span = (0, 0, 0), 1, 2, 2
+    while window - 2 * (side + span * 3 // 2) + 1 > span:
+        found = rounds, side + span * 3 // 2, span * 3 // 2
         rounds, side, span = rounds + 1, side + span, 2 * span
-    return (rounds, side) if window - 2 * side + 1 > span else (0, 0)
+    return found
 
 
 def boundaries(h: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +95,10 @@ def spans(h: np.ndarray, n: int) -> np.ndarray:
 def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys) by which equal windows know each other: in the settled middle of each window, the symbol boundaries with the least key.
 
-    A key is a hash of the words that settle the boundary, so two equal windows choose the same places with the same keys.
-    Windows too short for that choose every place, with the window's hash as its key.
+    A key is a hash of the names of the symbols about the boundary, and of where they begin, so two equal windows choose the same places with the same
+    keys. Windows too short for that choose every place, with the window's hash as its key.
     """
-    rounds, side = reach(window)
+    rounds, side, about = reach(window)
     n = len(h)
     of = np.zeros(n + 1, np.int64)
     np.add.at(of, first[1:-1], 1)
@@ -107,11 +108,15 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
         return inside, np.zeros(0, np.uint64)
     if not rounds:
         return inside, spans(h, window)[inside]
-    at, _ = boundaries(h, first, rounds)
+    at, name = boundaries(h, first, rounds)
     top = np.uint64(2**64 - 1)
     value = np.full(n, top)
-    at = at[(at >= side) & (at <= n - side)]
-    value[at] = np.minimum(spans(h, 2 * side)[at - side], top - np.uint64(1))
+    lo, hi = np.searchsorted(at, at - about), np.searchsorted(at, at + about, "right") - 1
+    up, down = powers(len(at) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(name, 300) * up[: len(at)])])
+    key = mix((sums[hi] - sums[lo]) * down[lo] + mix(((at - at[lo]) * 64 + at[hi] - at).astype(np.uint64), 301), 302)
+    on = (at >= side) & (at <= n - side)
+    value[at[on]] = np.minimum(key[on], top - np.uint64(1))
     wide = window - 2 * side + 1  # places in the middle of a window: side .. window - side
     value = np.concatenate([value, np.full(1, top)])
     least = _running(value, wide, True)[side:]  # of the window that starts at i
@@ -191,7 +196,7 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windowed(text: str, window: int, n: int) -> "callable":
-    rounds, side = reach(window)
+    rounds, side, _ = reach(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packets of (window hash; row, start) of the windows that a repeated anchor is in the middle of."""
@@ -252,8 +257,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     too, and windows are judged on the input. Null and empty texts have no words. Rows that repeat an id, or are equal altogether, are texts
     of their own, so equal rows lose all their windows. No rows give no rows.
 
-    Two passes exchange records: anchors of recompression symbols (about one in ten words), then windows around anchors that are shared. A window's
-    own hash decides, so a shared symbol alone removes nothing. Records are of fixed size and dealt by hash, in packets; a key sends one record a
+    Two passes exchange records: names of recompression symbols about chosen boundaries (about one in nine words), then windows around those that are shared. A window's
+    own hash decides, so shared symbols alone remove nothing. Records are of fixed size and dealt by hash, in packets; a key sends one record a
     packet to its bucket, and only the row and place of repeated ones go on. Hashes of 64 bits stand for word sequences and rows.
     Texts are dealt by row once: all three passes read whole rows, so that Spark finds one exchange in the plan thrice and writes it once.
     """

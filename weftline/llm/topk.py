@@ -36,8 +36,15 @@ def _pack(rows: int) -> "callable":
 
 
 def scores(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Inner products of query rows with n candidates: each term's postings are scattered, weighted, into dense arrays."""
-    out = np.zeros((len(queries), n), np.int64)
+    """Inner products of query rows with n candidates: each term's postings are scattered, weighted, into dense arrays.
+
+    Sums that could leave 64 bits are added up as Python's integers and held to the ends of their range.
+    """
+    peak = lambda x: max(-int(x.min(initial=0)), int(x.max(initial=0)))
+    most = sum(peak(queries[:, t]) * peak(postings[t][1]) for t in range(min(queries.shape[1], len(postings))))
+    if most >= 2**63:
+        queries, postings = queries.astype(object), [(at, value.astype(object)) for at, value in postings]
+    out = np.zeros((len(queries), n), queries.dtype)
     for t in range(min(queries.shape[1], len(postings))):
         at, value = postings[t]
         on = np.flatnonzero(queries[:, t])
@@ -47,7 +54,7 @@ def scores(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n
             out += queries[:, t, None] * value[None, :]
         else:
             out[np.ix_(on, at)] += queries[on, t, None] * value[None, :]
-    return out
+    return out if out.dtype == np.int64 else np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
@@ -81,7 +88,7 @@ def _search(k: int) -> "callable":
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates with the highest integer inner products for each query.
 
-    Components become floor(scale * x). ``is_query`` is an SQL condition on vec_id; candidates are all rows but those of
+    Components become floor(scale * x), held like scores to the range of 64 bits. ``is_query`` is an SQL condition on vec_id; candidates are all rows but those of
     the query's own id, ties go to the smaller id. Vectors or ids that are null, or vectors that hold null or non-finite
     components, take no part; a shorter vector counts as filled up with zeros, an empty one scores 0. Every repeated row
     is a candidate, and a query, of its own. Query blocks meet candidate blocks by a join on the query block and a salt, so candidates are spread
