@@ -22,7 +22,7 @@ CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 6, 12
 #: Bins of a first round with more room than this are opened again and packed together.
 ROOM = 32
 #: Bytes of words and their ids that a Python worker keeps at most, and what a word takes besides.
-KNOWN, ENTRY = 64 << 20, 170
+KNOWN, ENTRY = 144 << 20, 170
 
 
 @lru_cache(2)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.exchange import KIND, SPREAD, exchanged, gathered, packets, repeated, split_repeats
+from weftline.llm.exchange import KIND, exchanged, gathered, packets, repeated, split_repeats
 from weftline.llm.store import batched
 from weftline.llm.words import blocks, hashed, mix, powers
 
@@ -264,7 +264,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = batched(docs).select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).repartition(n, "uid")
-    many = n * SPREAD
+    many = n  # a bucket a partition: packets are one a task and bucket at most
     keyed = exchanged(rows.mapInArrow(_keyed(text, window, many), KIND), n)
     shared = exchanged(keyed.mapInArrow(_twice(many), KIND), n).mapInArrow(_by_row, "uid long, places binary")
     seen = exchanged(rows.join(shared, "uid").mapInArrow(_windowed(text, window, many), KIND), n)
