@@ -18,11 +18,13 @@ from weftline.llm.store import batched, cut
 
 LIMIT = 2048
 #: Pieces that are packed together, islands that search for each such set, and what each island does.
-CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 6, 12
+CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 5, 10
+#: Generations without a better individual that end an epoch.
+STILL = 3
 #: Bins of a first round with more room than this are opened again and packed together.
 ROOM = 32
 #: Bytes of words and their ids that a Python worker keeps at most, and what a word takes besides.
-KNOWN, ENTRY = 144 << 20, 170
+KNOWN, ENTRY = 192 << 20, 170
 
 
 @lru_cache(2)
@@ -208,7 +210,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], limit:
 def evolve(population: list[list[list[int]]], lengths: list[int], limit: int, rng: np.random.Generator, size: int, generations: int) -> list[list[list[int]]]:
     """Individuals after some generations, best first; an island without any begins with best fit, largest first and nearly so.
 
-    An individual with as few bins as the sum of lengths allows ends the search.
+    An individual with as few bins as the sum of lengths allows ends the search, and so do STILL generations that find none with fewer.
     """
     least = -(-sum(lengths) // limit)
     while len(population) < size:
@@ -221,8 +223,11 @@ def evolve(population: list[list[list[int]]], lengths: list[int], limit: int, rn
         if len(bins.items) == least:
             break
     population = sorted(population, key=lambda x: _fit(x, lengths, limit), reverse=True)[:size]
+    still, best = 0, len(population[0])
     for _ in range(generations):
-        if len(population[0]) == least or len(population) < 2:
+        still = 0 if len(population[0]) < best else still + 1
+        best = len(population[0])
+        if best == least or len(population) < 2 or still > STILL:
             break
         i, j = sorted(rng.choice(len(population), 2, replace=False))
         population.append(crossover(population[i], population[j], lengths, limit, rng))
