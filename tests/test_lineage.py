@@ -55,6 +55,6 @@ def test_templates():
 def test_connectors(spark, tmp_path):
     assert connectors.options("mysql", "h", "d") == {"format": "jdbc", "url": "jdbc:mysql://h:3306/d", "driver": "com.mysql.cj.jdbc.Driver"}
     assert len(connectors.CONNECTORS) == 18 and connectors.existence(spark, "no_such_table") == "ABSENT"
-    connectors.copy(spark, spark.range(3), "t", kind="file", db=str(tmp_path))
-    assert connectors.read(spark, "t", kind="file", db=str(tmp_path)).count() == 3
+    connectors.copy(spark, spark.range(3), "t", kind="s3", url=str(tmp_path))
+    assert connectors.read(spark, "t", kind="s3", url=str(tmp_path)).count() == 3
     assert connectors.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"

@@ -51,19 +51,20 @@ def masked_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"(?i)(password=)[^&;]*", "$1***"), r"(://[^:/@]+:)[^@/]+@", "$1***@")
 
 
-#: What is redacted, in this order; fixed patterns.
+#: What is redacted, in this order; fixed patterns: an address after -h, passwords, tokens and keys, the authority of an address, IPv4.
 SECRETS = (
-    (r"(?i)(--?(?:host|h)[= ])\S+", "$1<redacted>"),
-    (r"(?i)((?:password|passwd|pwd)\s*[=:]\s*)\S+", "$1<redacted>"),
-    (r"(?i)((?:token|api_?key|secret)\s*[=:]\s*)\S+", "$1<redacted>"),
-    (r"(\w+://)[^/\s]*@", "$1<redacted>@"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<redacted>"),
+    r"-h\s+\d+\.\d+\.\d+\.\d+",
+    r"(?i)\w*password[=:\s]+\S+",
+    r"(?i)\b(?:token|apikey|api_key|secret)[=:]\s*\S+",
+    r"(?i)://(?:[^/\s\"'@]+@)?[a-z0-9][a-z0-9_.\-]*(?::\d+)?",
+    r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
 )
 
 
 def redacted(text: Column) -> Column:
-    for pattern, to in SECRETS:
-        text = F.regexp_replace(text, pattern, to)
+    """Secrets, hosts and addresses become <redacted>."""
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "<redacted>")
     return text
 
 
@@ -77,7 +78,8 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\s+", " ")), 256)
 
 
-LICENCES = ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "unlicense")
+#: Licences that allow redistribution; fixed values.
+LICENCES = ("apache-2.0", "mit", "bsd-2-clause", "bsd-3-clause", "isc")
 
 
 def allowed_licence(name: Column) -> Column:

@@ -28,18 +28,27 @@ def named_alike(parsed: DataFrame, declared: DataFrame) -> DataFrame:
     return a.join(b, "k", "full").select(F.coalesce("d", "p").alias("name"), c.alias("confidence"))
 
 
-#: Namespaces of engines' own tables; fixed values.
-SYSTEM = {"mysql": ("information_schema", "mysql", "performance_schema", "sys"), "postgresql": ("information_schema", "pg_catalog"), "oracle": ("sys", "system"), "hive": ("information_schema", "sys")}
+#: Namespaces of engines' own tables: those of every engine, and those of one; fixed values.
+COMMON = ("information_schema",)
+SYSTEM = {
+    "postgres": ("pg_catalog", "pg_toast"),
+    "mysql": ("mysql", "sys", "performance_schema"),
+    "mariadb": ("mysql", "sys", "performance_schema"),
+    "starrocks": ("mysql", "sys", "performance_schema"),
+    "doris": ("mysql", "sys", "performance_schema"),
+    "sqlserver": ("sys",),
+    "oracle": ("sys", "system"),
+}
 
 
 def system_table(name: Column, engine: Column) -> Column:
-    """Whether a qualified name is of an engine's own tables; those of all engines for an unknown one."""
-    first = F.when(name.contains("."), F.lower(F.substring_index(name, ".", 1)))
-    every = sorted({x for v in SYSTEM.values() for x in v})
-    out = first.isin(every)
+    """Whether the last but one part of a qualified name is a namespace of the engine's own tables; a bare name's is none, an unknown engine has the common ones."""
+    parts = F.split(F.trim(name), r"\.")
+    schema = F.when(F.size(parts) >= 2, F.lower(F.element_at(parts, -2)))
+    own = F.lit(False)
     for k, v in SYSTEM.items():
-        out = F.when(F.lower(engine) == k, first.isin(*v)).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+        own = F.when(F.lower(engine) == k, schema.isin(*v)).otherwise(own)
+    return F.coalesce(schema.isin(*COMMON) | own, F.lit(False))
 
 
 def hybrid(model: Column, ast: Column, strategy: str) -> Column:

@@ -58,11 +58,22 @@ def masked(t):
     return t.read("pages").select("page_id", s.masked_url(F.concat(F.lit("jdbc:x://u:p"), "page_id", F.lit("@h/db?password=s"), "page_id", F.lit("&a=1"))).alias("url"))
 
 
-@_r.query("scl_15_redacted", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(--?(?:host|h)[= ])\S+', '\1<redacted>', 'gi'), '((?:password|passwd|pwd)\s*[=:]\s*)\S+', '\1<redacted>', 'gi'), '((?:token|api_?key|secret)\s*[=:]\s*)\S+', '\1<redacted>', 'gi'), '(\w+://)[^/\s]*@', '\1<redacted>@', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '<redacted>', 'g')) AS h FROM documents")
+_REDACTED = "text"
+for _pattern in s.SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '<redacted>', 'g')"
+
+
+@_r.query("scl_15_redacted", f"SELECT doc_id, md5({_REDACTED}) AS h FROM documents")
 def redacted(t):
     return _docs(t).select("doc_id", F.md5(s.redacted(F.col("text"))).alias("h"))
 
 
+@_r.query("scl_15_redacted_cases", r"""SELECT * FROM (VALUES (1, 'mysql <redacted> -u a'), (2, '<redacted> x'), (3, '<redacted>'), (4, 'jdbc:mysql<redacted>/db?a=1'), (5, 's3<redacted>/key'), (6, 'at <redacted>.'), (7, 'plain.table_1')) v(k, text)""")
+def redacted_cases(t):
+    texts = ["mysql -h 10.0.0.5 -u a", "PGPASSWORD=abc x", "api_key: xyz", "jdbc:mysql://u:p@db.host-1:3306/db?a=1", "s3://bucket/key", "at 192.168.1.20.", "plain.table_1"]
+    return t.spark.createDataFrame([(k + 1, x) for k, x in enumerate(texts)], "k int, text string").select("k", s.redacted(F.col("text")).alias("text"))
+
+
 @_r.query("scl_16_dedup_key", r"SELECT doc_id, substr(sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 1, 16) AS k FROM documents")
 def dedup_key(t):
     return _docs(t).select("doc_id", s.dedup_key(F.col("text")).alias("k"))
@@ -73,9 +84,10 @@ def content_hash(t):
     return _docs(t).select("doc_id", s.content_hash(F.col("text")).alias("h"))
 
 
-@_r.query("scl_18_allowed_licence", "SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS ok FROM supplier")
+@_r.query("scl_18_allowed_licence", "SELECT s_suppkey AS id, s_suppkey % 4 IN (0, 1) AS ok FROM supplier")
 def allowed(t):
-    name = F.when(F.col("s_suppkey") % 3 == 0, " MIT ").when(F.col("s_suppkey") % 3 == 1, "GPL-3.0")
+    k = F.col("s_suppkey") % 4
+    name = F.when(k == 0, " MIT ").when(k == 1, "ISC").when(k == 2, "Unlicense")
     return t.read("supplier").select(F.col("s_suppkey").alias("id"), s.allowed_licence(name).alias("ok"))
 
 

@@ -128,6 +128,14 @@ def content(t):
     return t.task().join(bound, F.col("id") == F.col("task_id"), "left").select("id", k.first_filled(override, F.col("label"), F.col("name")).alias("content"))
 
 
+@_r.query("jon_20_run_timeouts", "SELECT i.id, i.task_id, i.started_at, 600 + t.id % 7 * 3600 * 24 AS timeout_seconds, i.started_at + to_seconds(600 + t.id % 7 * 3600 * 24) < TIMESTAMP '2024-01-31 00:00:00' AS expired FROM inst i JOIN task t ON i.task_id = t.id WHERE i.state = 'RUNNING' AND i.started_at IS NOT NULL")
+def timeouts(t):
+    routine = t.task().select(F.col("id").alias("task_id"), (600 + F.col("id") % 7 * 3600 * 24).alias("timeout_seconds"))
+    running = t.inst().where("state = 'RUNNING' and started_at is not null").select("id", "task_id", "started_at")
+    late = F.expr("started_at + make_dt_interval(0, 0, 0, timeout_seconds) < timestamp_ntz '2024-01-31 00:00:00'")
+    return running.join(routine, "task_id").select("id", "task_id", "started_at", "timeout_seconds", late.alias("expired"))
+
+
 @_r.query("jon_22_workflow_drift", "WITH v AS (SELECT task_id, max(priority) AS newest FROM run GROUP BY 1) SELECT r.id, r.priority AS pinned, v.newest, r.priority < v.newest OR r.state = 'WAITING' AS drifted FROM run r JOIN v USING (task_id)")
 def drift(t):
     newest = t.run().groupBy("task_id").agg(F.max("priority").alias("newest"))

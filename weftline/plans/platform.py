@@ -1,12 +1,11 @@
 """Streaming, sink and SQL-lineage queries."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from weftline.operators import keyed, sqllineage as sl
 from weftline.registry import Registry
 from weftline.sources import connectors
+from weftline.sources.store import folder
 from weftline.streaming import outbox
 
 _r = Registry()
@@ -14,9 +13,8 @@ QUERIES, ORACLES = _r.queries, _r.oracles
 
 
 def _folder(spark, name):
-    """A new folder where all executors can write: under the checkpoint folder of the session, else (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    """A new folder where all executors can write."""
+    return f"{folder(spark)}/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 
 
 @_r.query("stm_02_checkpoint_history", "SELECT id, CASE WHEN state = 'SUCCESS' AND row_number() OVER (PARTITION BY task_id, state ORDER BY id DESC) > 3 THEN 'EXPIRED' ELSE state END AS state FROM inst")
@@ -105,3 +103,11 @@ def column_lineage(t):
     sql = "SELECT c_mktsegment AS segment, sum(o_totalprice) AS total, max(o_orderkey) + 1 AS next, 'x' AS tag FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
     rows = [(c["target"], c["sources"], c["transform"]) for c in sl.columns(t.spark, sql)]
     return t.spark.createDataFrame(rows, "target string, sources array<string>, transform string")
+
+
+@_r.query("src_19_json_lines", "SELECT doc_id, lang, source, n_chars FROM documents")
+def json_lines(t):
+    """A JSON-lines sink and its scan."""
+    docs, path = t.read("documents").select("doc_id", "lang", "source", "n_chars"), _folder(t.spark, "lines")
+    docs.write.json(path)
+    return t.spark.read.schema(docs.schema).json(path)

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import readiness as r
+from weftline.functions import schedules
 from weftline.registry import Registry
 
 _r = Registry()
@@ -104,6 +105,15 @@ def due(t):
     return t.inst().where("finished_at between timestamp_ntz '2024-01-10' and timestamp_ntz '2024-01-11' and task_id is not null").select("task_id", "biz_date").dropDuplicates(["task_id", "biz_date"])
 
 
+@_r.query("rdy_15_due_by_schedule", "SELECT task_id, due, due < TIMESTAMP '2024-01-31 00:00:00' AS missed FROM (SELECT task_id, CASE task_id % 2 WHEN 0 THEN date_trunc('day', max(finished_at)) + INTERVAL 1 DAY ELSE date_trunc('second', max(finished_at)) + INTERVAL 6 HOUR END AS due FROM inst WHERE task_id IS NOT NULL GROUP BY task_id) WHERE due <= TIMESTAMP '2024-01-31 01:00:00'")
+def due_by_schedule(t):
+    """Next fire of each task after its last, by cron or interval, up to an hour ahead; one row a task and instant."""
+    last = t.inst().where("task_id is not null").groupBy("task_id").agg(F.date_trunc("second", F.max("finished_at")).cast("timestamp_ntz").alias("base"))
+    last = last.select("task_id", "base", F.when(F.col("task_id") % 2 == 0, "0 0 0 * * ?").alias("cron"), F.lit(6 * 3600).alias("seconds"))
+    found = last.select("task_id", schedules.next_fire("base", "cron", "seconds").alias("due")).where("due <= timestamp_ntz '2024-01-31 01:00:00'")
+    return found.dropDuplicates(["task_id", "due"]).select("task_id", "due", F.expr("due < timestamp_ntz '2024-01-31 00:00:00'").alias("missed"))
+
+
 @_r.query("rdy_16_lost_fires", "SELECT r.id, CASE WHEN i.task_id IS NOT NULL THEN 'FILLED' WHEN r.priority <= 2 THEN 'REPLAY' WHEN r.priority = 3 THEN 'SKIP' ELSE 'DEAD' END AS action FROM run r LEFT JOIN (SELECT DISTINCT task_id FROM inst WHERE state = 'SUCCESS') i ON i.task_id = r.task_id WHERE r.state = 'WAITING'")
 def lost(t):
     filled = t.inst().where("state = 'SUCCESS'").select("task_id").distinct().withColumn("filled", F.lit(True))

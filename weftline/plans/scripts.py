@@ -36,10 +36,9 @@ def script(t):
     return sl.run_script(t.spark, "create or replace temporary view one as select * from nation where n_regionkey = 1; -- a; comment\nselect n_name as name from one;")
 
 
-@_r.query("src_14_connector_catalogue", "SELECT * FROM (VALUES ('rdb', 6), ('mpp', 5), ('nosql', 4), ('storage', 3)) v(family, n)")
+@_r.query("src_14_connector_catalogue", "SELECT * FROM (VALUES ('mysql', 'rdb', 3306), ('postgres', 'rdb', 5432), ('oracle', 'rdb', 1521), ('sqlserver', 'rdb', 1433), ('mariadb', 'rdb', 3306), ('db2', 'rdb', 50000), ('hive', 'mpp', 10000), ('impala', 'mpp', 21050), ('clickhouse', 'mpp', 8123), ('starrocks', 'mpp', 9030), ('doris', 'mpp', 9030), ('mongodb', 'nosql', 27017), ('redis', 'nosql', 6379), ('elasticsearch', 'nosql', 9200), ('hbase', 'nosql', 16000), ('s3', 'storage', 9000), ('hdfs', 'storage', 8020), ('ftp', 'storage', 21)) v(type, family, port)")
 def catalogue(t):
-    rows = [(k, v[0]) for k, v in connectors.CONNECTORS.items()]
-    return t.spark.createDataFrame(rows, "type string, family string").groupBy("family").agg(F.count("*").alias("n"))
+    return t.spark.createDataFrame([(k, v[0], v[4]) for k, v in connectors.CONNECTORS.items()], "type string, family string, port int")
 
 
 @_r.query("src_16_column_metadata", "SELECT column_name AS name FROM (DESCRIBE nation)")
@@ -145,10 +144,12 @@ def table_check(t):
     return c.named_alike(parsed, told)
 
 
-@_r.query("lin_16_system_namespace", "SELECT n_nationkey AS id, n_nationkey % 3 = 0 AS system FROM nation")
+@_r.query("lin_16_system_namespace", "SELECT n_nationkey AS id, n_nationkey % 8 IN (0, 2, 4, 5) AS system FROM nation")
 def system(t):
-    name = F.when(F.col("n_nationkey") % 3 == 0, "Information_Schema.tables").otherwise("dw.tables")
-    return t.read("nation").select(F.col("n_nationkey").alias("id"), c.system_table(name, F.lit("postgresql")).alias("system"))
+    cases = [("Information_Schema.tables", "hive"), ("dw.tables", "postgres"), ("db.pg_toast.x", "POSTGRES"), ("pg_catalog.x", "mysql"), ("performance_schema.y", "doris"), ("master.sys.objects", "sqlserver"), ("sys", "oracle"), ("sys.a.b", "oracle")]
+    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(e).alias("engine")) for n, e in cases))
+    x = F.get(table, (F.col("n_nationkey") % 8).cast("int"))
+    return t.read("nation").select(F.col("n_nationkey").alias("id"), c.system_table(x["name"], x["engine"]).alias("system"))
 
 
 @_r.query("lin_17_declared_columns", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'db.t' END AS table_name, CASE WHEN p_partkey % 2 = 0 THEN 'c' END AS column_name FROM part")

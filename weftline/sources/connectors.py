@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 #: type: (family, format, URL pattern, driver class, default port); fixed values.
 CONNECTORS = {
     "mysql": ("rdb", "jdbc", "jdbc:mysql://{host}:{port}/{db}", "com.mysql.cj.jdbc.Driver", 3306),
-    "postgresql": ("rdb", "jdbc", "jdbc:postgresql://{host}:{port}/{db}", "org.postgresql.Driver", 5432),
+    "postgres": ("rdb", "jdbc", "jdbc:postgresql://{host}:{port}/{db}", "org.postgresql.Driver", 5432),
     "oracle": ("rdb", "jdbc", "jdbc:oracle:thin:@{host}:{port}/{db}", "oracle.jdbc.OracleDriver", 1521),
     "sqlserver": ("rdb", "jdbc", "jdbc:sqlserver://{host}:{port};databaseName={db}", "com.microsoft.sqlserver.jdbc.SQLServerDriver", 1433),
     "mariadb": ("rdb", "jdbc", "jdbc:mariadb://{host}:{port}/{db}", "org.mariadb.jdbc.Driver", 3306),
     "db2": ("rdb", "jdbc", "jdbc:db2://{host}:{port}/{db}", "com.ibm.db2.jcc.DB2Driver", 50000),
-    "hive": ("mpp", "hive", "", "", 10000),
+    "hive": ("mpp", "hive", "", "org.apache.hive.jdbc.HiveDriver", 10000),
+    "impala": ("mpp", "jdbc", "jdbc:impala://{host}:{port}/{db}", "com.cloudera.impala.jdbc.Driver", 21050),
     "clickhouse": ("mpp", "jdbc", "jdbc:clickhouse://{host}:{port}/{db}", "com.clickhouse.jdbc.ClickHouseDriver", 8123),
-    "doris": ("mpp", "jdbc", "jdbc:mysql://{host}:{port}/{db}", "com.mysql.cj.jdbc.Driver", 9030),
     "starrocks": ("mpp", "jdbc", "jdbc:mysql://{host}:{port}/{db}", "com.mysql.cj.jdbc.Driver", 9030),
-    "greenplum": ("mpp", "jdbc", "jdbc:postgresql://{host}:{port}/{db}", "org.postgresql.Driver", 5432),
+    "doris": ("mpp", "jdbc", "jdbc:mysql://{host}:{port}/{db}", "com.mysql.cj.jdbc.Driver", 9030),
     "mongodb": ("nosql", "mongodb", "mongodb://{host}:{port}/{db}", "", 27017),
     "redis": ("nosql", "redis", "redis://{host}:{port}/{db}", "", 6379),
     "elasticsearch": ("nosql", "es", "http://{host}:{port}", "", 9200),
-    "hbase": ("nosql", "hbase", "{host}:{port}", "", 2181),
+    "hbase": ("nosql", "hbase", "{host}:{port}", "", 16000),
+    "s3": ("storage", "parquet", "s3a://{db}", "", 9000),
     "hdfs": ("storage", "parquet", "hdfs://{host}:{port}/{db}", "", 8020),
-    "s3": ("storage", "parquet", "s3a://{db}", "", 443),
-    "file": ("storage", "parquet", "{db}", "", 0),
+    "ftp": ("storage", "parquet", "ftp://{host}:{port}/{db}", "", 21),
 }
 
 
@@ -66,7 +66,7 @@ def existence(spark: SparkSession, table: str) -> str:
     """PRESENT, ABSENT, or UNKNOWN where the catalog can't say."""
     try:
         return "PRESENT" if spark.catalog.tableExists(table) else "ABSENT"
-    except (AnalysisException, Exception):  # noqa: BLE001  any failure of a remote catalog
+    except PySparkException:  # a remote catalog that fails
         return "UNKNOWN"
 
 

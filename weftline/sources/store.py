@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; without one a local folder will do in local mode alone."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder that the session names (else, in tests, a local one)."""
+    """Compute ``df`` once and keep it in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
