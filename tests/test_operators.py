@@ -57,9 +57,9 @@ def test_filters_without_values_pass_all(spark):
 
 def test_scalars(spark):
     row = spark.range(1).select(
-        s.biz_date(F.lit("20240230")).alias("none"), s.cross_cycle(F.lit("2024-03-01"), F.lit("LAST_DAY")).alias("before"), s.redacted(F.lit("pwd=abc jdbc://u:p@h 10.0.0.1")).alias("red"),
+        s.biz_date(F.lit("20240230")).alias("none"), s.cross_cycle(F.lit("2024-03-01"), F.lit("LAST_DAY")).alias("before"), s.redacted(F.lit("password=abc jdbc://u:p@h/x 10.0.0.1")).alias("red"),
         s.context(F.lit("# from a.b"), F.lit("b")).alias("c1"), s.context(F.lit("select * from x.b"), F.lit("b")).alias("c2"), s.canonical_columns(F.array(F.lit("t.A"), F.lit("*"))).alias("cc")).first()
-    assert (row["none"], row.before, row.red, row.c1, row.c2, row.cc) == (None, "2024-02-29", "pwd=<redacted> jdbc://<redacted>@h <redacted>", "comment", "table_ref", None)
+    assert (row["none"], row.before, row.red, row.c1, row.c2, row.cc) == (None, "2024-02-29", "<redacted> jdbc<redacted>/x <redacted>", "comment", "table_ref", None)
 
 
 def test_mcnemar(spark):
