@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set: the one of ``spark.checkpoint.dir``, else (tests) a local one."""
+    """Make sure that a checkpoint folder is set: the one of ``spark.checkpoint.dir``; without it a local one will do in local mode alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:
