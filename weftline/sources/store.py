@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def folder(spark: SparkSession) -> str:
     """The shared folder that the session names; without one a local folder will do in local mode alone."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
