@@ -187,15 +187,12 @@ def overlap(t):
     return docs.where("lang = 'en'").select(F.md5("text").alias("h")).intersect(docs.where("source in ('src1', 'src2')").select(F.md5("text").alias("h"))).agg(F.count("*").alias("shared"))
 
 
-@_r.query("set_07_requested_valid", "SELECT id, min(k) AS k FROM (SELECT l_suppkey AS id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) AS k FROM lineitem WHERE l_orderkey < 200) WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY id")
-def requested(t):
-    asked = t.read("lineitem").where("l_orderkey < 200").select(F.col("l_suppkey").alias("id"), F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).alias("k"))
-    valid = t.read("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
-    return k.first_of(asked.join(valid, "id", "left_semi"), "k", "id")
+_REQUESTED = "SELECT id, l_orderkey, l_linenumber, l_partkey FROM (SELECT l_suppkey AS id, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) WHERE k = 1"
 
 
-@_r.query("set_07_requested_valid_whole", "SELECT id, l_orderkey, l_linenumber, l_partkey FROM (SELECT l_suppkey AS id, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) WHERE k = 1")
-def requested_whole(t):
+@_r.query("set_07_requested_valid", _REQUESTED)
+@_r.query("set_07_requested_valid_whole", _REQUESTED)
+def requested(t):
     place = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     asked = t.read("lineitem").select(F.col("l_suppkey").alias("id"), place.alias("k"))
     valid = t.read("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
