@@ -83,9 +83,9 @@ def test_whole_tables_whatever_the_ids(spark, tmp_path):
     table("customer", [(1, "a", "m", 1, 0.0), (2500, "a", "m", 1, 0.0), (90000, "b", "m", 1, 0.0)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long, c_acctbal double")
     table("supplier", [(1, 5.0), (2, -5.0), (3, 5.0)], "s_suppkey long, s_acctbal double")
     table("lineitem", [(700, 1, 1, 9), (500, 2, 1, 8), (500, 1, 1, 7), (100, 1, 2, 6), (300, 1, 3, 5)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long")
-    got = catalog.QUERIES["set_07_requested_valid_whole"](spark, str(tmp_path))
+    got = catalog.QUERIES["set_07_requested_valid"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 500, 1, 7), (3, 300, 1, 5)]
-    got = catalog.QUERIES["evl_02_same_table_whole"](spark, str(tmp_path))
+    got = catalog.QUERIES["evl_02_same_table"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2500), (2500, 1), (2500, 2500), (90000, 90000)]
 
 
@@ -97,3 +97,35 @@ def test_long_paths_are_no_cycles(spark):
     assert {r.id: r.layer for r in graph.layers(e, n).collect()} == {i: i for i in range(15)}
     with pytest.raises(ValueError):
         graph.layers(loop, n)
+
+
+def test_places_over_range_parts(spark):
+    values = [(i * 37 % 101, "x") for i in range(101)] + [(7, "y")] * 60 + [(None, "z")]
+    rows = keyed.numbered(spark.createDataFrame(values, "v int, s string").repartition(5), "n", "v").collect()
+    assert sorted(r.n for r in rows) == list(range(len(values)))
+    assert [r.v for r in sorted(rows, key=lambda r: r.n)] == sorted((v for v, _ in values), key=lambda v: (v is not None, v or 0))
+    assert keyed.numbered(spark.createDataFrame([], "v int"), "n", "v").count() == 0
+
+
+def test_bootstrap_pairs_share_weights(spark):
+    rows = spark.createDataFrame([(i, i % 5, 1, 1, i % 5, 1, 1) for i in range(300)], "id int, tp_a int, fp_a int, fn_a int, tp_b int, fp_b int, fn_b int")
+    same = evaluation.paired_bootstrap(rows, seed=1, resamples=300).first()
+    assert (same.difference, same.low, same.high, same.significant) == (0, 0, 0, False)
+    better = evaluation.paired_bootstrap(rows.withColumn("tp_a", F.col("tp_a") + 1).withColumn("fn_a", F.lit(0)), seed=1, resamples=300).first()
+    assert better.significant and better.low < better.difference < better.high and better.f1_a > better.f1_b
+
+
+def test_bootstrap_interval_as_theory(spark):
+    rows = spark.range(900).select("id", (F.col("id") % 10).alias("v")).union(spark.createDataFrame([(1000, None)], "id long, v long"))
+    got = evaluation.bootstrap(rows, "v", seed=5).first()
+    spread = 1.96 * (8.25 / 900) ** 0.5
+    assert got["mean"] == 4.5 and abs(got.low - 4.5 + spread) < 0.03 and abs(got.high - 4.5 - spread) < 0.03
+    again = evaluation.bootstrap(rows.repartition(7), "v", seed=5).first()
+    assert abs(again.low - got.low) < 1e-9 and abs(again.high - got.high) < 1e-9
+
+
+def test_cross_validation_leaves_the_fold_out(spark):
+    rows = [(i, "good" if i % 2 else "bad", int(i % 2 == 1 or i % 10 == 0)) for i in range(100)]
+    scores, accepted = evaluation.cross_validated(spark.createDataFrame(rows, "id int, tier string, ok int"), 5, "id", "tier", "ok", 0.9)
+    s = scores.first()
+    assert (s.accepted, s.right, s.precision, s.recall) == (50, 50, 1.0, round(50 / 60, 6)) and [tuple(r) for r in accepted.collect()] == [("good", 5)]

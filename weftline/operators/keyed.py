@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.store import cut
+
 
 def without(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     return df.join(keys, list(on), "left_anti")
@@ -27,10 +29,20 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce(key, "_key").alias(key), change.alias("change"), "_new.*")
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of columns, which no single task sorts.
+
+    Ranges of the order are parts, kept as they fell; a row's place is that within its part and the rows of all parts before. One value's rows lie in one part.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn(name, place).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def zipped(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """Rows of equal place in the order of one column."""
-    n = F.row_number().over(Window.orderBy(order))
-    return a.withColumn("_n", n).join(b.withColumn("_n", n).drop(order), "_n").drop("_n")
+    return numbered(a, "_n", order).join(numbered(b, "_n", order).drop(order), "_n").drop("_n")
 
 
 def first_filled(*columns: Column) -> Column:

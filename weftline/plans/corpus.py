@@ -172,20 +172,15 @@ def table_sets(t):
     return _sets(t).select("k", F.size("gold").alias("n"))
 
 
-def _same_table(t, tasks):
-    a = tasks.select("id", F.concat(F.lit("db."), "name").alias("qualified"), F.col("name").alias("leaf"))
-    b = t.task().select(F.col("id").alias("other"), F.col("name").alias("leaf"))
-    return a.join(b, "leaf").where(s.same_table(F.col("qualified"), F.col("leaf"))).select("id", "other")
+_SAME_TABLE = "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name"
 
 
-@_r.query("evl_02_same_table", "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name WHERE a.id <= 2000")
+@_r.query("evl_02_same_table", _SAME_TABLE)
+@_r.query("evl_02_same_table_whole", _SAME_TABLE)
 def same_table(t):
-    return _same_table(t, t.task().where("id <= 2000"))
-
-
-@_r.query("evl_02_same_table_whole", "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.name")
-def same_table_whole(t):
-    return _same_table(t, t.task())
+    a = t.task().select("id", F.concat(F.lit("db."), "name").alias("qualified"), F.col("name").alias("leaf"))
+    b = t.task().select(F.col("id").alias("other"), F.col("name").alias("leaf"))
+    return a.join(b, "leaf").where(s.same_table(F.col("qualified"), F.col("leaf"))).select("id", "other")
 
 
 @_r.query("evl_04_row_counts", _COUNTS)
@@ -222,7 +217,7 @@ def gate_passed(t):
 
 @_r.query("evl_07_bootstrap_interval")
 def interval(t):
-    return e.bootstrap(_docs(t).select("doc_id", "n_chars"), "n_chars", seed=12, resamples=200)
+    return e.bootstrap(_docs(t).select("doc_id", "n_chars"), "n_chars", seed=12)
 
 
 @_r.query("evl_09_mcnemar")
@@ -236,18 +231,15 @@ def exact_match(t):
     return _counts(t).select("k", ((F.col("fp") == 0) & (F.col("fn") == 0)).alias("exact"))
 
 
-@_r.query("evl_11_ungrounded", "SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE NOT contains(d.text, substr(b.text, 1, 40)) GROUP BY d.doc_id")
-def ungrounded(t):
-    items = t.read("benchmark").select((F.col("item_id") % 40).alias("m"), F.substring("text", 1, 40).alias("name"))
-    rows = _docs(t).withColumn("m", F.col("doc_id") % 40).join(F.broadcast(items), "m")
-    return rows.where(~F.col("text").contains(F.col("name"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+_KEY = r"substr(sha256(regexp_replace(lower(trim({0}.text)), '\s+', ' ', 'g')), 1, 16)"
 
 
-_KEY = r"substr(sha256(regexp_replace(lower(trim({0}.text)), '\s+', ' ', 'g')), 1, 16)"
+_UNGROUNDED = f"SELECT d.doc_id, count(*) AS n FROM (SELECT doc_id, coalesce(text, '') AS text, {_KEY.format('documents')} AS k FROM documents) d CROSS JOIN (SELECT DISTINCT text, {_KEY.format('benchmark')} AS k FROM benchmark WHERE trim(text) <> '') b WHERE NOT contains(d.text, b.text) AND d.k IS DISTINCT FROM b.k GROUP BY d.doc_id"
 
 
-@_r.query("evl_11_ungrounded_whole", f"SELECT d.doc_id, count(*) AS n FROM (SELECT doc_id, coalesce(text, '') AS text, {_KEY.format('documents')} AS k FROM documents) d CROSS JOIN (SELECT DISTINCT text, {_KEY.format('benchmark')} AS k FROM benchmark WHERE trim(text) <> '') b WHERE NOT contains(d.text, b.text) AND d.k IS DISTINCT FROM b.k GROUP BY d.doc_id")
-def ungrounded_whole(t):
+@_r.query("evl_11_ungrounded", _UNGROUNDED)
+@_r.query("evl_11_ungrounded_whole", _UNGROUNDED)
+def ungrounded(t):
     names = t.read("benchmark").select(F.col("text").alias("name"))
     gold = _docs(t).select("doc_id", s.dedup_key(F.col("text")).alias("k")).join(names.select("name", s.dedup_key(F.col("name")).alias("k")), "k").select("doc_id", "name")
     return e.ungrounded(_docs(t), names, gold, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -303,6 +295,25 @@ def five_folds(t):
     return e.folds(t.read("labels"), 5, "doc_id").groupBy("fold").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
 
 
+_CV = "SELECT fold, lang, count(*) AS n, sum(quality)::BIGINT AS good FROM (SELECT l.quality, d.lang, (row_number() OVER (ORDER BY l.doc_id) - 1) % 5 AS fold FROM labels l JOIN documents d USING (doc_id)) GROUP BY ALL"
+_CV = f"SELECT *, rest_n > 0 AND rest_good >= 0.6 * rest_n AS ok FROM (SELECT *, sum(n) OVER (PARTITION BY lang) - n AS rest_n, sum(good) OVER (PARTITION BY lang) - good AS rest_good FROM ({_CV}))"
+
+
+def _validated(t):
+    rows = t.read("labels").select("doc_id", "quality").join(_docs(t).select("doc_id", "lang"), "doc_id")
+    return e.cross_validated(rows, 5, "doc_id", "lang", "quality", 0.6)
+
+
+@_r.query("evl_15_cross_validation", f"SELECT coalesce(sum(n) FILTER (WHERE ok), 0)::BIGINT AS accepted, coalesce(sum(good) FILTER (WHERE ok), 0)::BIGINT AS right, round(CASE WHEN coalesce(sum(n) FILTER (WHERE ok), 0) = 0 THEN 1 ELSE sum(good) FILTER (WHERE ok)::DOUBLE / sum(n) FILTER (WHERE ok) END, 6) AS precision, round(coalesce(sum(good) FILTER (WHERE ok), 0)::DOUBLE / sum(good), 6) AS recall FROM ({_CV})")
+def cross_validation(t):
+    return _validated(t)[0]
+
+
+@_r.query("evl_15_accepted_tiers", f"SELECT lang, count(*) AS folds FROM ({_CV}) WHERE ok GROUP BY lang")
+def accepted_tiers(t):
+    return _validated(t)[1]
+
+
 @_r.query("evl_16_threshold_sweep", f"SELECT th AS threshold, count(*) FILTER (WHERE good / n >= th) AS kept FROM ({_POINTS}), (SELECT unnest([0.45, 0.48, 0.49, 0.5]) AS th) GROUP BY th")
 def sweep(t):
     rows = _points(t).withColumn("threshold", F.explode(F.array(*(F.lit(x) for x in (0.45, 0.48, 0.49, 0.5)))))

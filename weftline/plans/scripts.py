@@ -226,5 +226,8 @@ def alignment(t):
 
 @_r.query("evl_08_paired_bootstrap")
 def paired(t):
-    rows = t.read("labels").where("quality is not null and toxic is not null").select("doc_id", (F.col("quality") - F.col("toxic")).alias("gap"))
-    return e.bootstrap(rows, "gap", seed=3, resamples=200).select("mean", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
+    """Two systems that name suppliers of an order: lines 1 to 4, and lines 2 to 5; gold are lines 1 to 3."""
+    n = F.col("l_linenumber")
+    seen = t.read("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(n <= 3).alias("g"), F.bool_or(n <= 4).alias("a"), F.bool_or((n >= 2) & (n <= 5)).alias("b"))
+    kinds = lambda x: (F.count_if(F.col("g") & F.col(x)).alias(f"tp_{x}"), F.count_if(~F.col("g") & F.col(x)).alias(f"fp_{x}"), F.count_if(F.col("g") & ~F.col(x)).alias(f"fn_{x}"))
+    return e.paired_bootstrap(seen.groupBy("l_orderkey").agg(*kinds("a"), *kinds("b")), seed=3)
