@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from weftline import catalog
 from weftline.functions import scalar as s
-from weftline.operators import evaluation, filters, graph, keyed, readiness
+from weftline.operators import evaluation, filters, graph, keyed, readiness, sqllineage
+from weftline.streaming import outbox
 
 
 def edges(spark):
@@ -129,3 +130,26 @@ def test_cross_validation_leaves_the_fold_out(spark):
     scores, accepted = evaluation.cross_validated(spark.createDataFrame(rows, "id int, tier string, ok int"), 5, "id", "tier", "ok", 0.9)
     s = scores.first()
     assert (s.accepted, s.right, s.precision, s.recall) == (50, 50, 1.0, round(50 / 60, 6)) and [tuple(r) for r in accepted.collect()] == [("good", 5)]
+
+
+def test_closed_path_of_a_cycle(spark):
+    path = lambda rows: [r.id for r in sorted(graph.closed_path(spark.createDataFrame(rows, "src int, dst int")).collect(), key=lambda r: r.place)]
+    tail = [(50, 3), (4, 60), (60, 61)]
+    assert path([(3, 9), (9, 4), (4, 3), *tail, (70, 71), (71, 70), (4, 70)]) == [3, 9, 4, 3]
+    assert path([(i, (i + 7) % 20) for i in range(20)]) == [i * 7 % 20 for i in range(21)]
+    assert path([(5, 5), (1, 5)]) == [5, 5]
+    assert path([(1, 2), (2, 3), (1, 3)]) == [] and path([]) == []
+
+
+def test_streams_resume_only_when_stopped():
+    assert outbox.resumed(lambda: "started", "SUSPENDED", True) == "started"
+    for state, resumable in (("RUNNING", True), ("STOPPED", False)):
+        with pytest.raises(ValueError):
+            outbox.resumed(lambda: "started", state, resumable)
+
+
+def test_column_edges_of_statements(spark):
+    rows = [(1, ["x", "y"], ["a"], [["s", "s", " "], []]), (2, None, ["a", "b", "c"], [["s"], ["u", "v"]]), (3, [], ["a"], [["s"], ["u"]]), (4, [" "], ["a"], [["s"]])]
+    df = spark.createDataFrame(rows, "statement int, targets array<string>, catalog array<string>, sources array<array<string>>")
+    assert {tuple(r) for r in sqllineage.column_edges(df).collect()} == {(1, "x", "s"), (2, "a", "s"), (2, "b", "u"), (2, "b", "v"), (3, "a", "s")}
+    assert {tuple(r) for r in sqllineage.degraded(df).collect()} == {(1, True), (2, True), (3, True), (4, False)}

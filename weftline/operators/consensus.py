@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,20 @@ def hybrid(model: Column, ast: Column, strategy: str) -> Column:
     return model if strategy == "model" else F.when(F.size(ast) > 0, ast).otherwise(model)
 
 
+def arbitrated(gold: Column, predicted: Column, grounded: Column) -> tuple[Column, Column]:
+    """(disputed, gold after arbitration): an empty gold set against a prediction is disputed, and flips only to an arbiter's grounded set that isn't empty."""
+    disputed = (F.size(gold) == 0) & (F.size(predicted) > 0)
+    return disputed, F.when(disputed & (F.size(grounded) > 0), grounded).otherwise(gold)
+
+
+def frozen_tiers(tiers: DataFrame, order: list, accepted: list, tier: str = "tier", good: str = "good", n: str = "n") -> DataFrame:
+    """``tiers`` (one row each) of a frozen order, with place, whether they are accepted, and the precision of each and all before; tiers outside the order are left out."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(tier))
+    rows = tiers.withColumn("place", place).where("place > 0")
+    w = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as the order has entries
+    return rows.withColumn("precision_so_far", F.round(F.sum(good).over(w) / F.sum(n).over(w), 6)).withColumn("accepted", F.col(tier).isin(accepted))
+
+
 def candidate_tier(sql: Column, model: Column, qualified: Column) -> Column:
     """agree, sql_qual, sql_bare, model_qual or model_bare."""
     return F.when(sql & model, "agree").when(sql & qualified, "sql_qual").when(sql, "sql_bare").when(qualified, "model_qual").otherwise("model_bare")

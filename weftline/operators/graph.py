@@ -96,6 +96,34 @@ def peeled(edges: DataFrame, rounds: int | None = None, key: list[str] | None =
     return left
 
 
+def _doubled(state: DataFrame, value: str, joined: Column, done: Column) -> DataFrame:
+    """``state`` (id, to, value) after as many doublings of ``to`` as it takes until ``done``, an aggregate, is true; each takes in the value that ``to`` has."""
+    while not state.agg(done).first()[0]:
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col(value).alias("_value"))
+        state = cut(state.join(ahead, "to").select("id", F.col("_to").alias("to"), joined.alias(value), (F.col(value) != joined).alias("changed")))
+    return state
+
+
+def closed_path(edges: DataFrame) -> DataFrame:
+    """(place, id) of one cycle of edges (src, dst), from its least node at 0 to the same node again; no rows if and only if there is no cycle.
+
+    Peeled from both ends, every node left has a successor; with the least of each, peeling again leaves cycles alone. The one with the least node is ranked
+    by doubling, so the joins grow with the logarithm of its length.
+    """
+    swap = lambda df: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    inner = swap(peeled(swap(peeled(edges))))
+    ring = peeled(inner.groupBy("src").agg(F.min("dst").alias("dst"))).select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    low = _doubled(ring.select("id", "to", F.least("id", "to").alias("low"), F.lit(True).alias("changed")), "low", F.least("low", "_value"), ~F.coalesce(F.max("changed"), F.lit(False)))
+    first = low.agg(F.min("low").alias("first"))
+    one = cut(ring.join(low.join(F.broadcast(first), F.col("low") == F.col("first")).select("id", "first"), "id"))
+    at = F.col("id") == F.col("first")
+    start = one.select("id", F.when(at, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(at, 0).otherwise(1).alias("left"))
+    left = _doubled(start, "left", F.col("left") + F.col("_value"), F.count_distinct("to") <= 1)
+    n = left.agg(F.count("*").alias("n"))
+    placed = left.join(n).select(F.when(F.col("left") == 0, 0).otherwise(F.col("n") - F.col("left")).alias("place"), "id")
+    return placed.unionByName(left.where("left = 0").join(n).select(F.col("n").alias("place"), "id"))
+
+
 def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, key: list[str] | None = None) -> DataFrame:
     """(key..., id, layer, x) of a graph without cycles: the longest path that leads to each node, and where that stands in a layout.
 

@@ -208,3 +208,23 @@ def declared_columns(text: Column) -> Column:
     """(table, column) of a declared table.column: the last point splits; null for a malformed one."""
     ok = text.rlike(r"^[\w]+(\.[\w]+)*\.[\w]+$")
     return F.when(ok, F.struct(F.regexp_extract(text, r"^(.*)\.[^.]+$", 1).alias("table"), F.regexp_extract(text, r"\.([^.]+)$", 1).alias("column")))
+
+
+def column_edges(statements: DataFrame) -> DataFrame:
+    """(statement, dst, src) of statements (statement, targets, catalog, sources), each edge once.
+
+    The i-th target is fed by the i-th list of sources: targets are those that the statement lists, else the table's columns in catalog order; what one
+    side has more is left out. Blank names and constants (no sources) have no edge.
+    """
+    fed = F.slice(F.arrays_zip(_targets().alias("dst"), F.col("sources").alias("src")), F.lit(1), F.least(F.size(_targets()), F.size("sources")))
+    pairs = statements.select("statement", F.explode(fed).alias("x")).select("statement", F.trim("x.dst").alias("dst"), F.explode("x.src").alias("src"))
+    return pairs.withColumn("src", F.trim("src")).where("dst <> '' and src <> ''").distinct()
+
+
+def _targets() -> Column:
+    return F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.col("catalog"))
+
+
+def degraded(statements: DataFrame) -> DataFrame:
+    """(statement, degraded): whether targets and sources differ in number, or a target has no source."""
+    return statements.select("statement", ((F.size(_targets()) != F.size("sources")) | F.exists("sources", lambda x: F.size(x) == 0)).alias("degraded"))

@@ -137,6 +137,11 @@ def percentiles(t):
     return _ms(t).groupBy("state").agg(*(F.percentile("ms", p / 100).alias(f"p{p}") for p in (50, 95, 99)), F.round(F.avg("ms"), 3).alias("mean"))
 
 
+@_r.query("agg_17_timer_tail", f"SELECT state, quantile_cont(ms, 0.999) AS p999, max(ms) AS longest FROM ({_MS}) GROUP BY state")
+def timer_tail(t):
+    return _ms(t).groupBy("state").agg(F.percentile("ms", 0.999).alias("p999"), F.max("ms").alias("longest"))
+
+
 @_r.query("agg_18_timer_buckets", f"SELECT state, count(*) FILTER (WHERE ms <= 100) AS le_100, count(*) FILTER (WHERE ms <= 1000) AS le_1000, count(*) FILTER (WHERE ms <= 5000) AS le_5000, count(*) FILTER (WHERE ms <= 60000) AS le_60000 FROM ({_MS}) GROUP BY state")
 def timer_buckets(t):
     return _ms(t).groupBy("state").agg(*(F.count_if(F.col("ms") <= b).alias(f"le_{b}") for b in (100, 1000, 5000, 60000)))

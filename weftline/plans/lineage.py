@@ -122,6 +122,14 @@ def cycles(t):
     return g.peeled(t.flow()).agg((F.count("*") > 0).alias("cyclic"))
 
 
+@_r.query("grf_15_cycle_path", "WITH RECURSIVE w(place, id) AS (SELECT 0, 0 UNION ALL SELECT place + 1, (id + 5) % 25 FROM w WHERE place < 5) SELECT place, id FROM w")
+def cycle_path(t):
+    """Nations that lead to the fifth after them, in five rings; regions lead into these, and each nation out to a leaf."""
+    n = t.read("nation").select(F.col("n_nationkey").cast("int").alias("src"))
+    into = t.read("region").select((100 + F.col("r_regionkey")).cast("int").alias("src"), F.col("r_regionkey").cast("int").alias("dst"))
+    return g.closed_path(n.withColumn("dst", (F.col("src") + 5) % 25).union(n.withColumn("dst", F.col("src") + 200)).union(into))
+
+
 @_r.query("grf_16_dependency_check", "SELECT count(*) AS left_over FROM dag_edge WHERE src >= dst")
 def dependencies(t):
     inner = t.dag_edge().select(F.concat_ws("/", "run_id", "src").alias("src"), F.concat_ws("/", "run_id", "dst").alias("dst"))

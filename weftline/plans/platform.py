@@ -33,6 +33,32 @@ def maintenance(t):
     return spark.read.parquet(f"{root}/out").select("id").distinct()
 
 
+_INST = "id long, state string"
+
+
+@_r.query("stm_03_stop_and_resume", "SELECT id, state FROM inst")
+def stop_and_resume(t):
+    """The stream ends after the first half of the rows, and takes up the second half, and nothing twice, from its checkpoint."""
+    root, rows = _folder(t.spark, "resume"), t.inst().select("id", "state")
+    rows.where("id % 2 = 0").write.parquet(f"{root}/in")
+    source = t.spark.readStream.schema(_INST).parquet(f"{root}/in")
+    start = lambda: source.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = start()
+    query.awaitTermination()
+    query.stop()
+    rows.where("id % 2 = 1").write.mode("append").parquet(f"{root}/in")
+    outbox.resumed(start, "STOPPED", True).awaitTermination()
+    return t.spark.read.schema(_INST).parquet(f"{root}/out")
+
+
+@_r.query("stm_06_snapshot_then_stream", "SELECT id, state, id % 2 = 1 AS streamed FROM inst")
+def snapshot_feed(t):
+    root, rows = _folder(t.spark, "feed"), t.inst().select("id", "state")
+    rows.where("id % 2 = 1").write.parquet(f"{root}/in")
+    outbox.feed(rows.where("id % 2 = 0"), t.spark.readStream.schema(_INST).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("id", "state", (F.col("batch") >= 0).alias("streamed"))
+
+
 @_r.query("stm_05_log_tail", "SELECT turn AS entry, role FROM conversations WHERE conv_id = 2 AND turn > 1 ORDER BY turn LIMIT 10")
 def tail(t):
     log = t.read("conversations").select(F.col("conv_id").alias("instance"), F.col("turn").alias("entry"), "role")
@@ -111,3 +137,25 @@ def json_lines(t):
     docs, path = t.read("documents").select("doc_id", "lang", "source", "n_chars"), _folder(t.spark, "lines")
     docs.write.json(path)
     return t.spark.read.schema(docs.schema).json(path)
+
+
+_PLACED = "SELECT l_orderkey AS statement, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS k, l_linenumber, 's' || l_suppkey AS src, count(*) OVER (PARTITION BY l_orderkey) AS n, min(abs(l_linenumber - 3)) OVER (PARTITION BY l_orderkey) = 0 AS constant FROM lineitem"
+
+
+def _statements(t):
+    """An order as a statement: a source for each of its lines, given twice and with a blank, none (a constant) for lines of number 3; even ones list their targets, others fill a table of three columns."""
+    line = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey")))
+    rows = t.read("lineitem").groupBy(F.col("l_orderkey").alias("statement")).agg(line.alias("lines"))
+    source = F.transform("lines", lambda x: F.when(x["l_linenumber"] != 3, F.array(*(F.concat(F.lit("s"), x["l_suppkey"]),) * 2, F.lit(" "))).otherwise(F.array().cast("array<string>")))
+    listed = F.when(F.col("statement") % 2 == 0, F.transform("lines", lambda x, i: F.concat(F.lit("t"), i + 1)))
+    return rows.select("statement", listed.alias("targets"), F.array(F.lit("t1"), F.lit("t2"), F.lit("t3")).alias("catalog"), source.alias("sources"))
+
+
+@_r.query("lin_04_column_edges", f"SELECT DISTINCT statement, 't' || k AS dst, src FROM ({_PLACED}) WHERE l_linenumber <> 3 AND (statement % 2 = 0 OR k <= 3)")
+def column_edges(t):
+    return sl.column_edges(_statements(t))
+
+
+@_r.query("lin_06_degraded_statements", f"SELECT DISTINCT statement, constant OR statement % 2 = 1 AND n <> 3 AS degraded FROM ({_PLACED})")
+def degraded(t):
+    return sl.degraded(_statements(t))

@@ -213,6 +213,21 @@ def frozen(t):
     return rows.select("tier", F.sum("n").over(Window.orderBy("tier")).alias("so_far"))
 
 
+@_r.query("evl_37_frozen_order", "SELECT tier, place, tier <> 2 AS accepted, round(sum(good) OVER (ORDER BY place)::DOUBLE / sum(n) OVER (ORDER BY place), 6) AS precision_so_far FROM (SELECT priority AS tier, CASE priority WHEN 4 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS place, count(*) AS n, count(*) FILTER (WHERE state = 'SUCCESS') AS good FROM run WHERE priority IN (4, 1, 2) GROUP BY ALL)")
+def frozen_order(t):
+    tiers = t.run().groupBy(F.col("priority").alias("tier")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "SUCCESS").alias("good"))
+    return c.frozen_tiers(tiers, [4, 1, 2], [4, 1]).select("tier", "place", "accepted", "precision_so_far")
+
+
+@_r.query("evl_35_arbitrated_gold", "SELECT k, gold = 0 AND pred > 0 AS disputed, CASE WHEN gold = 0 AND pred > 0 AND told > 0 THEN told ELSE gold END AS n FROM (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber = 1 AND l_suppkey % 2 = 0) AS gold, count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber >= 2) AS pred, count(DISTINCT l_suppkey) FILTER (WHERE l_linenumber >= 2 AND l_suppkey % 3 = 0) AS told FROM lineitem GROUP BY 1)")
+def arbitrated(t):
+    n, item = F.col("l_linenumber"), F.col("l_suppkey")
+    pick = lambda x: F.collect_set(F.when(x, item))
+    rows = t.read("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(pick((n == 1) & (item % 2 == 0)).alias("gold"), pick(n >= 2).alias("pred"), pick((n >= 2) & (item % 3 == 0)).alias("told"))
+    disputed, gold = c.arbitrated(F.col("gold"), F.col("pred"), F.col("told"))
+    return rows.select("k", disputed.alias("disputed"), F.size(gold).alias("n"))
+
+
 @_r.query("evl_40_tiered_rescoring", f"SELECT row, count(*) FILTER (WHERE a AND b) AS auto, count(*) FILTER (WHERE a <> b) AS review FROM ({_VOTED}) GROUP BY row")
 def rescoring(t):
     return _voted(t).groupBy("row").agg(F.count_if(F.col("a") & F.col("b")).alias("auto"), F.count_if(F.col("a") != F.col("b")).alias("review"))

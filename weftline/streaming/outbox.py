@@ -40,6 +40,17 @@ def history(checkpoints: DataFrame, keep: int, as_of: str, ttl_hours: int) -> Da
     return checkpoints.withColumn("state", state).withColumn("resumable", (F.col("state") == "SUCCESS") & fresh)
 
 
-def snapshot_then_stream(static: DataFrame, stream: DataFrame) -> DataFrame:
-    """Changes joined with what was known when the stream began."""
-    return stream.join(static, "id", "left")
+def feed(snapshot: DataFrame, changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """What was known when the stream began, as batch -1, and then each batch of changes, in one folder; a batch that runs again overwrites its own rows."""
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+
+    keep(snapshot, -1)
+    return changes.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resumed(start: Callable[[], StreamingQuery], state: str, resumable: bool) -> StreamingQuery:
+    """Start a stopped stream again where its checkpoint ends; a ValueError if it isn't stopped or suspended, or has no checkpoint to resume from."""
+    if state not in ("STOPPED", "SUSPENDED") or not resumable:
+        raise ValueError(f"can't resume: {state}, {'a' if resumable else 'no'} resumable checkpoint")
+    return start()
