@@ -153,3 +153,22 @@ def test_column_edges_of_statements(spark):
     df = spark.createDataFrame(rows, "statement int, targets array<string>, catalog array<string>, sources array<array<string>>")
     assert {tuple(r) for r in sqllineage.column_edges(df).collect()} == {(1, "x", "s"), (2, "a", "s"), (2, "b", "u"), (2, "b", "v"), (3, "a", "s")}
     assert {tuple(r) for r in sqllineage.degraded(df).collect()} == {(1, True), (2, True), (3, True), (4, False)}
+
+
+def test_kept_names(spark):
+    cases = [
+        ("db.t", "SELECT 1\nFROM DB.T", True), ("t", "from t import x\nfrom a import t", False), ("t", "import os\nselect * from t", True), ("t", "-- t\n# t", False),
+        ("t", "x.createOrReplaceTempView('t')", False), ("t", "att t_1 1t", False), ("t", "/data/t/x", False), ("${x}", "${x}", False), ("a.*", "a.*", False), ("a.", "a.", False),
+        ("t", "", False), (None, "t", False), ("t", None, False),
+    ]
+    rows = spark.createDataFrame([(i, n, x) for i, (n, x, _) in enumerate(cases)], "i int, name string, text string").select("i", s.kept_name(F.col("name"), F.col("text")).alias("kept"))
+    assert {r.i: r.kept for r in rows.collect()} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_name_pools(spark):
+    one = lambda names: spark.createDataFrame([(n,) for n in names], "n string")
+    got = evaluation.name_pools(one([f"t{i % 700}" for i in range(1000)] + [None]), one(["t1", "made"])).collect()
+    assert len(got) == len({r.name for r in got}) == 701 and sum(r.pool == "heldout" for r in got) == 701 // 6
+    assert {r.name for r in got if r.synthetic} == {"t1", "made"}
+    assert {r.pool for r in evaluation.name_pools(one(["a", "b"]), one([])).collect()} == {"heldout"}
+    assert evaluation.name_pools(one([]), one([])).count() == 0

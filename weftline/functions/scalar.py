@@ -140,7 +140,7 @@ def same_table(a: Column, b: Column) -> Column:
 
 #: Contexts of a name in a line of a script, by the first pattern that fits; NAME stands for the name.
 CONTEXTS = (
-    ("comment", r"^\s*(#|--|//).*\bNAME\b"), ("temp_view", r"(?i)(createOrReplaceTempView|registerTempTable)\(\s*['\"]NAME['\"]|\bwith\s+NAME\s+as\b"), ("import", r"^\s*(import|from)\b.*\bNAME\b"),
+    ("comment", r"^\s*(#|--|//).*\bNAME\b"), ("temp_view", r"(?i)(createOrReplaceTempView|registerTempTable)\(\s*['\"]NAME['\"]|\bwith\s+NAME\s+as\b"), ("import", r"^(?=.*\bNAME\b)\s*(from\s+\S+\s+)?import\b"),
     ("path", r"[/\\]NAME\b|\bNAME[/\\]"), ("table_ref", r"(?i)\b(from|join|into|table|overwrite)\s+([\w.]+\.)?NAME\b"), ("param", r"(--|\$\{?)NAME\b"), ("attribute", r"\.NAME\b"), ("var_decl", r"^\s*NAME\s*="),
 )
 
@@ -157,6 +157,20 @@ def context(line: Column, name: Column) -> Column:
     return F.when(line.contains(name), out)
 
 
+#: Contexts in which a name is none of a table.
+EXCLUDED = ("comment", "import", "path", "temp_view")
+
+
+def kept_name(name: Column, text: Column) -> Column:
+    """Whether a table's name stands in a script as one: neither dynamic nor a glob, and its last part, in any case, is a word of its own in some
+    line whose context isn't excluded. False for nulls and empty last parts.
+    """
+    last = F.lower(leaf(name))
+    word = F.concat(F.lit(r"(?<![0-9A-Za-z_])\Q"), last, F.lit(r"\E(?![0-9A-Za-z_])"))
+    stands = F.exists(F.split(F.lower(text), "\n"), lambda line: F.rlike(line, word) & ~context(line, last).isin(*EXCLUDED))
+    return F.coalesce(~dynamic(name) & (last != "") & ~last.contains("*") & stands, F.lit(False))
+
+
 def script_subset(kind: Column, text: Column) -> Column:
     """python, shell or sql: by declared kind, else by the look of the text; sql if nothing tells."""
     return F.coalesce(F.when(F.lower(kind).isin("python", "pyspark"), "python").when(F.lower(kind).isin("shell", "bash"), "shell"), F.when(text.rlike(r"(?m)^\s*(import|from|def)\s"), "python").when(text.rlike(r"(?m)^#!.*sh|^\s*(echo|export)\s"), "shell"), F.lit("sql"))

@@ -120,6 +120,16 @@ def cross_validated(rows: DataFrame, k: int, order: str, tier: str, good: str, l
     return scores, judged.where("ok").groupBy(tier).agg(F.count("*").alias("folds"))
 
 
+def name_pools(real: DataFrame, synthetic: DataFrame, least: int = 60, parts: int = 6) -> DataFrame:
+    """(name, pool, synthetic) of each different name of two tables of one column: one in ``parts`` is held out, ``least`` at least, the others are for
+    training; no name is in both pools. Names lie in the order of their MD5, so a rerun agrees. Null names are left out.
+    """
+    both = real.toDF("name").withColumn("synthetic", F.lit(False)).union(synthetic.toDF("name").withColumn("synthetic", F.lit(True)))
+    names = both.where("name is not null").groupBy("name").agg(F.bool_or("synthetic").alias("synthetic")).withColumn("_order", F.md5("name"))
+    held = max(least, names.count() // parts)
+    return numbered(names, "_place", "_order", "name").select("name", F.when(F.col("_place") < held, "heldout").otherwise("train").alias("pool"), "synthetic")
+
+
 def ungrounded(docs: DataFrame, names: DataFrame, gold: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, name) of each row of ``docs`` and each different name predicted for all of them that is neither gold for its key nor stands literally, as a whole, in its text.
 

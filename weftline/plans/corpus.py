@@ -112,12 +112,23 @@ def leaves(t):
     return t.read("pages").select("page_id", s.leaf(F.col("url")).alias("leaf"), s.dynamic(F.col("url")).alias("dynamic"))
 
 
-@_r.query("scl_24_line_contexts", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)\b(from|join|into|table|overwrite)\s+([\w.]+\.)?the\b')) AS refs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'the') AND NOT regexp_matches(line, '[/\\]the\b|\bthe[/\\]|^\s*(#|--|//).*\bthe\b|^\s*(import|from)\b.*\bthe\b') GROUP BY doc_id")
+@_r.query("scl_24_line_contexts", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)\b(from|join|into|table|overwrite)\s+([\w.]+\.)?the\b')) AS refs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'the') AND NOT regexp_matches(line, '[/\\]the\b|\bthe[/\\]|^\s*(#|--|//).*\bthe\b') AND NOT (regexp_matches(line, '\bthe\b') AND regexp_matches(line, '^\s*(from\s+\S+\s+)?import\b')) GROUP BY doc_id")
 def contexts(t):
     lines = _docs(t).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("c", s.context(F.col("line"), F.lit("the")))
     return lines.where("c is not null and c not in ('comment', 'import', 'path')").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("c") == "table_ref").alias("refs"))
 
 
+@_r.query("scl_25_kept_names", "SELECT s_suppkey AS id, s_suppkey % 10 IN (1, 5, 9) AS kept FROM supplier")
+def kept_names(t):
+    name = lambda before, after="": F.concat(F.lit(before), F.col("k"), F.lit(after))
+    texts = [name("# reads t"), name("select *\nfrom db.t"), name("from x.t", " import y"), name("open('/data/t", "/p')"), name("select at", "b from z"), F.concat(F.lit("-- t"), F.col("k"), F.lit("\nJOIN T"), F.col("k"), F.lit(" on 1 = 1")), name("select * from ${db}t"), name("select * from db.t"), name("df.createOrReplaceTempView('t", "')"), name("path = 't", "'")]
+    kind = F.col("s_suppkey") % len(texts)
+    text = F.coalesce(*(F.when(kind == i, x) for i, x in enumerate(texts)))
+    called = F.when(kind == 6, name("${db}t")).when(kind == 7, name("db.t", "*")).otherwise(name("db.t"))
+    rows = t.read("supplier").withColumn("k", F.col("s_suppkey").cast("string"))
+    return rows.select(F.col("s_suppkey").alias("id"), s.kept_name(called, text).alias("kept"))
+
+
 @_r.query("scl_27_thinned", "SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2500")
 def thinned(t):
     return _docs(t).where(s.thinned(F.col("doc_id").cast("string"), 0.25)).select("doc_id")
@@ -352,6 +363,16 @@ def false_positives(t):
     return _counts(t).agg(F.count_if((c("fp") > 0) & (c("tp") == 0)).alias("killable"), F.count_if((c("fp") > 0) & (c("tp") > 0)).alias("groundable"), F.count_if((c("fp") > 0) & (c("tp") + c("fn") == 0)).alias("on_empty"))
 
 
+_NAMES = "SELECT name, bool_or(synthetic) AS synthetic FROM (SELECT p_name AS name, false AS synthetic FROM part UNION ALL SELECT s_name, true FROM supplier UNION ALL SELECT p_name, true FROM part WHERE p_partkey % 50 = 0) GROUP BY name"
+
+
+@_r.query("evl_30_name_pools", f"SELECT name, CASE WHEN place <= greatest(60, n // 6) THEN 'heldout' ELSE 'train' END AS pool, synthetic FROM (SELECT *, row_number() OVER (ORDER BY md5(name), name) AS place, count(*) OVER () AS n FROM ({_NAMES}))")
+def name_pools(t):
+    part = t.read("part")
+    made = t.read("supplier").select("s_name").union(part.where("p_partkey % 50 = 0").select("p_name"))
+    return e.name_pools(part.select("p_name"), made)
+
+
 @_r.query("evl_31_acquisition_chain", r"SELECT min(doc_id) AS doc_id, k FROM (SELECT doc_id, substr(sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 1, 16) AS k FROM documents WHERE length(text) BETWEEN 200 AND 20000 AND source <> 'src3' AND regexp_matches(text, '(?i)the')) GROUP BY k")
 def acquisition(t):
     rows = _docs(t).where("length(text) between 200 and 20000 and source <> 'src3'").where(F.col("text").rlike("(?i)the"))
