@@ -41,6 +41,19 @@ def test_cross_check_and_script_calls(spark):
     assert (row.r, row.w, row.q, tuple(row.c)) == (["a.b"], ["c.d"], ["select * from t where d = __dyn__ and k = NULL"], ("db.t", "c"))
 
 
+def test_embedded_statements(spark):
+    texts = {
+        1: "# don't\nsql('select 1 from t')", 2: r'x("select \"a\" from b")', 3: "a = 1\n\nb = '''\nwith x as (select 1)\nselect * from {t}\n'''\nc = 'select 2'", 4: None, 5: "",
+        6: "cat <<-'EO'\nselect 1\n", 7: "x = 'select " + "a, " * 20000 + "b from c'", 8: "spark.sql(q)\nspark.sql('delete from t')", 9: "'unclosed\n'select 3'", 10: "cat <<X\nselect 'a\nX\n'select 4'",
+    }
+    got = sl.embedded_statements(spark.createDataFrame(list(texts.items()), "script int, text string")).collect()
+    rows = sorted((r.script, r.line, "" if r.sql is None else r.sql if r.script != 7 else len(r.sql), r.hint) for r in got)
+    assert rows == [
+        (1, 2, "select 1 from t", None), (2, 1, r'select \"a\" from b', None), (3, 3, "with x as (select 1)\nselect * from __dyn__", "DYNAMIC_TABLE"), (3, 7, "select 2", None),
+        (7, 1, 60015, None), (8, 1, "", "DYNAMIC_SQL"), (8, 2, "delete from t", None), (9, 2, "select 3", None), (10, 1, "select 'a", None), (10, 4, "select 4", None),
+    ]
+
+
 def test_templates():
     r = lambda x, p=None: t.resolve(x, "2024-03-31", "2024-03-31", p)
     assert r("a={{yyyy-mm-dd}} b={{yyyymmdd-1}} c={{yyyy-mm-1}} d={{ yyyymmdd + 1*7 }} e={{bizmonth}}") == "a=2024-03-31 b=20240330 c=2024-02 d=20240407 e=202402"

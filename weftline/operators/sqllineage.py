@@ -194,14 +194,59 @@ def script_tables(text: Column) -> tuple[Column, Column]:
     return both[0], both[1]
 
 
-#: Literals of scripts that look like SQL: quoted or triple-quoted text that begins with one of these words.
-EMBEDDED = r"(?is)(?:'''|\"\"\"|['\"])(\s*(?:select|insert|with|merge)\b.*?)(?:'''|\"\"\"|['\"])"
+#: Comments of scripts, here documents and literals; the first that begins at a place takes all its text.
+LITERALS = r"""(?s:(?:(?<=\s)|^)#[^\n]*|<<-?[ ]*['"]?(\w+)['"]?[^\n]*\n.*?\n\s*\1\b|[a-zA-Z]{0,2}(?:'{3}.*?'{3}|"{3}.*?"{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'))"""
+SQL_START = r"(?is)^\s*(?:select|insert|with|merge|create\s+table|update|delete\s+from)\b"
+#: Calls that execute SQL, given a name and no literal.
+EXECUTED = r"\b(?:sql|execute|executemany|read_sql|read_sql_query)\(\s*[A-Za-z_]\w*\s*[,)]"
+DYNAMIC_TABLE = r"(?i)\b(?:from|join|into|table|update|overwrite)\s+[\w.]*__dyn__"
+
+
+def _inner(token: Column) -> Column:
+    """What a literal or here document holds; null for a comment."""
+    quoted = F.regexp_replace(token, r"^[a-zA-Z]{1,2}(?=['\"])", "")
+    width = F.when(quoted.rlike(r"^('{3}|\"{3})"), 3).otherwise(1)
+    here = F.regexp_extract(token, r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1)
+    body = F.when(token.startswith("<<"), here).otherwise(F.substr(quoted, width + 1, F.length(quoted) - 2 * width))
+    return F.when(~token.startswith("#"), body)
+
+
+def _filled(sql: Column) -> Column:
+    """Places for values as NULL, variables as __dyn__."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(sql, r"^\s+|\s+$", "")), r"%s|\?", "NULL"), r"\$?\{[^}]*\}|\$\w+", "__dyn__")
 
 
 def embedded_sql(text: Column) -> Column:
-    """SQL texts within a script, whole literals, with their variables as NULL or __dyn__."""
-    found = F.regexp_extract_all(text, F.lit(EMBEDDED), F.lit(1))
-    return F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), r"%s|\?", "NULL"), r"\$?\{[^}]*\}", "__dyn__"))
+    """SQL texts within a script, whole literals and here documents, with their variables as NULL or __dyn__."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(LITERALS), F.lit(0)), _inner)
+    return F.transform(F.filter(found, lambda x: x.rlike(SQL_START)), _filled)
+
+
+def _lines(text: Column) -> Column:
+    """Line ends in a text."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def embedded_statements(scripts: DataFrame, key: str = "script", text: str = "text") -> DataFrame:
+    """(key, line, sql, hint) of SQL within scripts: the line, from 1, on which its literal begins.
+
+    hint: DYNAMIC_TABLE where a variable is, or is part of, a table's name, else null. A call that executes a name instead of a literal is a row
+    without SQL, hint DYNAMIC_SQL. Comments hold none; null and empty texts have no rows.
+    """
+    found = F.regexp_extract_all("_text", F.lit(f"{LITERALS}|{EXECUTED}"), F.lit(0))
+    rows = scripts.select(key, F.col(text).alias("_text")).withColumn("_found", found)
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("line"), F.expr("cast(array() as array<struct<token:string,line:int>>)").alias("out"))
+
+    def step(held: Column, token: Column) -> Column:
+        at = F.position(token, F.col("_text"), held["at"])
+        line = held["line"] + _lines(F.substr(F.col("_text"), held["at"], at - held["at"]))
+        out = F.array_append(held["out"], F.struct(token.alias("token"), line.alias("line")))
+        return F.struct((at + F.length(token)).alias("at"), (line + _lines(token)).alias("line"), out.alias("out"))
+
+    each = rows.select(key, F.explode(F.aggregate("_found", start, step)["out"]).alias("x")).select(key, "x.line", F.col("x.token").alias("_token"))
+    call = F.col("_token").rlike(f"^{EXECUTED}$")
+    each = each.withColumn("_sql", F.when(~call, _inner(F.col("_token")))).where(call | F.col("_sql").rlike(SQL_START)).withColumn("sql", _filled(F.col("_sql")))
+    return each.select(key, "line", "sql", F.when(call, "DYNAMIC_SQL").when(F.col("sql").rlike(DYNAMIC_TABLE), "DYNAMIC_TABLE").alias("hint"))
 
 
 def declared_columns(text: Column) -> Column:

@@ -173,6 +173,26 @@ def hybrid(t):
     return rows.select("k", F.size(c.hybrid(F.col("model"), F.col("ast"), "union")).alias("n_union")).where("n_union > 0")
 
 
+#: Scripts by nation, and what each holds, worked out by hand, as (kind, line, sql, hint).
+_SCRIPTS = (
+    "import os\nspark.sql(\"select * from db.t where name = 'x' and day = %s\")\n# spark.sql('select 1')\ncur.execute(query)\n",
+    "q = f\"\"\"\n  insert into out.t_{day}\n  select a from b\n\"\"\"\nprint('no sql here')\n",
+    "hive -e \"select * from src.$TABLE\"\nmysql <<EOF\ndelete from t where k = '1'\nEOF\n",
+    "x = 'it is select'\n",
+)
+_EMBEDDED = (
+    "(0, 2, 'select * from db.t where name = ''x'' and day = NULL', NULL), (0, 4, NULL, 'DYNAMIC_SQL'), "
+    "(1, 1, 'insert into out.t___dyn__' || chr(10) || '  select a from b', 'DYNAMIC_TABLE'), "
+    "(2, 1, 'select * from src.__dyn__', 'DYNAMIC_TABLE'), (2, 2, 'delete from t where k = ''1' || chr(39), NULL)"
+)
+
+
+@_r.query("lin_11_embedded_sql", f"SELECT n_nationkey AS script, line, sql, hint FROM nation JOIN (VALUES {_EMBEDDED}) v(kind, line, sql, hint) ON n_nationkey % 4 = kind")
+def embedded(t):
+    text = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return sl.embedded_statements(t.read("nation").select(F.col("n_nationkey").alias("script"), text.alias("text")))
+
+
 @_r.query("lin_21_pattern_tables", r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\binto\s+([a-z_][\w.]*)', 1))) AS writes, len(list_distinct(regexp_extract_all(lower(text), '\b(?:from|join)\s+([a-z_][\w.]*)', 1))) AS reads FROM documents")
 def pattern_tables(t):
     return t.read("documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\binto\s+([a-z_][\w.]*)"), F.lit(1)))).alias("writes"), F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:from|join)\s+([a-z_][\w.]*)"), F.lit(1)))).alias("reads"))
