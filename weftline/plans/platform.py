@@ -17,6 +17,19 @@ def _folder(spark, name):
     return f"{folder(spark)}/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 
 
+@_r.query("stm_01_generated_to_nowhere", "SELECT 4 AS batches, 4000 AS read")
+def generated(t):
+    """A generated stream into nowhere, one batch a start: each start takes up the count where the last one ended."""
+    root = _folder(t.spark, "generated")
+    rows = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1000).load()
+    read = []
+    for _ in range(4):
+        query = outbox.discarded(rows, root, availableNow=True)
+        query.awaitTermination()
+        read += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    return t.spark.createDataFrame([(len(read), sum(read))], "batches int, read int")
+
+
 @_r.query("stm_02_checkpoint_history", "SELECT id, CASE WHEN state = 'SUCCESS' AND row_number() OVER (PARTITION BY task_id, state ORDER BY id DESC) > 3 THEN 'EXPIRED' ELSE state END AS state FROM inst")
 def history(t):
     rows = t.inst().select("id", F.col("task_id").alias("job"), "state", F.col("id").alias("ordinal"), F.col("finished_at").alias("at"))

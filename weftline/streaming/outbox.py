@@ -54,3 +54,8 @@ def resumed(start: Callable[[], StreamingQuery], state: str, resumable: bool) ->
     if state not in ("STOPPED", "SUSPENDED") or not resumable:
         raise ValueError(f"can't resume: {state}, {'a' if resumable else 'no'} resumable checkpoint")
     return start()
+
+
+def discarded(rows: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """A job that computes all of a stream and keeps none of it, unbounded unless the trigger ends it; its progress tells how many rows it has read."""
+    return rows.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
