@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import embed_dedup, fim, html_text, licences, mixing, ngrams, packing, quality, substrings, topk, url_filter
+from weftline.llm import embed_dedup, fim, html_text, licences, mixing, ngrams, packing, quality, substrings, token_files, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1,
     "op2_ngram_jaccard_join": op2,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_source_mixing": op9,
     "op10_quality_classifier": op10,
     "op11_fill_in_middle": op11,
+    "op13_token_id_files": op13,
 }
 
 #: op1-op5, op7's fuzzy labels, op10: SQL can't express the method's rows; tests hold them against brute force.
