@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.store import batched, partitions, stage
+from weftline.llm.words import powers
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 19
@@ -37,19 +38,37 @@ KNOWN, ENTRY = 256 << 20, 170
 #: Bytes of text for each shard, where the session's partitions would hold more.
 SHARD = 64 << 20
 
-#: A space before anything but plain white space or the first byte of a white-space sign beyond ASCII begins a piece of its own in the vocabulary's pattern.
-_CUT = re.compile(rb"(?= [\x21-\xc1\xc4-\xe0\xe4-\xff])")
-_ODD = re.compile(rb" (?![\x21-\xc1\xc4-\xe0\xe4-\xff])")
-#: Letters of ASCII and Latin-1, and signs of ASCII but the apostrophe: the pattern parts runs of either from each other and from a line end between them.
-_L, _S = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++", rb"[!-&(-/:-@\[-`{-~]++"
-_EASY, _RUNS = re.compile(rb"(?:" + _L + rb"|" + _S + rb"|\n(?!\s))++"), re.compile(rb" ?" + _L + rb"| ?" + _S + rb"|\n")
+#: Bytes of text whose pieces are looked at together; a longer text by itself.
+GROUP = 1 << 20
+#: Kinds of ASCII signs that the vocabulary's pattern keeps in runs: letters, digits, other printable ones. The apostrophe may belong to what follows.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]], _KIND[48:58] = 1, 2
+_KIND[[x for x in range(0x21, 0x7F) if not _KIND[x]]] = 3
+_KIND[ord("'")] = 4
+#: First bytes of what is no white space, ASCII or not, for certain.
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_WHITE = re.compile(rb"[\x00-\x20\xc2\xe1-\xe3]")
+_T = np.random.default_rng(9).integers(1, 2**63, (2, 256), dtype=np.uint64)
+
+
+def _cuts(b: np.ndarray) -> np.ndarray:
+    """Bytes of a text at which a piece begins whose ids don't depend on what stands before: single spaces before what is no white space, changes between
+    runs of ASCII letters, digits and signs, and a line end alone between printable ASCII signs, with what follows it."""
+    kind = _KIND[b]
+    cut = np.zeros(len(b), bool)
+    cut[:-1] = (b[:-1] == 0x20) & _SOLID[b[1:]]
+    cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (kind[:-1] < 4) & ~((kind[:-1] == 3) & (kind[1:] == 4))
+    line = np.flatnonzero((b[1:-1] == 0x0A) & (kind[:-2] > 0) & (kind[2:] > 0)) + 1
+    cut[line] = cut[line + 1] = True
+    return cut
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level vocabulary, each piece between spaces encoded once.
+    """Ids of whole texts by a byte-level vocabulary, each piece encoded once: a text's ids are those of its pieces in a row.
 
-    Such a vocabulary puts a space to the word after it, so a text's ids are those of its pieces in a row, cut before single spaces; and those of a
-    piece of letters and signs are those of its runs. Texts that hold an added token, which is looked for before all else, are encoded whole.
+    The pieces of a group of texts are told apart by two 64-bit hashes and known by their bytes. Texts that hold an added token, which is looked for
+    before all else, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,59 +82,71 @@ class Encoder:
         self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.line = vocab["Ċ"]
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        """Pieces by what stands after their space, runs and other pieces by themselves."""
-        self.pieces: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _learn_runs(self, new: list[bytes]) -> None:
-        """Runs are encoded a thousand in one text, and parted where a token begins with a space or is a line end."""
-        spaced, bare = ([r for r in new if (r[:1] == b" ") is x and b"\n" not in r and r.rfind(b" ") <= 0] for x in (True, False))
-        for part, mark in [(x[i : i + 1000], m) for x, m in ((spaced, b""), (bare, b"\n")) for i in range(0, len(x), 1000)]:
+    def _learn(self, new: list[bytes]) -> None:
+        """Make sure that all of ``new`` are known. Pieces without other white space are encoded a thousand in one text, and parted where a token begins with a space or is a line end."""
+        if self.held > KNOWN:
+            self.known.clear()
+            self.held = 0
+        new = list(set(new).difference(self.known))
+        plain = [r for r in new if not _WHITE.search(r, 1)]
+        for part, mark in [(x[i : i + 1000], m) for x, m in (([r for r in plain if r[0] == 0x20], b""), ([r for r in plain if _SOLID[r[0]]], b"\n")) for i in range(0, len(x), 1000)]:
             ids = np.frombuffer(self._whole([mark.join(part)])[0], np.uint32)
             cuts = np.flatnonzero(ids == self.line if mark else self.begins[ids])
             first, last = (np.append(0, cuts + 1), np.append(cuts, len(ids))) if mark else (cuts, np.append(cuts[1:], len(ids)))
             if len(first) == len(part):
                 raw = ids.tobytes()
-                self.runs.update(zip(part, (raw[a:z] for a, z in zip((4 * first).tolist(), (4 * last).tolist()))))
-        rest = [r for r in new if r not in self.runs]
-        self.runs.update(zip(rest, self._whole(rest)))
-        self.held += sum(ENTRY + len(r) + len(self.runs[r]) for r in new)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """``pieces`` without the space that they begin with."""
-        parts = [_RUNS.findall(b" " + p) if _EASY.fullmatch(p) else [b" " + p] for p in pieces]
-        self._learn_runs(list(set().union(*parts).difference(self.runs)))
-        runs = self.runs
-        for p, x in zip(pieces, parts):
-            self.pieces[p] = runs[x[0]] if len(x) == 1 else b"".join([runs[r] for r in x])
-            self.held += ENTRY + len(p) + (len(self.pieces[p]) if len(x) > 1 else 0)
+                self.known.update(zip(part, (raw[a:z] for a, z in zip((4 * first).tolist(), (4 * last).tolist()))))
+        rest = [r for r in new if r not in self.known]
+        self.known.update(zip(rest, self._whole(rest)))
+        self.held += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new)))
+
+    def _joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, each with the end id 0, and where each text's ids end."""
+        raw = b"\0".join([*texts, b""])  # nothing is cut beside this sign, so no text is cut for what another holds
+        b, ends = np.frombuffer(raw, np.uint8), np.cumsum([len(t) + 1 for t in texts])
+        cut = _cuts(b)
+        cut[0] = cut[ends - 1] = cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(b))
+        up, down = powers(len(b) + 1)
+        hashes = []
+        for t in _T:
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(t[b] * up[: len(b)], out=sums[1:])
+            hashes.append((sums[stops] - sums[starts]) * down[starts])
+        order = np.argsort(hashes[0])
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or(*(h[order[1:]] != h[order[:-1]] for h in hashes))  # what shares one hash alone may be looked up more than once
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        pieces = [raw[a:z] for a, z in zip(starts[first].tolist(), stops[first].tolist())]
+        self._learn(pieces)
+        ids = list(map(self.known.__getitem__, pieces))
+        flat = np.frombuffer(b"".join([*ids, b"\0\0\0\0"]), np.uint32)
+        size = np.array(list(map(len, ids)), np.int64) // 4
+        begin, n = (np.cumsum(size) - size)[which], size[which]
+        mark = np.searchsorted(starts, ends - 1)
+        begin[mark], n[mark] = len(flat) - 1, 1
+        upto = np.cumsum(n)
+        return flat[np.repeat(begin - upto + n, n) + np.arange(int(upto[-1]))], upto[mark]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id 0."""
-        if self.held > KNOWN:
-            self.forget()
-        heads: list[bytes] = []
-        split: list[list[bytes]] = []
-        for t in texts:
-            if any(a in t for a in self.added):
-                head, rest = t, []
-            elif _ODD.search(t):
-                head, *rest = _CUT.split(t)
-                rest = [p[1:] for p in rest]
-            else:
-                head, *rest = t.split(b" ")
-            heads.append(head)
-            split.append(rest)
-        self._learn(list(set().union(*split).difference(self.pieces)))
-        of = self.pieces.__getitem__
-        return [b"".join([h, *map(of, rest), b"\0\0\0\0"]) for h, rest in zip(self._whole(heads), split)]
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        out = dict(zip(whole, (x + b"\0\0\0\0" for x in self._whole([texts[k] for k in whole]))))
+        rest = [k for k in range(len(texts)) if k not in out]
+        if rest:
+            ids, ends = self._joined([texts[k] for k in rest])
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out.update(zip(rest, (raw[a:z] for a, z in zip([0, *ends], ends))))
+        return [out[k] for k in range(len(texts))]
 
 
 @lru_cache(2)
@@ -275,7 +306,7 @@ def blocks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return shards.mapInArrow(run, FILE)
 
 
-def _grouped(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+def _grouped(texts: Iterator[bytes], size: int = GROUP) -> Iterator[list[bytes]]:
     """Runs of whole texts of about ``size`` bytes."""
     held, n = [], 0
     for t in texts:
