@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.operators import fires as fire
 from weftline.operators import readiness as r
 from weftline.functions import schedules
 from weftline.registry import Registry
@@ -110,10 +111,60 @@ def due_by_schedule(t):
     """Next fire of each task after its last, by cron or interval, up to an hour ahead; one row a task and instant."""
     last = t.inst().where("task_id is not null").groupBy("task_id").agg(F.date_trunc("second", F.max("finished_at")).cast("timestamp_ntz").alias("base"))
     last = last.select("task_id", "base", F.when(F.col("task_id") % 2 == 0, "0 0 0 * * ?").alias("cron"), F.lit(6 * 3600).alias("seconds"))
-    found = last.select("task_id", schedules.next_fire("base", "cron", "seconds").alias("due")).where("due <= timestamp_ntz '2024-01-31 01:00:00'")
+    found = schedules.next_fires(last, "base", "cron", "seconds", into="due").select("task_id", "due").where("due <= timestamp_ntz '2024-01-31 01:00:00'")
     return found.dropDuplicates(["task_id", "due"]).select("task_id", "due", F.expr("due < timestamp_ntz '2024-01-31 00:00:00'").alias("missed"))
 
 
+#: Crons with seconds 0, and the same rules over a tick of a quarter of an hour, for the SQL.
+_CRONS = {
+    "0 0 0 * * ?": "hour(d) = 0 AND minute(d) = 0",
+    "0 30 */6 * * ?": "hour(d) % 6 = 0 AND minute(d) = 30",
+    "0 0 12 ? * MON-FRI/2": "dayofweek(d) IN (1, 3, 5) AND hour(d) = 12 AND minute(d) = 0",
+    "0 15,45 8-10 1,15,29 JAN,MAR ?": "month(d) IN (1, 3) AND day(d) IN (1, 15, 29) AND hour(d) BETWEEN 8 AND 10 AND minute(d) IN (15, 45)",
+}
+_NOW = "2024-01-31 00:00:00"
+_FIRED = "SELECT task_id, date_trunc('second', max(finished_at)) AS last, count(*) AS n FROM inst WHERE task_id IS NOT NULL AND finished_at < TIMESTAMP '2024-01-28' GROUP BY task_id"
+_PLANNED = f"SELECT *, task_id % 5 AS kind, CASE WHEN task_id % 3 = 0 THEN 'all' WHEN task_id % 3 = 1 THEN 'fire_once' ELSE 'skip' END AS policy, CASE WHEN task_id % 7 = 0 THEN TIMESTAMP '2024-01-29' END AS stops FROM ({_FIRED})"
+_TICKS = "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31', INTERVAL 15 MINUTE)) AS d"
+_POINTS = " UNION ALL ".join([f"SELECT p.*, d AS due FROM p, ticks WHERE kind = {k} AND {rule} AND d > last" for k, rule in enumerate(_CRONS.values())] + ["SELECT p.*, last + to_seconds(9000 * k) AS due FROM p, (SELECT unnest(range(1, 800)) AS k) WHERE kind = 4"])
+_DUE = f"""WITH p AS ({_PLANNED}), ticks AS ({_TICKS}), points AS (SELECT *, due <= TIMESTAMP '{_NOW}' AS missed FROM ({_POINTS}) WHERE stops IS NULL OR due <= stops),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY task_id, missed ORDER BY due) AS k, count(*) OVER (PARTITION BY task_id, missed) AS n_missed FROM points WHERE due <= TIMESTAMP '{_NOW}' + INTERVAL 1 DAY)
+    SELECT task_id, due, missed FROM placed WHERE NOT missed OR policy = 'all' OR policy = 'fire_once' AND k = 1 OR policy = 'skip' AND n_missed = 1"""
+
+
+def _planned(t):
+    """Each task with its last fire before three days without a scheduler."""
+    rows = t.inst().where("task_id is not null and finished_at < timestamp_ntz '2024-01-28'").groupBy("task_id").agg(F.date_trunc("second", F.max("finished_at")).cast("timestamp_ntz").alias("last"))
+    cron = F.element_at(F.array(*map(F.lit, _CRONS), F.lit(None)), (F.col("task_id") % 5 + 1).cast("int"))
+    policy = F.element_at(F.array(F.lit("all"), F.lit("fire_once"), F.lit("skip")), (F.col("task_id") % 3 + 1).cast("int"))
+    return rows.select("task_id", "last", cron.alias("cron"), F.lit(9000).alias("seconds"), policy.alias("policy"), F.expr("if(task_id % 7 = 0, timestamp_ntz '2024-01-29', null)").alias("stops"))
+
+
+@_r.query("rdy_15_missed_fires", _DUE)
+def missed_fires(t):
+    """What a scheduler arms that comes back after three days: points missed by then, as each task's policy says, and those of the day ahead."""
+    return fire.due(_planned(t), _NOW, ahead_s=86400).select("task_id", "due", "missed")
+
+
+@_r.query("rdy_15_next_trigger", f"WITH p AS ({_PLANNED}), ticks AS ({_TICKS}) SELECT task_id, CASE WHEN stops IS NULL OR next <= stops THEN next END AS next FROM p LEFT JOIN (SELECT task_id, min(due) AS next FROM ({_POINTS}) WHERE due > TIMESTAMP '{_NOW}' GROUP BY 1) USING (task_id)")
+def next_trigger(t):
+    return fire.advanced(_planned(t), _NOW).select("task_id", "next")
+
+
+_GUARDS = f"SELECT d.task_id, d.due, d.due + to_seconds(o % 90) AS made, o % 4 = 0 AS filled, CASE WHEN o % 11 = 0 THEN 'DEAD' WHEN o % 4 = 0 THEN 'FIRED' ELSE 'PENDING' END AS status FROM (SELECT *, task_id + day(due) AS o FROM ({_DUE}) WHERE missed) d"
+
+
+@_r.query("rdy_16_reconciled", f"SELECT g.task_id, g.due, CASE WHEN g.made < TIMESTAMP '{_NOW}' - INTERVAL 2 DAY THEN 'DEAD' WHEN t.id IS NULL OR t.type = 'BUILDING' THEN 'DEAD' WHEN EXISTS (SELECT 1 FROM inst i WHERE i.task_id = g.task_id AND i.biz_date = strftime(g.due - INTERVAL 1 DAY, '%Y-%m-%d')) THEN 'FILLED' ELSE 'REPLAY' END AS action, strftime(g.due - INTERVAL 1 DAY, '%Y-%m-%d') AS biz_date FROM ({_GUARDS}) g LEFT JOIN task t ON t.id = g.task_id WHERE NOT g.filled AND g.status <> 'DEAD' AND g.made < TIMESTAMP '{_NOW}' - INTERVAL 1 HOUR")
+def reconciled(t):
+    """Guards of missed fires that no instance came of in time: instances of the business date fill them, tasks of a type that is off line are given up."""
+    o = F.col("task_id") + F.day("due")
+    guards = fire.due(_planned(t), _NOW, ahead_s=86400).where("missed").select("task_id", "due", (F.col("due") + F.make_dt_interval(secs=o % 90)).alias("made"), F.when(o % 4 == 0, "i").alias("instance"), F.when(o % 11 == 0, "DEAD").when(o % 4 == 0, "FIRED").otherwise("PENDING").alias("status"))
+    online = t.task().where("type <> 'BUILDING'").select(F.col("id").alias("task_id"))
+    filled = t.inst().select("task_id", F.expr("cast(biz_date as timestamp_ntz)").alias("day"))
+    there = guards.select("task_id", "due").distinct().join(filled.distinct(), [filled["task_id"] == guards["task_id"], F.to_date("day") == F.date_sub(F.to_date("due"), 1)], "left_semi")
+    return fire.reconciled(guards, online, there, _NOW, grace_s=3600, timeout_s=2 * 86400).select("task_id", "due", "action", "biz_date")
+
+
 @_r.query("rdy_16_lost_fires", "SELECT r.id, CASE WHEN i.task_id IS NOT NULL THEN 'FILLED' WHEN r.priority <= 2 THEN 'REPLAY' WHEN r.priority = 3 THEN 'SKIP' ELSE 'DEAD' END AS action FROM run r LEFT JOIN (SELECT DISTINCT task_id FROM inst WHERE state = 'SUCCESS') i ON i.task_id = r.task_id WHERE r.state = 'WAITING'")
 def lost(t):
     filled = t.inst().where("state = 'SUCCESS'").select("task_id").distinct().withColumn("filled", F.lit(True))

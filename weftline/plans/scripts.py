@@ -85,7 +85,7 @@ def default_date(t):
 @_r.query("scl_11_next_fire", "SELECT id, CASE id % 2 WHEN 0 THEN date_trunc('day', finished_at) + INTERVAL 1 DAY ELSE date_trunc('second', finished_at) + INTERVAL 90 SECOND END AS next FROM inst")
 def next_fire(t):
     rows = t.inst().select("id", F.date_trunc("second", F.col("finished_at")).cast("timestamp_ntz").alias("base"), F.when(F.col("id") % 2 == 0, "0 0 0 * * ?").alias("cron"), F.lit(90).alias("seconds"))
-    return rows.select("id", schedules.next_fire("base", "cron", "seconds").alias("next"))
+    return schedules.next_fires(rows, "base", "cron", "seconds").select("id", "next")
 
 
 @_r.query("scl_13_held_depth", "SELECT * FROM (VALUES (0, 20), (5, 5), (99, 20)) v(asked, depth)")
