@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.sources.store import cut
@@ -56,16 +56,46 @@ def impact_page(edges: DataFrame, nodes: DataFrame, anchor: str, depth: int, off
     return downstream(edges, nodes, anchor, depth).orderBy("hop", "id").offset(offset).limit(limit)
 
 
-def paths(edges: DataFrame, start: str, end: str, depth: int, most: int = MOST_PATHS) -> DataFrame:
-    """(path, hops): directed paths from start to end that use no edge twice, shortest first, at most ``most``."""
-    step = edges.select("src", "dst").distinct()
-    front = step.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.array(F.concat_ws("|", "src", "dst")).alias("used"), F.col("dst").alias("at"))
-    found = [front.where(F.col("at") == end).select("path", F.lit(1).alias("hops"))]
-    for h in range(2, min(depth, MOST_DEPTH) + 1):
-        edge = F.concat_ws("|", "src", "dst")
-        front = front.join(step, F.col("at") == F.col("src")).where(~F.array_contains("used", edge)).select(F.array_append("path", F.col("dst")).alias("path"), F.array_append("used", edge).alias("used"), F.col("dst").alias("at"))
-        found.append(front.where(F.col("at") == end).select("path", F.lit(h).alias("hops")))
-    return reduce(DataFrame.union, found).orderBy("hops", "path").limit(most)
+def paths(edges: DataFrame, start: str, end: str, depth: int, most: int = MOST_PATHS, keep: int | None = None) -> DataFrame:
+    """(path, hops): directed paths of 1 to ``depth`` hops that use no edge twice, shortest first and then in order of their nodes, at most ``most``.
+
+    From the end backwards a node learns from how many hops it can be reached, so a walk only takes edges from which the end is still as far as its length
+    asks for: what begins can end. For each length the first ``keep`` walks go on at each hop. They are all that counts unless so many of them use an edge
+    twice that fewer than asked for are left of a length that was cut; then more are kept. Each hop is a checkpointed join of at most depth * keep walks with the edges.
+    """
+    depth = min(depth, MOST_DEPTH)
+    step = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    spark, here = edges.sparkSession, [cut(edges.sparkSession.createDataFrame([(end,)], "id string"))]
+    for _ in range(depth):
+        here.append(cut(step.join(here[-1].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()))
+    lengths = [n for n in range(1, depth + 1) if not here[n].where(F.col("id") == start).isEmpty()]
+    ends = reduce(DataFrame.unionByName, (x.withColumn("left", F.lit(n)) for n, x in enumerate(here)))
+    keep = keep or 2 * most
+    while True:
+        front = spark.createDataFrame([(n, [start], start) for n in lengths], "length int, path array<string>, at string").withColumn("used", F.array().cast("array<struct<src:string,dst:string>>"))
+        found, got, short = [], 0, False
+        cut_at: set[int] = set()
+        for h in range(1, (lengths[-1] if lengths else 0) + 1):
+            edge = F.struct(F.col("at").alias("src"), "dst")
+            on = front.join(step, F.col("at") == F.col("src")).where(~F.array_contains("used", edge)).withColumn("left", F.col("length") - h)
+            on = on.join(ends.withColumnRenamed("id", "dst"), ["dst", "left"], "left_semi")
+            on = on.select("length", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("at"), F.array_append("used", edge).alias("used"))
+            first = F.row_number().over(Window.partitionBy("length").orderBy("path"))
+            on = cut(on.withColumn("_k", first).where(F.col("_k") <= keep + 1))
+            cut_at |= {r.length for r in on.where(F.col("_k") > keep).select("length").distinct().collect()}  # at most one a length
+            front = on.where(F.col("_k") <= keep).drop("_k")
+            if h in lengths:
+                whole = front.where(F.col("length") == h).select("path", F.lit(h).alias("hops"))
+                found.append(whole)
+                got += min(whole.count(), most)
+                short |= got < most and h in cut_at
+                if got >= most or short:
+                    break
+                front = front.where(F.col("length") > h)
+        if not short:
+            none = spark.createDataFrame([], "path array<string>, hops int")
+            return reduce(DataFrame.unionByName, found, none).orderBy("hops", "path").limit(most)
+        keep *= 4
 
 
 def task_levels(edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:

@@ -1,5 +1,6 @@
 """Lineage graph queries: region -> nation -> customer and nation -> supplier -> part."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import filters, graph as g, keyed
@@ -78,11 +79,30 @@ def search(t):
     return keyed.search(t.vertex(), "AN", ("nation", "region"), 15)
 
 
-@_r.query("grf_10_paths", "SELECT 'region:0>' || a.dst || '>' || b.dst || '>' || c.dst AS path, 3 AS hops FROM (SELECT DISTINCT src, dst FROM flow) a JOIN (SELECT DISTINCT src, dst FROM flow) b ON b.src = a.dst JOIN (SELECT DISTINCT src, dst FROM flow) c ON c.src = b.dst WHERE a.src = 'region:0' AND c.dst = 'part:4' ORDER BY path LIMIT 200")
+def _walks(edges: str, start: str, end: str, depth: int) -> str:
+    """SQL for all walks of up to ``depth`` hops that use no edge twice."""
+    return f"""WITH RECURSIVE e AS ({edges}), w AS (
+        SELECT [src, dst] AS path, [{{'src': src, 'dst': dst}}] AS used, dst AS node, 1 AS hops FROM e WHERE src = '{start}'
+        UNION ALL SELECT list_append(path, e.dst), list_append(used, {{'src': e.src, 'dst': e.dst}}), e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < {depth} AND NOT list_contains(used, {{'src': e.src, 'dst': e.dst}}))
+        SELECT array_to_string(path, '>') AS path, hops FROM w WHERE node = '{end}' ORDER BY hops, w.path LIMIT 200"""
+
+
+@_r.query("grf_10_paths", _walks("SELECT DISTINCT src, dst FROM flow", "region:0", "part:4", 4))
 def paths(t):
     return g.paths(t.flow(), "region:0", "part:4", 4).select(F.array_join("path", ">").alias("path"), "hops")
 
 
+_HANDED = "SELECT DISTINCT CAST(a.worker AS VARCHAR) AS src, CAST(b.worker AS VARCHAR) AS dst FROM dag_edge e JOIN dag_node a ON a.run_id = e.run_id AND a.node = e.src JOIN dag_node b ON b.run_id = e.run_id AND b.node = e.dst WHERE a.worker % 3 <> 0 AND b.worker % 4 <> 1 AND a.worker <> b.worker"
+
+
+@_r.query("grf_10_paths_with_cycles", _walks(_HANDED, "1", "2", 3))
+def cyclic_paths(t):
+    """Among workers that hand runs to each other, a dense graph with cycles: paths of every length, back through their own ends too."""
+    before = F.lag("worker").over(Window.partitionBy("run_id").orderBy("node"))
+    edges = t.dag_node().select(before.cast("string").alias("src"), F.col("worker").cast("string").alias("dst")).where("src is not null and src % 3 <> 0 and dst % 4 <> 1 and src <> dst")
+    return g.paths(edges, "1", "2", 3).select(F.array_join("path", ">").alias("path"), "hops")
+
+
 @_r.query("grf_11_metric_sources", "SELECT DISTINCT f.src AS source, v.layer FROM flow f JOIN vertex v ON v.id = f.src WHERE f.dst = 'part:17'")
 def metric(t):
     sources = t.flow().where("dst = 'part:17'").select(F.col("src").alias("id")).distinct()
