@@ -1,10 +1,12 @@
 """Queries over state that streams keep up to date."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from weftline.plans.platform import _folder
 from weftline.plans.readiness import _CROSS, _UNMET
 from weftline.registry import Registry
+from weftline.streaming import progress
 from weftline.streaming.maintainer import Maintainer
 
 _r = Registry()
@@ -54,3 +56,55 @@ def incremental(t):
 @_r.query("rdy_05_became_ready", f"SELECT id, needs = 0 AS at_start FROM ({_TOTAL}) WHERE unmet = 0")
 def became_ready(t):
     return _maintained(t).where("ready_since is not null").select(F.col("dependent").cast("long").alias("id"), (F.col("ready_since") < 0).alias("at_start"))
+
+
+_JOBS = "SELECT r.id AS job, CASE WHEN r.state = 'WAITING' AND r.priority = 1 THEN 'SUSPENDED' WHEN r.state = 'WAITING' THEN 'RUNNING' ELSE r.state END AS state, r.started_at, CASE WHEN r.state <> 'WAITING' THEN r.started_at + to_seconds(100 * r.priority) END AS finished_at, n.worker FROM run r LEFT JOIN (SELECT run_id, max(worker) AS worker FROM dag_node GROUP BY 1) n ON n.run_id = r.id"
+_LAST = "SELECT run_id, max(rank) AS ordinal FROM (SELECT run_id, rank, row_number() OVER (PARTITION BY run_id, strength ORDER BY rank DESC) AS k, strength FROM dag_node) WHERE strength = 'STRONG' AND k <= 3 GROUP BY 1"
+_PANEL = f"SELECT j.*, CAST(greatest(0, floor(epoch(coalesce(j.finished_at, TIMESTAMP '1998-08-01')) - epoch(j.started_at))) AS BIGINT) AS seconds, j.worker % 3 <> 0 AND s.s_suppkey IS NOT NULL AND j.worker IS NOT NULL AS online, l.ordinal AS last_ordinal, r.started_at + to_days(CAST(10 * l.ordinal AS INTEGER)) AS last_at, coalesce(r.started_at + to_days(CAST(10 * l.ordinal AS INTEGER)) > TIMESTAMP '1998-08-01' - INTERVAL 720 HOUR, false) AS resumable FROM ({_JOBS}) j JOIN run r ON r.id = j.job LEFT JOIN supplier s ON s.s_suppkey = j.worker LEFT JOIN ({_LAST}) l ON l.run_id = j.job"
+
+
+def _panel(t):
+    """Runs as long-running jobs, nodes of their graphs as checkpoints, a day in ten after the start."""
+    started = t.run().select(F.col("id").alias("run_id"), "started_at")
+    nodes = t.dag_node()
+    worker = nodes.groupBy("run_id").agg(F.max("worker").alias("worker"))
+    state = F.expr("case when state = 'WAITING' and priority = 1 then 'SUSPENDED' when state = 'WAITING' then 'RUNNING' else state end")
+    end = F.expr("case when state <> 'WAITING' then started_at + make_dt_interval(0, 0, 0, 100 * priority) end")
+    jobs = t.run().join(worker, F.col("id") == F.col("run_id"), "left").select(F.col("id").alias("job"), state.alias("state"), F.col("started_at").cast("timestamp_ntz").alias("started_at"), end.cast("timestamp_ntz").alias("finished_at"), "worker")
+    points = nodes.join(started, "run_id").select(F.col("run_id").alias("job"), F.col("rank").alias("ordinal"), F.when(F.col("strength") == "STRONG", "SUCCESS").otherwise("FAILED").alias("state"), F.expr("cast(started_at as timestamp_ntz) + make_dt_interval(10 * rank)").alias("at"))
+    workers = t.read("supplier").select(F.col("s_suppkey").alias("worker"), F.when(F.col("s_suppkey") % 3 == 0, "OFFLINE").otherwise("online").alias("status"))
+    return progress.panel(jobs, workers, points, "1998-08-01 00:00:00", 720)
+
+
+@_r.query("stm_07_job_panel", _PANEL)
+def job_panel(t):
+    return _panel(t)
+
+
+@_r.query("stm_07_panel_page", f"SELECT job, state, seconds FROM ({_PANEL}) ORDER BY CASE state WHEN 'RUNNING' THEN 0 WHEN 'SUSPENDED' THEN 1 ELSE 2 END, started_at DESC, job DESC LIMIT 50 OFFSET 100")
+def panel_page(t):
+    return progress.page(_panel(t), 2, 50).select("job", "state", "seconds")
+
+
+_PARTS = "SELECT id % 3 AS part, count(*) AS n FROM inst GROUP BY 1"
+
+
+@_r.query("stm_02_listened_history", f"SELECT 'whole' AS job, part AS ordinal, 'SUCCESS' AS state, n AS rows FROM ({_PARTS}) UNION ALL SELECT 'broken', part, CASE part WHEN 0 THEN 'SUCCESS' ELSE 'FAILED' END, CASE part WHEN 0 THEN n END FROM ({_PARTS}) WHERE part < 2")
+def listened(t):
+    """Two streams over the same three batches of instances: one takes all of them, the other fails in its second batch. A listener writes down what becomes of each."""
+    root, rows = _folder(t.spark, "listened"), t.inst().select("id", "state")
+    for part in range(3):
+        rows.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    fails = F.when(F.col("id") % 3 == 1, F.raise_error(F.lit("a bad row"))).otherwise(F.col("state"))
+    with progress.Recorder(t.spark, f"{root}/history") as recorder:
+        runs = []
+        for name, column in (("whole", F.col("state")), ("broken", fails)):
+            source = t.spark.readStream.schema("id long, state string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withColumn("state", column)
+            query = source.writeStream.queryName(name).format("noop").option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                pass  # it is to be in the history
+            runs.append(query.runId)
+        recorder.wait(runs)
+    return progress.recorded(t.spark, f"{root}/history").select("job", "ordinal", "state", "rows")
