@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("plans.filtering", "plans.aggregation", "plans.joining", "plans.lineage", "plans.readiness", "plans.corpus", "plans.platform", "plans.scripts", "plans.upkeep", "plans.calibrating")
+MODULES = ("plans.filtering", "plans.aggregation", "plans.joining", "plans.lineage", "plans.readiness", "plans.corpus", "plans.platform", "plans.scripts", "plans.upkeep", "plans.calibrating", "plans.scanning")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
