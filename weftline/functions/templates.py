@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _EXPR = re.compile(r"^([ymd\-/_ ]*[ymd])\s*(?:([+-])\s*(\d+)(?:\s*\*\s*(\d+))?)?$")
 
 
@@ -75,5 +79,21 @@ def resolve_lenient(text: str, biz_date: str, today: str, params: dict[str, str]
     return re.sub(r"\$\{([^}]*)\}", value, text)
 
 
+def resolved(rows: DataFrame, template: str, biz_date: str, today: str, into: str = "resolved", lenient: bool = False) -> DataFrame:
+    """``rows`` with their templates resolved for their business dates; each different pair is resolved once. What can't be resolved is null, or, ``lenient``, stays."""
+    @F.pandas_udf("string")
+    def each(texts: pd.Series, days: pd.Series) -> pd.Series:
+        def one(text: str, day: str) -> str | None:
+            try:
+                return (resolve_lenient if lenient else resolve)(text, day, today)
+            except TemplateError:
+                return None
+
+        return pd.Series([one(a, b) for a, b in zip(texts, days)], dtype=object)
+
+    pairs = rows.select(F.col(template).alias("_text"), F.col(biz_date).alias("_day")).where("_text is not null and _day is not null").distinct().withColumn(into, each("_text", "_day"))
+    return rows.join(pairs, [rows[template] == pairs["_text"], rows[biz_date] == pairs["_day"]], "left").drop("_text", "_day")
+
+
 def is_date(text: str | None) -> bool:
     return bool(re.fullmatch(r"\d{4}-\d{2}-\d{2}", text or ""))

@@ -139,6 +139,11 @@ def held_depth(depth: int, most: int = 20) -> int:
     return most if depth <= 0 or depth > most else depth
 
 
+def held_depths(depth: Column, most: int = 20) -> Column:
+    """``held_depth`` for a column; a null depth asks for none and so gets the most."""
+    return F.when((depth <= 0) | (depth > most) | depth.isNull(), most).otherwise(depth)
+
+
 def capped_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
     """(n, lower_bound): distinct rows up to ``cap``, and whether there may be more."""
     n = df.distinct().limit(cap).agg(F.count("*").alias("n"))

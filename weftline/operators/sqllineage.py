@@ -26,6 +26,14 @@ def rejected(sql: str | None) -> str | None:
     return f"holds {word}" if word else None
 
 
+def rejection(sql: Column) -> Column:
+    """``rejected`` for a column of texts: the reason, or null for a single read-only statement."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(sql, F.lit("")), r"(?s)^\s+|\s+$", ""), r"(?s)\s*;$", "")
+    held = F.filter(F.array(*map(F.lit, FORBIDDEN)), lambda w: F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))))
+    out = F.when(text == "", "blank").when(text.contains(";"), "several statements").when(~text.rlike(r"(?i)^(select|with)\b"), "not a query")
+    return out.when(F.size(held) > 0, F.concat(F.lit("holds "), held[0]))
+
+
 def statements(sql: str) -> list[str]:
     """Statements of a script: split at semicolons outside quotes and comments."""
     parts = re.findall(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", sql, re.S)

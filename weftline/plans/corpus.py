@@ -46,11 +46,11 @@ def cross_cycle(t):
     return t.inst().select("id", s.cross_cycle(F.col("biz_date"), F.when(F.col("id") % 3 == 0, "LAST_DAY").otherwise("SAME")).alias("d"))
 
 
-@_r.query("scl_10_date_range", "SELECT strftime(unnest(generate_series(DATE '2024-01-30', DATE '2024-02-03', INTERVAL 1 DAY)), '%Y-%m-%d') AS biz_date")
+@_r.query("scl_10_date_range", "SELECT r_regionkey AS task_id, strftime(unnest(generate_series(DATE '2024-01-30', DATE '2024-02-03', INTERVAL 1 DAY)), '%Y-%m-%d') AS biz_date FROM region")
 def date_range(t):
     from weftline.operators.readiness import backfill
 
-    return backfill(t.spark.range(1).select(F.col("id").alias("task_id")), "2024-01-30", "2024-02-03").select("biz_date")
+    return backfill(t.read("region").select(F.col("r_regionkey").alias("task_id")), "2024-01-30", "2024-02-03")
 
 
 @_r.query("scl_14_masked_url", "SELECT page_id, regexp_replace(regexp_replace('jdbc:x://u:p' || page_id || '@h/db?password=s' || page_id || '&a=1', '(password=)[^&;]*', '\\1***'), '(://[^:/@]+:)[^@/]+@', '\\1***@') AS url FROM pages")
@@ -68,10 +68,12 @@ def redacted(t):
     return _docs(t).select("doc_id", F.md5(s.redacted(F.col("text"))).alias("h"))
 
 
-@_r.query("scl_15_redacted_cases", r"""SELECT * FROM (VALUES (1, 'mysql <redacted> -u a'), (2, '<redacted> x'), (3, '<redacted>'), (4, 'jdbc:mysql<redacted>/db?a=1'), (5, 's3<redacted>/key'), (6, 'at <redacted>.'), (7, 'plain.table_1')) v(k, text)""")
+@_r.query("scl_15_redacted_cases", r"""SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 'mysql <redacted> -u a' WHEN 1 THEN '<redacted> x' WHEN 2 THEN '<redacted>' WHEN 3 THEN 'jdbc:mysql<redacted>/db?a=1' WHEN 4 THEN 's3<redacted>/key' WHEN 5 THEN 'at <redacted>.' ELSE 'plain.table_' || s_suppkey END AS text FROM supplier""")
 def redacted_cases(t):
-    texts = ["mysql -h 10.0.0.5 -u a", "PGPASSWORD=abc x", "api_key: xyz", "jdbc:mysql://u:p@db.host-1:3306/db?a=1", "s3://bucket/key", "at 192.168.1.20.", "plain.table_1"]
-    return t.spark.createDataFrame([(k + 1, x) for k, x in enumerate(texts)], "k int, text string").select("k", s.redacted(F.col("text")).alias("text"))
+    """Texts with each kind of secret, made of suppliers' numbers."""
+    texts = ["mysql -h 10.0.0.%1$s -u a", "PGPASSWORD=abc%2$s x", "api_key: xyz%2$s", "jdbc:mysql://u:p%2$s@db.host-1:3306/db?a=1", "s3://bucket%2$s/key", "at 192.168.1.%1$s.", "plain.table_%2$s"]
+    made = (F.format_string(x, (F.col("s_suppkey") % 250).cast("string"), F.col("s_suppkey").cast("string")) for x in texts)
+    return t.read("supplier").select(F.col("s_suppkey").alias("id"), s.redacted(F.element_at(F.array(*made), (F.col("s_suppkey") % 7 + 1).cast("int"))).alias("text"))
 
 
 @_r.query("scl_16_dedup_key", r"SELECT doc_id, substr(sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 1, 16) AS k FROM documents")
@@ -187,7 +189,6 @@ _SAME_TABLE = "SELECT a.id, b.id AS other FROM task a JOIN task b ON a.name = b.
 
 
 @_r.query("evl_02_same_table", _SAME_TABLE)
-@_r.query("evl_02_same_table_whole", _SAME_TABLE)
 def same_table(t):
     a = t.task().select("id", F.concat(F.lit("db."), "name").alias("qualified"), F.col("name").alias("leaf"))
     b = t.task().select(F.col("id").alias("other"), F.col("name").alias("leaf"))
@@ -249,7 +250,6 @@ _UNGROUNDED = f"SELECT d.doc_id, count(*) AS n FROM (SELECT doc_id, coalesce(tex
 
 
 @_r.query("evl_11_ungrounded", _UNGROUNDED)
-@_r.query("evl_11_ungrounded_whole", _UNGROUNDED)
 def ungrounded(t):
     names = t.read("benchmark").select(F.col("text").alias("name"))
     gold = _docs(t).select("doc_id", s.dedup_key(F.col("text")).alias("k")).join(names.select("name", s.dedup_key(F.col("name")).alias("k")), "k").select("doc_id", "name")

@@ -191,7 +191,6 @@ _REQUESTED = "SELECT id, l_orderkey, l_linenumber, l_partkey FROM (SELECT l_supp
 
 
 @_r.query("set_07_requested_valid", _REQUESTED)
-@_r.query("set_07_requested_valid_whole", _REQUESTED)
 def requested(t):
     place = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     asked = t.read("lineitem").select(F.col("l_suppkey").alias("id"), place.alias("k"))

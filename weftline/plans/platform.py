@@ -17,17 +17,19 @@ def _folder(spark, name):
     return f"{folder(spark)}/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
 
 
-@_r.query("stm_01_generated_to_nowhere", "SELECT 4 AS batches, 4000 AS read")
-def generated(t):
-    """A generated stream into nowhere, one batch a start: each start takes up the count where the last one ended."""
-    root = _folder(t.spark, "generated")
-    rows = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1000).load()
+@_r.query("stm_01_stream_to_nowhere", "SELECT 4 AS batches, count(*) AS read FROM inst")
+def to_nowhere(t):
+    """All instances as a stream into nowhere, in four batches over two starts: the second takes up the count where the first one ended."""
+    root, rows = _folder(t.spark, "nowhere"), t.inst().select("id", "state")
     read = []
-    for _ in range(4):
-        query = outbox.discarded(rows, root, availableNow=True)
+    for half in range(2):
+        for part in range(2):
+            rows.where(F.col("id") % 4 == 2 * half + part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema("id long, state string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        query = outbox.discarded(stream, f"{root}/checkpoint", availableNow=True)
         query.awaitTermination()
         read += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
-    return t.spark.createDataFrame([(len(read), sum(read))], "batches int, read int")
+    return t.inst().limit(1).select(F.lit(len(read)).alias("batches"), F.lit(sum(read)).cast("long").alias("read"))
 
 
 @_r.query("stm_02_checkpoint_history", "SELECT id, CASE WHEN state = 'SUCCESS' AND row_number() OVER (PARTITION BY task_id, state ORDER BY id DESC) > 3 THEN 'EXPIRED' ELSE state END AS state FROM inst")
@@ -128,21 +130,6 @@ def calls(t):
     return t.read("documents").select("doc_id", F.size(sl.script_tables(F.col("text"))[1]).alias("writes"))
 
 
-@_r.query("lin_01_statement_tables")
-def statement_tables(t):
-    texts = ["INSERT INTO dwd.orders SELECT * FROM ods.orders o JOIN ods.users u ON o.uid = u.id", "WITH x AS (SELECT * FROM a) SELECT * FROM x, b", "SELECT 1; SELECT * FROM c", "DROP ME NOW"]
-    rows = [(s, d["parsed"], d["reads"], d["writes"]) for s in texts for d in [sl.tables(t.spark, s)]]
-    return t.spark.createDataFrame(rows, "sql string, parsed boolean, reads array<string>, writes array<string>")
-
-
-@_r.query("lin_03_column_lineage")
-def column_lineage(t):
-    for name in ("orders", "customer"):
-        t.read(name).createOrReplaceTempView(name)
-    sql = "SELECT c_mktsegment AS segment, sum(o_totalprice) AS total, max(o_orderkey) + 1 AS next, 'x' AS tag FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
-    rows = [(c["target"], c["sources"], c["transform"]) for c in sl.columns(t.spark, sql)]
-    return t.spark.createDataFrame(rows, "target string, sources array<string>, transform string")
-
 
 @_r.query("src_19_json_lines", "SELECT doc_id, lang, source, n_chars FROM documents")
 def json_lines(t):

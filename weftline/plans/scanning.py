@@ -40,6 +40,15 @@ def executed(t):
     return _joined(sl.script_lineage(_scripts(t), "k"))
 
 
+@_r.query("lin_01_statement_tables", "SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey, l_partkey, CASE WHEN l_linenumber IN (1, 2, 4, 5, 7) THEN 'ods.s' || l_suppkey || CASE l_linenumber WHEN 5 THEN ',ods.t2' ELSE '' END ELSE '' END AS reads, CASE WHEN l_linenumber IN (1, 4, 7) THEN 'dw.t' || l_partkey ELSE '' END AS writes FROM lineitem")
+def statement_tables(t):
+    """What one statement a line reads and writes: inserts, queries, expressions with names of their own, deletes; others aren't statements."""
+    texts = ["INSERT INTO dw.t%1$s SELECT * FROM ods.s%2$s", "SELECT * FROM ods.s%2$s x", "DROP ME NOW", "WITH a AS (SELECT * FROM ods.s%2$s), b AS (SELECT * FROM a) INSERT INTO dw.t%1$s SELECT * FROM a JOIN b ON true", "SELECT * FROM ods.s%2$s, `ods`.`t2` AS y", "select from", "DELETE FROM dw.t%1$s WHERE k IN (SELECT k FROM ods.s%2$s)"]
+    made = F.element_at(F.array(*(F.format_string(x, F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")) for x in texts)), F.col("l_linenumber"))
+    found = t.read("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_suppkey", "l_partkey", sl.tables(F.array(made)).alias("x"))
+    return found.select("k", "n", "l_suppkey", "l_partkey", F.array_join("x.reads", ",").alias("reads"), F.array_join("x.writes", ",").alias("writes"))
+
+
 @_r.query("lin_18_scripts_with_sql", f"SELECT count(*) AS scripts, count(*) FILTER (WHERE reads <> '' OR writes <> '') AS with_sql, count(*) FILTER (WHERE writes <> '') AS that_write FROM ({_GATED})")
 def with_sql(t):
     found = sl.script_lineage(_scripts(t), "k")

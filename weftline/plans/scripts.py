@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalar as s, schedules, templates
-from weftline.operators import consensus as c, evaluation as e, keyed, sqllineage as sl
+from weftline.operators import consensus as c, evaluation as e, filters, keyed, sqllineage as sl
 from weftline.registry import Registry
 from weftline.sources import connectors
 
@@ -36,9 +36,15 @@ def script(t):
     return sl.run_script(t.spark, "create or replace temporary view one as select * from nation where n_regionkey = 1; -- a; comment\nselect n_name as name from one;")
 
 
-@_r.query("src_14_connector_catalogue", "SELECT * FROM (VALUES ('mysql', 'rdb', 3306), ('postgres', 'rdb', 5432), ('oracle', 'rdb', 1521), ('sqlserver', 'rdb', 1433), ('mariadb', 'rdb', 3306), ('db2', 'rdb', 50000), ('hive', 'mpp', 10000), ('impala', 'mpp', 21050), ('clickhouse', 'mpp', 8123), ('starrocks', 'mpp', 9030), ('doris', 'mpp', 9030), ('mongodb', 'nosql', 27017), ('redis', 'nosql', 6379), ('elasticsearch', 'nosql', 9200), ('hbase', 'nosql', 16000), ('s3', 'storage', 9000), ('hdfs', 'storage', 8020), ('ftp', 'storage', 21)) v(type, family, port)")
+_TYPES = "SELECT * FROM (VALUES ('mysql', 'rdb', 3306), ('postgres', 'rdb', 5432), ('oracle', 'rdb', 1521), ('sqlserver', 'rdb', 1433), ('mariadb', 'rdb', 3306), ('db2', 'rdb', 50000), ('hive', 'mpp', 10000), ('impala', 'mpp', 21050), ('clickhouse', 'mpp', 8123), ('starrocks', 'mpp', 9030), ('doris', 'mpp', 9030), ('mongodb', 'nosql', 27017), ('redis', 'nosql', 6379), ('elasticsearch', 'nosql', 9200), ('hbase', 'nosql', 16000), ('s3', 'storage', 9000), ('hdfs', 'storage', 8020), ('ftp', 'storage', 21)) v(type, family, port)"
+
+
+@_r.query("src_14_connector_catalogue", f"SELECT s.s_suppkey AS id, v.type, v.family, CASE WHEN s.s_suppkey % 5 = 0 THEN 1000 + s.s_nationkey ELSE v.port END AS port, CASE WHEN v.type = 'mysql' THEN 'jdbc:mysql://h' || s.s_suppkey || ':' || CASE WHEN s.s_suppkey % 5 = 0 THEN 1000 + s.s_nationkey ELSE v.port END || '/db' || s.s_nationkey END AS mysql_url FROM supplier s JOIN (SELECT *, row_number() OVER (ORDER BY type) - 1 AS k FROM ({_TYPES})) v ON v.k = s.s_suppkey % 20")
 def catalogue(t):
-    return t.spark.createDataFrame([(k, v[0], v[4]) for k, v in connectors.CONNECTORS.items()], "type string, family string, port int")
+    """Every supplier as a source of some type, two of them unknown, one in five with a port of its own."""
+    kinds = F.array(*map(F.lit, [*sorted(connectors.CONNECTORS), "cobol", "punch card"]))
+    rows = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.element_at(kinds, (F.col("s_suppkey") % 20 + 1).cast("int")).alias("type"), F.concat(F.lit("h"), "s_suppkey").alias("host"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_nationkey") + 1000).cast("int").alias("port"), F.concat(F.lit("db"), "s_nationkey").alias("db"))
+    return connectors.addressed(rows).select("id", "type", "family", "port", F.when(F.col("type") == "mysql", F.col("url")).alias("mysql_url"))
 
 
 @_r.query("src_16_column_metadata", "SELECT column_name AS name FROM (DESCRIBE nation)")
@@ -46,16 +52,22 @@ def metadata(t):
     return t.spark.createDataFrame([(f.name,) for f in t.read("nation").schema], "name string")
 
 
-@_r.query("src_17_existence_probe", "SELECT * FROM (VALUES ('nation', 'PRESENT'), ('no_such_table', 'ABSENT')) v(name, state)")
+@_r.query("src_17_existence_probe", "SELECT id, CASE WHEN split_part(id, ':', 1) IN ('nation', 'region') THEN 'PRESENT' ELSE 'ABSENT' END AS state FROM vertex WHERE split_part(id, ':', 1) <> 'customer'")
 def probe(t):
-    _view(t, "nation")
-    return t.spark.createDataFrame([(n, connectors.existence(t.spark, n)) for n in ("nation", "no_such_table")], "name string, state string")
+    """Of every vertex, whether the catalog knows the table of its kind."""
+    for name in ("nation", "region"):
+        _view(t, name)
+    rows = t.vertex().withColumn("name", F.upper(F.substring_index("id", ":", 1))).where("name <> 'CUSTOMER'")
+    return connectors.existences(rows).select("id", "state")
 
 
-@_r.query("flt_12_read_only_guard", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(k, ok)")
+_ASKED = ["select * from t{};", "select 1; select {}", "drop table t{}", "with x as (select {}) delete from y", "  ", "WITH x AS (SELECT {}) SELECT * FROM x ; ", "select 'updated_{}' as selected"]
+
+
+@_r.query("flt_12_read_only_guard", "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 1 THEN 'several statements' WHEN 2 THEN 'not a query' WHEN 3 THEN 'holds delete' WHEN 4 THEN 'blank' END AS reason FROM part")
 def guard(t):
-    texts = ["select 1;", "select 1; select 2", "drop table x", "with x as (select 1) delete from y"]
-    return t.spark.createDataFrame([(k + 1, sl.rejected(x) is None) for k, x in enumerate(texts)], "k int, ok boolean")
+    text = F.element_at(F.array(*(F.format_string(x.replace("{}", "%1$s"), F.col("p_partkey").cast("string")) for x in _ASKED)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return t.read("part").select(F.col("p_partkey").alias("id"), sl.rejection(text).alias("reason"))
 
 
 @_r.query("flt_13_strict_biz_date", "SELECT count(*) AS n FROM run")
@@ -65,16 +77,18 @@ def strict_date(t):
     return rows.agg(F.count("*").alias("n"))
 
 
-@_r.query("scl_05_templates", "SELECT * FROM (VALUES ('{{yyyymmdd-1}}', '20240229'), ('{{yyyy-mm-1}}', '2024-02'), ('{{bizmonth}}', '202402')) v(template, value)")
+@_r.query("scl_05_templates", "SELECT id, CASE id % 4 WHEN 0 THEN strftime(CAST(biz_date AS DATE) - 1, '%Y%m%d') WHEN 1 THEN strftime(CAST(biz_date AS DATE) - INTERVAL 1 MONTH, '%Y-%m') || '/x' WHEN 2 THEN strftime(CASE WHEN strftime(CAST(biz_date AS DATE), '%Y-%m') = '2024-01' THEN CAST(biz_date AS DATE) - INTERVAL 1 MONTH ELSE CAST(biz_date AS DATE) END, '%Y%m') END AS value FROM inst")
 def strict_templates(t):
-    rows = [(x, templates.resolve(x, "2024-03-01", "2024-03-02")) for x in ("{{yyyymmdd-1}}", "{{yyyy-mm-1}}", "{{bizmonth}}")]
-    return t.spark.createDataFrame(rows, "template string, value string")
+    """A template for every instance's business date; one of four can't be resolved."""
+    text = F.element_at(F.array(*map(F.lit, ["{{yyyymmdd-1}}", "{{yyyy-mm-1}}/x", "{{bizmonth}}", "{{nothing known}}"])), (F.col("id") % 4 + 1).cast("int"))
+    return templates.resolved(t.inst().select("id", "biz_date", text.alias("text")), "text", "biz_date", "2024-01-31", into="value").select("id", "value")
 
 
-@_r.query("scl_06_lenient_templates", "SELECT '${ none } 2024' AS a, '${none} 2024' AS b")
+@_r.query("scl_06_lenient_templates", "SELECT id, CASE id % 2 WHEN 0 THEN '${none} ' || strftime(CAST(biz_date AS DATE) + 2, '%d.%m.') ELSE biz_date END AS value FROM inst")
 def lenient_templates(t):
-    x = "${ none } 2024"
-    return t.spark.createDataFrame([(x, templates.resolve_lenient(x, "2024-03-01", "2024-03-02"))], "a string, b string")
+    text = F.expr("if(id % 2 = 0, concat('${ none } ${dd + 2}.', '${mm', if(day(date_add(biz_date, 2)) < day(biz_date), '+1', ''), '}.'), '${yyyy-mm-dd}')")
+    rows = t.inst().select("id", "biz_date", text.alias("text"))
+    return templates.resolved(rows, "text", "biz_date", "2024-01-31", into="value", lenient=True).select("id", "value")
 
 
 @_r.query("scl_09_default_biz_date", "SELECT id, CAST(started_at AS DATE) - 1 AS d FROM run")
@@ -88,11 +102,9 @@ def next_fire(t):
     return schedules.next_fires(rows, "base", "cron", "seconds").select("id", "next")
 
 
-@_r.query("scl_13_held_depth", "SELECT * FROM (VALUES (0, 20), (5, 5), (99, 20)) v(asked, depth)")
+@_r.query("scl_13_held_depth", "SELECT p_partkey AS id, CASE WHEN p_size - 5 BETWEEN 1 AND 20 THEN p_size - 5 ELSE 20 END AS depth FROM part")
 def depth(t):
-    from weftline.operators.filters import held_depth
-
-    return t.spark.createDataFrame([(x, held_depth(x)) for x in (0, 5, 99)], "asked int, depth int")
+    return t.read("part").select(F.col("p_partkey").alias("id"), filters.held_depths(F.col("p_size") - 5).alias("depth"))
 
 
 @_r.query("scl_21_job_or_library", r"SELECT doc_id, CASE WHEN source IN ('src4', 'src5') THEN 'library' WHEN regexp_matches(text, '(?m)^\s*if __name__|spark\.|\.write') THEN 'job' ELSE 'library' END AS kind FROM documents")

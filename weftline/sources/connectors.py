@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: type: (family, format, URL pattern, driver class, default port); fixed values.
 CONNECTORS = {
@@ -62,11 +64,32 @@ def table_columns(spark: SparkSession, table: str, most: int = 2000) -> list[tup
     return [(c.name, c.dataType) for c in spark.catalog.listColumns(table)[:most]]
 
 
+def addressed(sources: DataFrame, kind: str = "type", host: str = "host", port: str = "port", db: str = "db") -> DataFrame:
+    """``sources`` with family, format, port (its own, or the usual one of its type) and url of each; those of an unknown type are left out."""
+    known = sources.sparkSession.createDataFrame([(k, *v) for k, v in CONNECTORS.items()], "_type string, family string, format string, _url string, driver string, _port int")
+    rows = sources.join(F.broadcast(known), F.lower(kind) == F.col("_type")).withColumn("_p", F.coalesce(F.col(port), F.col("_port")))  # a row a type
+    url = F.col("_url")
+    for mark, value in (("{host}", F.col(host)), ("{port}", F.col("_p").cast("string")), ("{db}", F.col(db))):
+        url = F.replace(url, F.lit(mark), F.coalesce(value, F.lit("")))
+    return rows.withColumn("_u", url).select(*(c for c in sources.columns if c not in ("family", "format", "url", port)), "family", "format", F.col("_p").alias(port), F.col("_u").alias("url"))
+
+
+def existences(names: DataFrame, name: str = "name", database: str | None = None) -> DataFrame:
+    """``names`` with state: PRESENT or ABSENT by the session's catalog (a database's tables and views, without case), UNKNOWN for all where it can't be asked."""
+    spark = names.sparkSession
+    try:
+        there = [(t.name.lower(),) for t in spark.catalog.listTables(database)]
+    except (PySparkException, Py4JJavaError):
+        return names.withColumn("state", F.lit("UNKNOWN"))
+    known = spark.createDataFrame(there, "_there string").distinct()
+    return names.join(known, F.lower(name) == F.col("_there"), "left").withColumn("state", F.when(F.col("_there").isNotNull(), "PRESENT").otherwise("ABSENT")).drop("_there")
+
+
 def existence(spark: SparkSession, table: str) -> str:
     """PRESENT, ABSENT, or UNKNOWN where the catalog can't say."""
     try:
         return "PRESENT" if spark.catalog.tableExists(table) else "ABSENT"
-    except PySparkException:  # a remote catalog that fails
+    except (PySparkException, Py4JJavaError):  # a remote catalog that fails, with an error of Spark's or of its driver's
         return "UNKNOWN"
 
 
