@@ -373,7 +373,10 @@ def name_pools(t):
     return e.name_pools(part.select("p_name"), made)
 
 
-@_r.query("evl_31_acquisition_chain", r"SELECT min(doc_id) AS doc_id, k FROM (SELECT doc_id, substr(sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 1, 16) AS k FROM documents WHERE length(text) BETWEEN 200 AND 20000 AND source <> 'src3' AND regexp_matches(text, '(?i)the')) GROUP BY k")
+ACQUIRED = r"SELECT min(doc_id) AS doc_id, k FROM (SELECT doc_id, substr(sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 1, 16) AS k FROM documents WHERE length(text) BETWEEN 200 AND 20000 AND source <> 'src3' AND regexp_matches(text, '(?i)the')) GROUP BY k"
+
+
+@_r.query("evl_31_acquisition_chain", ACQUIRED)
 def acquisition(t):
     rows = _docs(t).where("length(text) between 200 and 20000 and source <> 'src3'").where(F.col("text").rlike("(?i)the"))
     return keyed.first_of(rows.select("doc_id", s.dedup_key(F.col("text")).alias("k")), "doc_id", "k")

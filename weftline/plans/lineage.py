@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators import filters, graph as g, keyed
+from weftline.operators import filters, graph as g, keyed, tree as tree_order
 from weftline.registry import Registry
 
 _r = Registry()
@@ -195,6 +195,17 @@ def tree(t):
     return nation.union(t.read("region").select(F.concat_ws("/", F.lit(""), "r_regionkey", F.lit("")), "r_name")).orderBy("path")
 
 
+_TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 1 + p_partkey % 4 THEN p_partkey - 1 - p_partkey % 4 END AS parent, CASE WHEN p_size % 5 > 0 THEN p_size % 3 END AS sort, CASE WHEN p_partkey % 11 > 0 THEN p_name END AS name FROM part"
+
+
+@_r.query("grf_21_preorder", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY coalesce(sort, 0), name NULLS LAST, id) AS r FROM ({_TREE})),
+    w AS (SELECT id, parent, [r] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, list_append(w.path, n.r) FROM w JOIN n ON n.parent = w.id)
+    SELECT id, parent, row_number() OVER (ORDER BY path) - 1 AS place, len(path) - 1 AS depth FROM w""")
+def preorder(t):
+    """Parts as a tree of hundreds of levels in reading order."""
+    return tree_order.preorder(t.read("part").selectExpr("p_partkey id", "if(p_partkey > 1 + p_partkey % 4, p_partkey - 1 - p_partkey % 4, null) parent", "if(p_size % 5 > 0, p_size % 3, null) sort", "if(p_partkey % 11 > 0, p_name, null) name"))
+
+
 @_r.query("grf_22_correction_write", "SELECT src, dst, max(task_id) AS task_id FROM (SELECT src, dst, task_id FROM flow WHERE task_id % 4 <> 1 UNION ALL SELECT src, dst, task_id + 1000 FROM flow WHERE task_id % 4 = 2) GROUP BY src, dst")
 def correction_write(t):
     flow = t.flow().select("src", "dst", "task_id")

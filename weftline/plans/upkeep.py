@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from weftline.plans.platform import _folder
 from weftline.plans.readiness import _CROSS, _UNMET
+from weftline.functions import scalar as s
+from weftline.plans.corpus import ACQUIRED
 from weftline.registry import Registry
-from weftline.streaming import progress
+from weftline.sources import layered
+from weftline.streaming import corpus, progress
 from weftline.streaming.maintainer import Maintainer
 
 _r = Registry()
@@ -108,3 +111,34 @@ def listened(t):
             runs.append(query.runId)
         recorder.wait(runs)
     return progress.recorded(t.spark, f"{root}/history").select("job", "ordinal", "state", "rows")
+
+
+@_r.query("src_20_corpus_stream", ACQUIRED)
+def corpus_stream(t):
+    """Documents in files out of order, some of them twice, over two starts."""
+    root, docs = _folder(t.spark, "corpus"), t.read("documents").select("doc_id", "text", "source")
+    gates = [F.col("source") != "src3", F.length("text").between(200, 20000), F.col("text").rlike("(?i)the")]
+    begin = lambda: corpus.Collector(t.spark, root, gates, s.dedup_key)
+    for part in ("doc_id % 7 > 2", "doc_id % 7 < 4"):
+        docs.where(part).repartition(6, F.xxhash64("doc_id")).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+        begin().run(stream, f"{root}/checkpoint").awaitTermination()
+    return begin().corpus().select("doc_id", F.col("content").alias("k"))
+
+
+_LAYERS = "SELECT p_partkey AS id, p_partkey % 4 = 0 AND p_partkey % 10 < 6 AS near, p_partkey % 3 = 0 AS known, p_partkey % 2 = 0 AS live FROM part"
+
+
+@_r.query("src_18_layered_catalog", f"SELECT id, CASE WHEN near THEN 'cache' WHEN known THEN 'graph' WHEN live THEN 'live' END AS first, CASE WHEN near OR known OR live THEN 'cache' END AS second, CASE WHEN near AND NOT known AND live THEN 'live' WHEN near AND NOT known THEN NULL WHEN known OR live THEN 'graph' END AS later FROM ({_LAYERS})")
+def layered_catalog(t):
+    """Every part as a table that is looked up three times: at once again, and when the cache has grown old."""
+    part, name = t.read("part"), F.concat(F.lit("db.t"), "p_partkey").alias("name")
+    columns = lambda layer: F.array(F.lit(layer), F.col("p_name")).alias("columns")
+    live = part.where("p_partkey % 2 = 0").select(name, columns("live"))
+    catalog = layered.Layered(t.spark, _folder(t.spark, "layers"), lambda asked: live.join(asked, "name", "left_semi"), ttl_hours=6)
+    at = F.expr("timestamp_ntz '2024-01-31 12:00:00' - make_dt_interval(0, p_partkey % 10)").alias("at")
+    catalog.start(part.where("p_partkey % 4 = 0").select(name, columns("cache"), at), part.where("p_partkey % 3 = 0").select(name, columns("graph")))
+    out = part.select(F.col("p_partkey").alias("id"), name)
+    for turn, (into, now) in enumerate((("first", "2024-01-31 12:00:00"), ("second", "2024-01-31 12:01:00"), ("later", "2024-02-01 12:00:00"))):
+        out = out.join(catalog.resolve(part.select(name), now, turn).select("name", F.col("layer").alias(into)), "name")
+    return out.drop("name")
