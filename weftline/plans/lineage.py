@@ -226,7 +226,7 @@ def declared(t):
     return t.dag_node().select(F.col("worker").alias("task"), before.alias("needs")).where("needs is not null and task <> needs").distinct()
 
 
-@_r.query("lin_14_flow_confidence", "SELECT a.src AS reads, b.dst AS writes, CASE WHEN CASE b.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'DECLARED' THEN 1 WHEN 'UNVERIFIED' THEN 2 ELSE 3 END > CASE a.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'DECLARED' THEN 1 WHEN 'UNVERIFIED' THEN 2 ELSE 3 END THEN b.confidence ELSE a.confidence END AS confidence FROM flow a JOIN flow b ON a.dst = b.src")
+@_r.query("lin_14_flow_confidence", "WITH f AS MATERIALIZED (SELECT * FROM flow) SELECT a.src AS reads, b.dst AS writes, CASE WHEN CASE b.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'DECLARED' THEN 1 WHEN 'UNVERIFIED' THEN 2 ELSE 3 END > CASE a.confidence WHEN 'CONFIRMED' THEN 0 WHEN 'DECLARED' THEN 1 WHEN 'UNVERIFIED' THEN 2 ELSE 3 END THEN b.confidence ELSE a.confidence END AS confidence FROM f a JOIN f b ON a.dst = b.src")
 def flow_confidence(t):
     a = t.flow().select(F.col("src").alias("reads"), F.col("dst").alias("mid"), F.col("confidence").alias("ca"))
     b = t.flow().select(F.col("src").alias("mid"), F.col("dst").alias("writes"), F.col("confidence").alias("cb"))

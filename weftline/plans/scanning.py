@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from weftline.operators import runner
 from weftline.operators import scriptlineage as sl
+from weftline.plans.platform import _folder
 from weftline.registry import Registry
+from weftline.sources import lines
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -54,3 +57,33 @@ def with_sql(t):
     found = sl.script_lineage(_scripts(t), "k")
     reads, writes = F.size("reads") > 0, F.size("writes") > 0
     return found.agg(F.count("*").alias("scripts"), F.count_if(reads | writes).alias("with_sql"), F.count_if(writes).alias("that_write"))
+
+
+_RUN = "SELECT 'r' || r_regionkey AS script, place, CASE WHEN r_regionkey % 2 = 0 OR place < 4 THEN 'OK' WHEN place = 4 THEN 'FAILED' ELSE 'NOT_RUN' END AS state FROM region, (SELECT unnest(range(1, 6)) AS place)"
+
+
+@_r.query("src_09_statement_outcomes", _RUN)
+def outcomes(t):
+    """A script for each region over its nations: a setting, a view, a query with a semicolon in a literal, one that fails for every other region, and one after it."""
+    nation = f"parquet.`{t.sf_dir}/nation.parquet`"
+    text = F.concat(
+        F.lit("SET spark.sql.shuffle.partitions=2; -- its own; session\n"), F.lit("CREATE TEMPORARY VIEW own AS SELECT * FROM "), F.lit(f"{nation} WHERE n_regionkey = "), F.col("r_regionkey").cast("string"),
+        F.lit(";\nSELECT count(*), ';' AS x FROM own GROUP BY n_name;\n"), F.when(F.col("r_regionkey") % 2 == 1, "SELECT no_column FROM own").otherwise("SELECT n_name FROM own"), F.lit(";\nSELECT 1"))
+    scripts = t.read("region").select(F.concat(F.lit("r"), "r_regionkey").alias("script"), text.alias("text"))
+    return runner.run_all(t.spark, scripts).select("script", "place", "state")
+
+
+@_r.query("src_11_copy_job", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE s_name END AS name, s_acctbal AS balance FROM supplier WHERE s_nationkey <> 3 OR s_suppkey % 3 = 0")
+def copy_jobs(t):
+    """A job that copies suppliers, one that fails half way, and one, run twice, that replaces some by their key."""
+    from pyspark.errors import PySparkException
+
+    target, rows = _folder(t.spark, "copy"), t.read("supplier").selectExpr("s_suppkey id", "s_name name", "s_acctbal balance", "s_nationkey nation").repartition(3)
+    lines.copy_job(rows, target, ["id", "name", "balance"], "nation <> 3")
+    try:
+        lines.copy_job(rows.withColumn("name", F.when(F.col("id") % 50 == 7, F.raise_error(F.lit("lost"))).otherwise("half")), target, ["id", "name", "balance"])
+    except PySparkException:
+        pass  # it leaves nothing
+    for _ in range(2):
+        lines.copy_job(rows.where("id % 3 = 0").withColumn("name", F.lit("new")), target, ["id", "name", "balance"], mode="replace", keys=["id"])
+    return lines.load(t.spark, target, rows.select("id", "name", "balance").schema)
