@@ -50,3 +50,21 @@ def test_statements_run_until_one_fails(spark):
     assert runner.run(spark, " ; ; ")[0] == [] and runner.exit_code([]) == 0
     scripts = spark.createDataFrame([("b", "select 1"), ("a", "select x"), ("c", None)], "script string, text string")
     assert [(r.script, r.state) for r in runner.run_all(spark, scripts).collect()] == [("a", "FAILED"), ("b", "OK")]
+
+
+def test_placement_as_greedy_choice(spark):
+    import random
+
+    from weftline.operators import readiness
+
+    r = random.Random(5)
+    waiting = [(k, r.randrange(4), r.randrange(3)) for k in range(60)]
+    nodes = [(f"n{k}", r.randrange(-1, 9), k % 2) for k in range(6)]
+    free, want = {n: (f, p) for n, f, p in nodes}, []
+    for k, _, pool in sorted(waiting, key=lambda w: (w[1], w[0])):
+        fit = sorted((-f, n) for n, (f, p) in free.items() if p == pool and f > 0)
+        if fit:
+            want.append((k, fit[0][1]))
+            free[fit[0][1]] = (-fit[0][0] - 1, pool)
+    got = readiness.placed(spark.createDataFrame(waiting, "id long, priority int, pool int"), spark.createDataFrame(nodes, "node string, free long, pool int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,31 +42,16 @@ def aged(priority: str, waited_s: Column, step_s: int = 86400, test: Column | No
 
 
 def placed(waiting: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, node) by greedy choice: in order of priority and id, each goes to the freest node of its pool, whose room falls by one.
+    """(id, node) by greedy choice: in order of priority and id, each goes to the freest node of its pool, the smallest name of several, whose room falls by one.
 
-    Pools are placed side by side; a pool's waiting rows beyond its free slots can't be placed, so only as many are looked at.
+    waiting: id, priority, pool; nodes: node, free, pool. As each takes one slot, the choices are known beforehand: a pool's slots in order of what is free when they are
+    taken, then of the node. So the k-th to wait takes the k-th slot, which is a join; who has no slot isn't placed.
     """
-    from pyspark.sql import Window
-
-    room = nodes.groupBy("pool").agg(F.sum("free").alias("room"), F.collect_list(F.struct("node", "free")).alias("nodes"))
-    first = F.row_number().over(Window.partitionBy("pool").orderBy("priority", "id"))
-    rows = waiting.select("id", "priority", "pool").join(room, "pool").withColumn("k", first).where("k <= room")
-    queues = rows.groupBy("pool").agg(F.sort_array(F.collect_list(F.struct("priority", "id"))).alias("queue"), F.first("nodes").alias("nodes"))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                free = {n["node"]: n["free"] for n in r.nodes}
-                for q in r.queue:
-                    node = min(free, key=lambda x: (-free[x], x))
-                    if free[node] < 1:
-                        break
-                    free[node] -= 1
-                    out.append((q["id"], node))
-            yield pd.DataFrame(out, columns=["id", "node"])
-
-    return queues.mapInPandas(greedy, "id long, node string")
+    slots = nodes.where("free > 0").select("pool", "node", F.explode(F.sequence(F.lit(1), F.col("free").cast("int"))).alias("left"))
+    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("left"), "node")))
+    room = slots.groupBy("pool").agg(F.max("k").alias("room"))
+    queue = waiting.select("id", "priority", "pool").withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy("priority", "id")))
+    return queue.join(room, "pool").where("k <= room").join(slots.select("pool", "k", "node"), ["pool", "k"]).select("id", "node")
 
 
 def backfill(tasks: DataFrame, first: str, last: str, most_days: int = 366) -> DataFrame:

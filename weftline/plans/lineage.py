@@ -123,6 +123,30 @@ def task_up(t):
     return g.task_levels(back, 3)
 
 
+_STEPS = "SELECT 'd' || (p_partkey - 1 - p_partkey % 4) AS src, 'd' || p_partkey AS dst, p_partkey // 3 AS task_id FROM part"
+
+
+def _levels(edges: str, depth: int) -> str:
+    """SQL for ``task_levels``: flows on from what a task writes, the least number of hops to what another reads."""
+    return f"""WITH RECURSIVE e AS ({edges}), w AS (SELECT DISTINCT task_id, dst AS id, 0 AS hop FROM e UNION SELECT w.task_id, e.dst, hop + 1 FROM w JOIN e ON e.src = w.id WHERE hop < {depth})
+        SELECT w.task_id, r.task_id AS other, min(hop) + 1 AS level FROM w JOIN (SELECT DISTINCT task_id, src FROM e) r ON r.src = w.id WHERE r.task_id <> w.task_id GROUP BY ALL"""
+
+
+def _steps(t, src="src", dst="dst"):
+    """Parts as data sets, each made of an earlier one by a task that makes three of them."""
+    return t.read("part").selectExpr(f"concat('d', p_partkey - 1 - p_partkey % 4) {src}", f"concat('d', p_partkey) {dst}", "cast(floor(p_partkey / 3) as long) task_id")
+
+
+@_r.query("grf_12_downstream_levels", _levels(_STEPS, 5))
+def task_levels_down(t):
+    return g.task_levels(_steps(t), 5)
+
+
+@_r.query("grf_13_upstream_levels", _levels(_STEPS.replace(" AS src", " AS x").replace(" AS dst", " AS src").replace(" AS x", " AS dst"), 5))
+def task_levels_up(t):
+    return g.task_levels(_steps(t, "dst", "src"), 5)
+
+
 def _tasks(t):
     flow = t.flow()
     parts = [flow.where("src like 'nation:%' and dst like 'supplier:%'"), flow.where("src like 'supplier:%'").withColumn("task_id", F.col("task_id") + 100)]

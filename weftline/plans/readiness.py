@@ -58,7 +58,21 @@ def claimable(t):
     return t.inst().where("state = 'WAITING' and node not in ('node-2', 'node-5')").join(ready, "id", "left_semi").select("id", "priority").orderBy("priority", "id").limit(200)
 
 
-@_r.query("rdy_08_greedy_placement")
+_FREE = "SELECT node, 200 - count(*) AS free, CAST(substr(node, 6) AS INTEGER) % 3 AS pool FROM inst WHERE state = 'RUNNING' GROUP BY node"
+_QUEUE = "SELECT id, greatest(0, priority - CAST(floor((epoch(TIMESTAMP '2024-01-31') - floor(epoch(finished_at))) / 86400) AS BIGINT)) AS p, CAST(substr(node, 6) AS INTEGER) % 4 AS pool FROM inst WHERE state = 'WAITING'"
+
+
+@_r.query("rdy_08_pool_placement", f"WITH q AS (SELECT id, pool, row_number() OVER (PARTITION BY pool ORDER BY p, id) AS k FROM ({_QUEUE})), s AS (SELECT a.pool, a.node, a.l, count(*) AS k FROM (SELECT pool, node, unnest(range(1, free + 1)) AS l FROM ({_FREE})) a JOIN (SELECT pool, node, free FROM ({_FREE}) WHERE free > 0) b ON b.pool = a.pool, LATERAL (SELECT unnest(range(1, b.free + 1)) AS l) c WHERE c.l > a.l OR c.l = a.l AND b.node <= a.node GROUP BY a.pool, a.node, a.l) SELECT q.id, s.node FROM q JOIN s USING (pool, k)")
+def pool_placement(t):
+    """Pools of several nodes; instances of one more pool, which has no nodes, wait on."""
+    number = F.substring("node", 6, 2).cast("int")
+    wait = F.unix_seconds(F.lit("2024-01-31").cast("timestamp")) - F.unix_seconds(F.col("finished_at").cast("timestamp"))
+    waiting = t.inst().where("state = 'WAITING'").select("id", r.aged("priority", wait).alias("priority"), (number % 4).alias("pool"))
+    nodes = t.inst().where("state = 'RUNNING'").groupBy("node").agg((F.lit(200) - F.count("*")).alias("free")).withColumn("pool", number % 3)
+    return r.placed(waiting, nodes)
+
+
+@_r.query("rdy_08_greedy_placement", f"SELECT q.id, 'node-' || q.n AS node FROM (SELECT id, n, row_number() OVER (PARTITION BY n ORDER BY p, id) AS k FROM (SELECT i.id, CAST(substr(i.node, 6) AS INTEGER) AS n, x.p FROM inst i JOIN ({_QUEUE}) x USING (id))) q JOIN ({_FREE}) f ON f.node = 'node-' || q.n WHERE q.k <= f.free")
 def placement(t):
     waiting = t.inst().where("state = 'WAITING'").select("id", r.aged("priority", F.unix_seconds(F.lit("2024-01-31").cast("timestamp")) - F.unix_seconds(F.col("finished_at").cast("timestamp"))).alias("priority"), "node")
     nodes = t.inst().where("state = 'RUNNING'").groupBy("node").agg(F.count("*").alias("used"))
