@@ -86,7 +86,8 @@ def strict_templates(t):
 
 @_r.query("scl_06_lenient_templates", "SELECT id, CASE id % 2 WHEN 0 THEN '${none} ' || strftime(CAST(biz_date AS DATE) + 2, '%d.%m.') ELSE biz_date END AS value FROM inst")
 def lenient_templates(t):
-    text = F.expr("if(id % 2 = 0, concat('${ none } ${dd + 2}.', '${mm', if(day(date_add(biz_date, 2)) < day(biz_date), '+1', ''), '}.'), '${yyyy-mm-dd}')")
+    next_month = F.when(F.day(F.date_add(F.to_date("biz_date"), 2)) < F.day(F.to_date("biz_date")), "+1").otherwise("")
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("${ none } ${dd + 2}.${mm"), next_month, F.lit("}."))).otherwise("${yyyy-mm-dd}")
     rows = t.inst().select("id", "biz_date", text.alias("text"))
     return templates.resolved(rows, "text", "biz_date", "2024-01-31", into="value", lenient=True).select("id", "value")
 
