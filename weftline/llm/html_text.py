@@ -354,8 +354,21 @@ def trained() -> Model:
     return train(labelled_pages())
 
 
+#: On a page where no text is content more likely than not: how likely its likeliest prose must be, how long prose is, and which share of that is enough for the rest.
+LIKELY, PROSE, SHARE = 0.15, 40, 0.5
+
+
+def _least(tree: Tree, marginal: list[float]) -> float:
+    """The marginal from which a text node of a page counts as content: a half; on a page without any such, a share of that of its likeliest prose outside links."""
+    texts = [(p, x, a) for p, x, a in zip(marginal, tree.text, tree.linked) if x is not None]
+    if any(p >= 0.5 for p, _, _ in texts):
+        return 0.5
+    best = max((p for p, x, a in texts if not a and len(x) >= PROSE and x.rstrip()[-1:] in ".!?…\"”»:;"), default=0.0)
+    return SHARE * best if best >= LIKELY else 0.5
+
+
 def extract(pages: list[str | None], model: Model) -> list[str]:
-    """Main text of each page: blocks of the text nodes that are content more likely than not."""
+    """Main text of each page: blocks of the text nodes that are content, see ``_least``."""
     trees = [parse(p or "") for p in pages]
     if not trees:
         return []
@@ -364,8 +377,10 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
     for t in trees:
         blocks: list[list[str]] = []
         last = None
-        for text, block, p in zip(t.text, t.block, marginal[base : base + len(t.parent)].tolist()):
-            if text is not None and p >= 0.5:
+        own = marginal[base : base + len(t.parent)].tolist()
+        least = _least(t, own)
+        for text, block, p in zip(t.text, t.block, own):
+            if text is not None and p >= least:
                 if block != last:
                     blocks.append([])
                     last = block
@@ -379,7 +394,7 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
 def main_text(pages: DataFrame, html: str = "html", model: Model | None = None, at_once: int = 256) -> DataFrame:
     """``pages`` with text and n_chars (which replace columns of these names): the main text of the whole html, and its code points.
 
-    Null or empty html, and pages without content, have an empty text. Character references are decoded, white space within a
+    Null or empty html, and pages without content, have an empty text; a page of which nothing is content more likely than not, but that holds prose, gives its likeliest. Character references are decoded, white space within a
     block becomes one blank, blocks are joined by two line feeds in page order; no other character is dropped. Pages may be of any length and depth.
     Repeated rows are extracted again, no rows give no rows. The model is trained on the driver, from
     pages that ``labelled_pages`` makes, and sent to the tasks (about 1 KB).
