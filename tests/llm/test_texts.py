@@ -213,3 +213,35 @@ def test_urls_and_aliases(spark):
     assert got[3] == ("x.net", "/fr/1", "net/fr/", "block") and got[4][2:] == ("net/es/", "block") and got[5] == got[6] == ("", "", None, "allow") and got[7] == ("example.com", "", None, "allow")
     assert got[8][3] == got[9][3] == got[10][3] == "block" and got[11][3] == "allow"
     assert got[12][3] == got[13][3] == "allow" and got[14] == ("x.com", "/ok", "com/", "allow") and got[15][3] == "allow"
+
+
+SAID = "The quick survey found that most of the rivers had been rising for weeks. Nobody had expected this to happen so early. "
+BARE = {
+    "div": (f"<html><body><div><p>{SAID * 3}</p></div></body></html>", [SAID * 3]),
+    "wrapper": (f'<html><body><div id="wrapper"><p>{SAID}</p><p>{SAID * 2}</p></div></body></html>', [SAID, SAID * 2]),
+    "columns": (f'<div class="container"><div class="row"><div class="col-md-8"><h2>Rivers rise</h2><p>{SAID * 2}</p><p>{SAID}</p></div><div class="col-md-4"><ul><li><a href=/a>Home page</a></li><li><a href=/b>About</a></li></ul></div></div></div><div class="footer">&copy; 2020 Corp</div>', ["Rivers rise", SAID * 2, SAID]),
+    "plain text": (SAID * 4, [SAID * 4]),
+    "body": (f"<body><p>{SAID}</p><p>{SAID * 2}</p></body>", [SAID, SAID * 2]),
+    "nothing but frame": ('<body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies to make this site better for you. Please accept them all.</p><button>OK</button></div><footer>&copy; 2020 Corp. All rights.</footer></body>', []),
+    "nothing but comments": (f'<body><div class="comments"><h3>Comments</h3><p>{SAID}</p></div></body>', []),
+}
+
+
+def test_pages_without_hints():
+    from weftline.llm import html_text
+
+    got = html_text.extract([p for p, _ in BARE.values()], html_text.trained())
+    assert dict(zip(BARE, got)) == {k: "\n\n".join(x.strip() for x in want) for k, (_, want) in BARE.items()}
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    from weftline.llm import packing
+
+    rows = [(k, 300 + 7 * k, f"mine {k}", -k, "bin", "cell") for k in range(40)] + [(40, 2048, "full", 1, None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, key string, offset int, bin string, cell string")).collect()
+    assert sorted((r.doc_id, r.length, r.key, r.bin, r.cell) for r in got) == sorted((d, n, k, b, c) for d, n, k, _, b, c in rows)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048

@@ -285,15 +285,15 @@ def _round(items: DataFrame, n: int, limit: int, islands: int, epochs: int, size
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, room: int = ROOM) -> DataFrame:
-    """``pieces`` (with a length of 1 to ``limit``) with sequence_id and offset (gapless from 0) columns.
+    """``pieces`` (with a length of 1 to ``limit``) with sequence_id and offset (gapless from 0) columns, which replace columns of these names; others stay as they are.
 
     Full pieces are sequences by themselves. The others are dealt by hash to cells of about ``cell`` pieces, each of which is packed by
     its islands; then the bins that were left with more than ``room`` free, and the last bins of all cells, are opened and packed again in
     cells of their own. A task holds one cell's lengths. Repeated pieces are packed like any others; no pieces give no rows.
     """
     spark = pieces.sparkSession
-    rows = cut(pieces.withColumn("key", F.monotonically_increasing_id()))
-    items = rows.where(F.col("length") < limit).select("key", F.col("length").cast("int").alias("length"))
+    rows = cut(pieces.select(F.struct(*pieces.columns).alias("row"), F.monotonically_increasing_id().alias("key")))
+    items = rows.where(F.col("row.length") < limit).select("key", F.col("row.length").cast("int").alias("length"))
     n = items.count()
     got = None
     if n:
@@ -312,5 +312,5 @@ def pack(pieces: DataFrame, limit: int = LIMIT, cell: int = CELL, islands: int =
     got = got.groupBy("cell", "bin").agg(F.sort_array(F.collect_list(F.struct("key", "length"))).alias("x"))
     got = got.withColumn("x", F.expr("transform(x, (a, i) -> struct(a.key as key, aggregate(slice(x, 1, i), 0L, (s, y) -> s + y.length) as `offset`))"))
     got = got.select("cell", "bin", F.explode("x").alias("x")).select("cell", "bin", "x.key", "x.offset")
-    out = rows.join(got, "key", "left").withColumn("sequence_id", number).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
-    return out.select(*pieces.columns, "sequence_id", "offset")
+    out = rows.join(got, "key", "left").select("row", number.alias("sequence_id"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    return out.select(*(F.col("row")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")), "sequence_id", "offset")
