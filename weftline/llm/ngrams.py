@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, buckets, exchanged, gathered, packets, repeated, short_keys
 from weftline.llm.graph import components
+from weftline.llm.identity import identified
 from weftline.llm.store import TRIM, batched, cut, partitions, pick, small, trim
 from weftline.llm.words import LOWER, blocks, hashed, mix
 
@@ -25,6 +26,8 @@ TILE = 512
 #: Sets that are intersected with one other at a time.
 LEAVES = 64
 ROLE = np.uint64(1)
+#: Node numbers that different sets may share; a million is what some 10**12 sets would have.
+SHARED = 1 << 20
 #: Parities that a set has at least and at most for comparison in tiles, and at most for that of two sets.
 PARITY, WIDE = (128, 2048), 1 << 16
 
@@ -90,6 +93,11 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(a & ~np.uint64(3)), int(b)
 
 
+def numbered(both: tuple[int, int], moved: frozenset[int]) -> int:
+    """The node number of a set of this fingerprint: its check stands in for numbers in ``moved``, which different sets have."""
+    return both[1] & ~3 if both[0] in moved else both[0]
+
+
 def parity(x: np.ndarray, most: int = PARITY[1]) -> bytes:
     """A power of 2 of bits, at least four times as many as elements up to ``most``, each the parity of how many elements fall on it."""
     bits = min(max(PARITY[0], 1 << (4 * len(x) - 1).bit_length()), most) if len(x) else PARITY[0]
@@ -188,7 +196,7 @@ def _grouped(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, nodes, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
 
 
-def _signed(words: int, percent: int, seed: int, n: int) -> "callable":
+def _signed(words: int, percent: int, seed: int, n: int, moved: frozenset[int] = frozenset()) -> "callable":
     def packed(keys: np.ndarray, nodes: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         keys, nodes = keys[order], nodes[order]
@@ -214,7 +222,7 @@ def _signed(words: int, percent: int, seed: int, n: int) -> "callable":
             for _, _, data, at in blocks(b.column("text")):
                 for x in shingles(data, at, words, seed):
                     if len(x):
-                        node = fingerprint(x)[0]
+                        node = numbered(fingerprint(x), moved)
                         for s, less in signatures(x, percent):
                             keys.append(s)
                             nodes.append((len(s), node + less))
@@ -395,8 +403,13 @@ def _intersected(percent: int) -> "callable":
     return run
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): a row per row of ``docs`` with doc_id, uid, n and node; and each node's component, by number and by the smallest doc_id in it.
+def known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, uid, doc_id, text): the rows of ``docs`` as structs and as ``links`` takes them."""
+    return identified(batched(docs), doc_id, text).select("row", "uid", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"))
+
+
+def links(rows: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): a row per row of ``rows`` (doc_id, uid, text; see ``known``) with doc_id, uid, n and node; and each node's component, by number and by the smallest doc_id in it.
 
     A-Z is lower-cased; sets are of shingles of ``words`` words of whole texts, of all words where they are fewer, and
     empty sets link with nothing. Two rows are linked if 100 * intersection >= percent * union. Rows with one set are one node.
@@ -409,18 +422,29 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
        joins most of what step 2 left apart.
     4. Signatures that step 3 has cut short, or split into several tiles, and that still have several components, are compared in full, tile by tile. Every
        linked pair shares a signature, so it has been verified or joined by others: no component is missed.
-    Should two sets have one node number (64 bits) all is done again with other hashes. Null ids are no smallest ids; extra columns are ignored.
+    Should different sets have one node number (62 bits), those few get another one, from their fingerprints' other half; rows are told apart by 128 bits
+    (see ``identified``). Null ids are no smallest ids; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = batched(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"))
+    spark, rows = rows.sparkSession, rows.select("doc_id", "uid", "text")
     thin = cut(rows.mapInArrow(_thin(words, seed), f"doc_id {dict(rows.dtypes)['doc_id']}, uid long, n long, node long, check long, bits binary, wide binary"))
-    same = thin.where("n > 0").groupBy("node", "n", "check")
-    nodes = cut(same.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("uid", "bits", "wide"), "uid").alias("x")).select("node", "n", "check", "least", "x.*"))
-    count = nodes.agg(F.count("*").alias("all"), F.count_distinct("node").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
-    if count["all"] != count["different"]:
-        return links(docs, doc_id, text, words, percent, seed + 1)
-    n, many = buckets(docs, count["elements"] * (100 - percent) * 2 // percent, 2)
-    signed = exchanged(rows.mapInArrow(_signed(words, percent, seed, many), KIND), n)
+
+    def sets_of(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes, and the numbers that several of them have."""
+        same = thin.where("n > 0").groupBy("node", "n", "check")
+        nodes = cut(same.agg(F.min("doc_id").alias("least"), F.min_by(F.struct("uid", "bits", "wide"), "uid").alias("x")).select("node", "n", "check", "least", "x.*"))
+        return nodes, cut(nodes.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node", F.lit(True).alias("shared")))
+
+    nodes, shared = sets_of(thin)
+    moved = frozenset(r.node % 2**64 for r in shared.limit(SHARED + 1).select("node").collect())  # a few, see SHARED
+    if moved:
+        free = F.when(F.col("shared"), F.col("check").bitwiseAND(F.lit(-4))).otherwise(F.col("node"))
+        thin = cut(thin.join(small(shared), "node", "left").withColumn("node", free).drop("shared"))
+        nodes, shared = sets_of(thin)
+        if len(moved) > SHARED or not shared.isEmpty():
+            raise ValueError("too many sets for numbers of 62 bits")
+    count = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
+    n, many = buckets(rows, count["elements"] * (100 - percent) * 2 // percent, 2)
+    signed = exchanged(rows.mapInArrow(_signed(words, percent, seed, many, moved), KIND), n)
     met = cut(signed.mapInArrow(_met, "a binary, b binary, keys binary, nodes binary"))
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -496,7 +520,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; a row without words, or of null id alone, is its own component. See ``links``."""
-    rows, classes = links(docs.select(doc_id, text), doc_id, text, words, percent)
+    rows, classes = links(known(docs.select(doc_id, text), doc_id, text), words, percent)
     found = rows.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(rows.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
 
@@ -504,10 +528,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``docs``: that of its smallest id, null ids last. A component is one whatever ids its rows have, so rows that
     share an id, or have none, stay each for its own component; a row that stays and its repeats (id and text) are one. Rows without words all stay."""
-    rows, classes = links(docs.select(doc_id, text), doc_id, text, words, percent)
+    every = known(docs, doc_id, text)
+    rows, classes = links(every, words, percent)
     found = rows.where("n > 0").join(classes, "node")
-    stay = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("_x")).select(F.col("_x.doc_id").alias("_stay"), F.col("_x.uid").alias("_uid")))
-    bare = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    this = F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.xxhash64(doc_id, text) == F.col("_uid"))
-    kept = docs.where(~bare).join(stay, this, "left_semi").dropDuplicates([doc_id, text])
-    return kept.select(docs.columns).unionByName(docs.where(bare))
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("x"))
+    stay = cut(stay.select(F.col("x.uid").alias("uid")).distinct())
+    bare = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    kept = every.where(~bare).join(stay, "uid", "left_semi").dropDuplicates(["uid"])
+    return kept.select("row").unionByName(every.where(bare).select("row")).select("row.*")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.exchange import KIND, exchanged, gathered, packets, repeated, split_repeats
+from weftline.llm.identity import identified
 from weftline.llm.store import batched
 from weftline.llm.words import blocks, hashed, mix, powers
 
@@ -259,11 +260,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two passes exchange records: names of recompression symbols about chosen boundaries (about one in nine words), then windows around those that are shared. A window's
     own hash decides, so shared symbols alone remove nothing. Records are of fixed size and dealt by hash, in packets; a key sends one record a
-    packet to its bucket, and only the row and place of repeated ones go on. Hashes of 64 bits stand for word sequences and rows.
+    packet to its bucket, and only the row and place of repeated ones go on. Hashes of 64 bits stand for word sequences; rows are told apart by 128 bits (see ``identified``).
     Texts are dealt by row once: all three passes read whole rows, so that Spark finds one exchange in the plan thrice and writes it once.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = batched(docs).select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("uid")).repartition(n, "uid")
+    rows = identified(batched(docs), doc_id, text).repartition(n, "uid")
     many = n  # a bucket a partition: packets are one a task and bucket at most
     keyed = exchanged(rows.mapInArrow(_keyed(text, window, many), KIND), n)
     shared = exchanged(keyed.mapInArrow(_twice(many), KIND), n).mapInArrow(_by_row, "uid long, places binary")
