@@ -1,5 +1,8 @@
 """Small cases with results worked out by hand."""
 
+import time
+from math import comb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,15 @@ def test_mcnemar(spark):
     assert (r.b_only, r.c_only) == (4, 20) and abs(r.p - 0.0015) < 0.0005
 
 
+def test_mcnemar_of_many_rows_agrees_with_whole_numbers_and_takes_no_longer():
+    for b, c in ((501, 500), (700, 700), (1100, 1000), (200, 1800), (1500, 1), (990, 1010), (3000, 3300)):
+        want = min(1.0, 2 * sum(comb(b + c, k) for k in range(min(b, c) + 1)) / 2 ** (b + c))
+        assert evaluation._two_sided(b, c) == pytest.approx(want, rel=1e-12, abs=1e-320)
+    start = time.perf_counter()
+    assert 0.68 < evaluation._two_sided(499_800, 500_200) < 0.7 and evaluation._two_sided(0, 10**8) == 0.0
+    assert time.perf_counter() - start < 5
+
+
 def test_ungrounded_names_as_brute_force(spark):
     long = "x" * 60
     docs = [(1, f"select a from {long}1"), (41, "only here"), (2, None), (3, "from b.c")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import comb, exp, factorial
+from math import comb, exp, factorial, fsum
+from sys import float_info
 
 import numpy as np
 import pandas as pd
@@ -38,12 +39,26 @@ def majority(votes: DataFrame, least: int, key: list[str]) -> DataFrame:
     return votes.groupBy(*key).agg(F.count_distinct("voter").alias("votes")).where(F.col("votes") >= least)
 
 
+def _two_sided(b: int, c: int, exact: int = 1000, middle: float = 2.0**900) -> float:
+    """Exact two-sided p of a fair split of ``b`` + ``c``. Beyond ``exact`` in doubles: each coefficient in proportion to the middle one, by recursion, until it is too small
+    for a double (after some 26 square roots of the total); their sum stands for 2 ** total.
+    """
+    total, low = b + c, min(b, c)
+    if total <= exact:
+        return min(1.0, 2 * sum(comb(total, k) for k in range(low + 1)) / 2**total)
+    shares, k, share = [], total // 2, middle
+    while share >= float_info.min and k >= 0:
+        shares.append(share)
+        share *= k / (total - k + 1)
+        k -= 1
+    whole = 2 * fsum(shares) - (0 if total % 2 else middle)  # an even total has one middle
+    return min(1.0, 2 * fsum(shares[total // 2 - low :]) / whole)
+
+
 def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(b_only, c_only, p): rows that only one of two systems has right, and the exact two-sided p. The counts alone come to the driver."""
     n = rows.agg(F.count_if(F.col(a) & ~F.col(b)).alias("b"), F.count_if(~F.col(a) & F.col(b)).alias("c")).first()
-    total, low = n["b"] + n["c"], min(n["b"], n["c"])
-    p = min(1.0, 2 * sum(comb(total, k) for k in range(low + 1)) / 2**total) if total else 1.0
-    return rows.sparkSession.createDataFrame([(n["b"], n["c"], p)], "b_only long, c_only long, p double")
+    return rows.sparkSession.createDataFrame([(n["b"], n["c"], _two_sided(n["b"], n["c"]))], "b_only long, c_only long, p double")
 
 
 def _weights(keys: np.ndarray, seed: int, resamples: int) -> np.ndarray:
