@@ -81,6 +81,23 @@ def test_mcnemar_of_many_rows_agrees_with_whole_numbers_and_takes_no_longer():
     assert time.perf_counter() - start < 5
 
 
+def test_contexts_of_a_line_are_all_told(spark):
+    row = spark.range(1).select(s.contexts(F.lit("insert from the here with the as x"), F.lit("the")).alias("c"), s.context(F.lit("insert from the here with the as x"), F.lit("the")).alias("first"), s.contexts(F.lit("other the"), F.lit("the")).alias("o"), s.contexts(F.lit("none"), F.lit("the")).alias("n")).first()
+    assert (row.c, row.first, row.o, row.n) == (["temp_view", "table_ref"], "temp_view", ["other"], None)
+
+
+def test_line_contexts_of_a_view_line_as_sql_has_them(spark, tmp_path):
+    import duckdb
+    from weftline.plans import corpus
+
+    text = "nothing\nwe wait with the as read from the end\n# from the\nimport the with the as\nthe"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus.QUERIES["scl_24_line_contexts"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(corpus.ORACLES["scl_24_line_contexts"]).fetchall() == [(1, 2, 1)]
+
+
 def test_ungrounded_names_as_brute_force(spark):
     long = "x" * 60
     docs = [(1, f"select a from {long}1"), (41, "only here"), (2, None), (3, "from b.c")]

@@ -145,16 +145,24 @@ CONTEXTS = (
 )
 
 
-def context(line: Column, name: Column) -> Column:
+def contexts(line: Column, name: Column) -> Column:
+    """All contexts of a name in a line, in the order of CONTEXTS; ``other`` alone if none fits, null if the line doesn't hold the name."""
     quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    out = F.lit("other")
-    for label, pattern in reversed(CONTEXTS):
+    fits = []
+    for label, pattern in CONTEXTS:
         parts = pattern.split("NAME")
         full = F.lit(parts[0])
         for p in parts[1:]:
             full = F.concat(full, quoted, F.lit(p))
-        out = F.when(F.rlike(line, full), label).otherwise(out)
-    return F.when(line.contains(name), out)
+        fits.append(F.when(F.rlike(line, full), label))
+    found = F.array_compact(F.array(*fits))
+    named = F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, F.array(F.lit("other"))).otherwise(x))  # found once
+    return F.when(line.contains(name), F.get(named, F.lit(0)))
+
+
+def context(line: Column, name: Column) -> Column:
+    """The first of a name's contexts in a line."""
+    return F.get(contexts(line, name), F.lit(0))
 
 
 #: Contexts in which a name is none of a table.

@@ -116,8 +116,9 @@ def leaves(t):
 
 @_r.query("scl_24_line_contexts", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(line, '(?i)\b(from|join|into|table|overwrite)\s+([\w.]+\.)?the\b')) AS refs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'the') AND NOT regexp_matches(line, '[/\\]the\b|\bthe[/\\]|^\s*(#|--|//).*\bthe\b') AND NOT (regexp_matches(line, '\bthe\b') AND regexp_matches(line, '^\s*(from\s+\S+\s+)?import\b')) GROUP BY doc_id")
 def contexts(t):
-    lines = _docs(t).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("c", s.context(F.col("line"), F.lit("the")))
-    return lines.where("c is not null and c not in ('comment', 'import', 'path')").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("c") == "table_ref").alias("refs"))
+    """A line may declare a view and name a table too: every context counts, not the first alone."""
+    lines = _docs(t).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", s.contexts(F.col("line"), F.lit("the")).alias("c"))
+    return lines.where(~F.arrays_overlap("c", F.array(*map(F.lit, ("comment", "import", "path"))))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.array_contains("c", "table_ref")).alias("refs"))
 
 
 @_r.query("scl_25_kept_names", "SELECT s_suppkey AS id, s_suppkey % 10 IN (1, 5, 9) AS kept FROM supplier")
