@@ -1,5 +1,7 @@
 """Tables of SQL that scripts execute, worked out by hand."""
 
+from pyspark.sql import functions as F
+
 from weftline.operators import scriptlineage as sl
 
 CASES = [
@@ -46,3 +48,10 @@ def test_a_script_of_many_parts(spark):
     text = "\n".join(f'spark.sql("INSERT INTO dw.t{k} SELECT * FROM ods.s{k}")  # step {k}' for k in range(400))
     r = sl.script_lineage(spark.createDataFrame([(1, text)], "k int, text string"), "k").first()
     assert len(r.reads) == len(r.writes) == 400
+
+
+def test_a_script_is_walked_through_once_however_many_columns_ask(spark):
+    found = sl.script_lineage(spark.createDataFrame([(1, "spark.sql('insert into a select * from b')")], "k long, text string"), "k")
+    asked = found.agg(F.count_if((F.size("reads") > 0) | (F.size("writes") > 0)).alias("n"), F.count_if(F.size("writes") > 0).alias("w"))
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("<<[-~]") == 1
+    assert tuple(asked.first()) == (1, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,6 +140,11 @@ def same_table(a: Column, b: Column) -> Column:
     return (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it: within higher-order functions Spark computes it anew each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 #: Contexts of a name in a line of a script, by the first pattern that fits; NAME stands for the name.
 CONTEXTS = (
     ("comment", r"^\s*(#|--|//).*\bNAME\b"), ("temp_view", r"(?i)(createOrReplaceTempView|registerTempTable)\(\s*['\"]NAME['\"]|\bwith\s+NAME\s+as\b"), ("import", r"^(?=.*\bNAME\b)\s*(from\s+\S+\s+)?import\b"),
@@ -156,8 +163,7 @@ def contexts(line: Column, name: Column) -> Column:
             full = F.concat(full, quoted, F.lit(p))
         fits.append(F.when(F.rlike(line, full), label))
     found = F.array_compact(F.array(*fits))
-    named = F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, F.array(F.lit("other"))).otherwise(x))  # found once
-    return F.when(line.contains(name), F.get(named, F.lit(0)))
+    return F.when(line.contains(name), once(found, lambda x: F.when(F.size(x) == 0, F.array(F.lit("other"))).otherwise(x)))
 
 
 def context(line: Column, name: Column) -> Column:

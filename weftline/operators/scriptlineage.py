@@ -6,9 +6,13 @@ walked through once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.scalar import once
+
 #: One part of a script: a comment, a literal (to its own quote; over several lines if it is double or a command's), a here document, or code up to the next of these.
 PART = (
     r"(?s)#[^\n]*+|--[^\n]*+|//[^\n]*+|/\*.*?\*/"
@@ -42,13 +46,19 @@ _ARGUMENT = rf"(?is)(?:{CALLS})\s*([A-Za-z_]\w*)\s*[,)]"
 def _body(part: Column) -> Column:
     """What a literal or here document holds; null for code and comments."""
     here = F.regexp_extract(part, r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1)
-    triple, single = part.rlike(r"^(?:\"{3}|'{3})"), part.rlike(r"(?s)^([\"']).*\1$")
+    triple = part.startswith('"""') | part.startswith("'''")
+    single = (part.startswith('"') & part.endswith('"')) | (part.startswith("'") & part.endswith("'"))
     return F.when(part.startswith("<<"), here).when(triple, F.substr(part, F.lit(4), F.length(part) - 6)).when(single & (F.length(part) >= 2), F.substr(part, F.lit(2), F.length(part) - 2))
 
 
 def _skipped(part: Column) -> Column:
     """Comments stand for nothing, so what they part goes on."""
-    return part.rlike(r"^(?:#|--|//|/\*)")
+    return _holds(part, "#", "--", "//", "/*", by="startswith")
+
+
+def _holds(text: Column, *words: str, by: str = "contains") -> Column:
+    """Whether one of the words is there; far cheaper than a pattern, which then needs to look at few texts."""
+    return reduce(lambda a, b: a | b, (getattr(text, by)(w) for w in words))
 
 
 def executed(text: Column) -> Column:
@@ -66,23 +76,29 @@ def executed(text: Column) -> Column:
         found = F.when(s["sink"] & s["growing"].isNotNull(), F.array_append(s["found"], s["growing"])).otherwise(s["found"])
         return bound, found
 
-    def step(s: Column, part: Column) -> Column:
-        body = _body(part)
+    def coded(s: Column, part: Column) -> Column:
+        def ended(x: Column) -> Column:
+            given = F.when(part.contains("("), F.regexp_extract_all(part, F.lit(_ARGUMENT), F.lit(1))).otherwise(F.array().cast("array<string>"))
+            used = F.filter(F.transform(given, lambda g: x["bound"][g]), lambda v: v.isNotNull())
+            return made(F.concat(F.when(s["growing"].isNull(), s["code"]).otherwise(""), part), none, F.lit(False), none, x["bound"], F.concat(x["found"], used))
+
+        bound, found = closed(s)
+        goes_on = s["growing"].isNotNull() & F.concat(s["code"], part).rlike(_JOINS)
+        return F.when(goes_on, made(F.concat(s["code"], part), s["growing"], s["sink"], s["name"], s["bound"], s["found"])).otherwise(once(F.struct(bound.alias("bound"), found.alias("found")), ended))
+
+    def step(s: Column, x: Column) -> Column:
+        part, body = x["part"], x["body"]
         adds = s["growing"].isNotNull() & s["code"].rlike(_JOINS)
         bound, found = closed(s)
         name = F.nullif(F.regexp_extract(s["code"], _NAMED, 1), F.lit(""))
-        made = lambda code, growing, sink, named, b, f: F.struct(code.alias("code"), growing.alias("growing"), sink.alias("sink"), named.alias("name"), b.alias("bound"), f.alias("found"))
-        empty, none = F.lit(""), F.lit(None).cast("string")
         more = made(empty, F.concat(s["growing"], body), s["sink"], s["name"], s["bound"], s["found"])
         fresh = made(empty, body, s["code"].rlike(_SINK), name, bound, found)
         here = made(empty, none, F.lit(False), none, bound, F.array_append(found, body))
-        given = F.regexp_extract_all(part, F.lit(_ARGUMENT), F.lit(1))
-        used = F.filter(F.transform(given, lambda g: bound[g]), lambda v: v.isNotNull())
-        goes_on = s["growing"].isNotNull() & F.concat(s["code"], part).rlike(_JOINS)
-        code = F.when(goes_on, made(F.concat(s["code"], part), s["growing"], s["sink"], s["name"], s["bound"], s["found"])).otherwise(made(F.concat(F.when(s["growing"].isNull(), s["code"]).otherwise(""), part), none, F.lit(False), none, bound, F.concat(found, used)))
-        return F.when(_skipped(part), s).when(part.startswith("<<") & body.isNotNull(), here).when(body.isNotNull() & adds, more).when(body.isNotNull(), fresh).otherwise(code).cast(kind)
+        return F.when(x["skipped"], s).when(part.startswith("<<") & body.isNotNull(), here).when(body.isNotNull() & adds, more).when(body.isNotNull(), fresh).otherwise(coded(s, part)).cast(kind)
 
-    parts = F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+    made = lambda code, growing, sink, named, b, f: F.struct(code.alias("code"), growing.alias("growing"), sink.alias("sink"), named.alias("name"), b.alias("bound"), f.alias("found"))
+    empty, none = F.lit(""), F.lit(None).cast("string")
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda p: F.struct(p.alias("part"), _body(p).alias("body"), _skipped(p).alias("skipped")))
     return F.aggregate(parts, start, step, lambda s: closed(s)[1])
 
 
@@ -107,11 +123,17 @@ def _name(x: Column) -> Column:
 
 def _statement(sql: Column) -> Column:
     """reads and writes of one lower-case statement without comments."""
-    sql = F.regexp_replace(F.regexp_replace(sql, r"'(?:[^'\\]|\\.|'')*+'", "''"), r"\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", "0")
+    quoted = F.when(sql.contains("'"), F.regexp_replace(sql, r"'(?:[^'\\]|\\.|'')*+'", "''")).otherwise(sql)
+    called = lambda x: F.when(x.contains("("), F.regexp_replace(x, r"\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", "0")).otherwise(x)
+    return once(once(quoted, called), _named_tables)
+
+
+def _named_tables(sql: Column) -> Column:
     lists = F.flatten(F.transform(F.regexp_extract_all(sql, F.lit(_READS), F.lit(1)), lambda x: F.split(x, ",")))
     seen = F.transform(lists, lambda x: _name(F.regexp_extract(x, rf"^\s*({_TABLE})", 1)))
-    target = _name(F.regexp_extract(sql, _WRITES, 1))
-    own = F.concat(F.transform(F.regexp_extract_all(sql, F.lit(_CTE), F.lit(1)), _name), F.array(_name(F.regexp_extract(sql, _VIEW, 1))))
+    target = F.when(_holds(sql, "into", "overwrite", "table", "delete", "update"), _name(F.regexp_extract(sql, _WRITES, 1))).otherwise("")
+    ctes = F.when(_holds(sql, "with", ")") & sql.contains("("), F.transform(F.regexp_extract_all(sql, F.lit(_CTE), F.lit(1)), _name)).otherwise(F.array().cast("array<string>"))
+    own = F.concat(ctes, F.array(F.when(sql.contains("view"), _name(F.regexp_extract(sql, _VIEW, 1))).otherwise("")))
     kept = lambda x: (x != "") & ~x.startswith("$") & ~F.exists(F.split(x, r"\."), lambda p: p.isin(*SYSTEM))
     return F.struct(F.filter(F.array_except(seen, own), kept).alias("reads"), F.filter(F.array(target), kept).alias("writes"))
 
@@ -119,12 +141,11 @@ def _statement(sql: Column) -> Column:
 def tables(sqls: Column) -> Column:
     """reads and writes (sorted, each once; what is written isn't read) of texts with statements: no templates, LONGEST characters at most, names of common table
     expressions and of views left out, and so are engines' own tables, variables and function calls."""
-    fit = F.filter(sqls, lambda x: (F.length(x) <= LONGEST) & ~x.rlike(TEMPLATE) & x.rlike(f"(?is){STATEMENT}"))
-    bare = F.transform(fit, lambda x: F.regexp_replace(F.lower(x), r"(?s)--[^\n]*|/\*.*?\*/", " "))
+    fit = F.filter(sqls, lambda x: (F.length(x) <= LONGEST) & ~(_holds(x, "{", "$", "<") & x.rlike(TEMPLATE)) & x.rlike(f"(?is){STATEMENT}"))
+    bare = F.transform(fit, lambda x: F.when(_holds(x, "--", "/*"), F.regexp_replace(F.lower(x), r"(?s)--[^\n]*|/\*.*?\*/", " ")).otherwise(F.lower(x)))
     each = F.transform(F.flatten(F.transform(bare, lambda x: F.split(x, ";"))), _statement)
-    writes = F.array_sort(F.array_distinct(F.flatten(F.transform(each, lambda x: x["writes"]))))
-    reads = F.array_distinct(F.flatten(F.transform(each, lambda x: x["reads"])))
-    return F.struct(F.array_sort(F.array_except(reads, writes)).alias("reads"), writes.alias("writes"))
+    both = lambda x: F.struct(F.array_distinct(F.flatten(x["reads"])).alias("reads"), F.array_sort(F.array_distinct(F.flatten(x["writes"]))).alias("writes"))
+    return once(once(each, both), lambda x: F.struct(F.array_sort(F.array_except(x["reads"], x["writes"])).alias("reads"), x["writes"].alias("writes")))
 
 
 def script_lineage(scripts: DataFrame, key: str, text: str = "text", gated: bool = True) -> DataFrame:
