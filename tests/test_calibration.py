@@ -84,3 +84,13 @@ def test_grafted_columns(spark):
     exact = c.grafted(tables, columns.union(spark.createDataFrame([(1, "Db.t", ["exact"], 9)], schema)), ["k"])
     assert {r.name: r.columns for r in exact.collect()}["db.t"] == ["exact"]
     assert got(True) == got(False) | {(1, "t"): ["a"], (1, "x.db.t"): ["b"], (1, "w"): ["w"], (2, "v"): ["other key"]}
+
+
+def test_what_several_joins_read_is_computed_once_and_no_pair_comes_twice(spark):
+    names = lambda *x: spark.createDataFrame([(1, n) for n in x], "k long, name string")
+    a, b = ["s", "db.s", "x.db.s", "a.s.s"], ["s", "db.s", "y.s", "x.db.s"]
+    got = sorted((r.name, r.other) for r in c.alike(names(*a), names(*b), ["k"], "other").collect())
+    assert got == sorted((x, y) for x in a for y in b if x == y or x.endswith(f".{y}") or y.endswith(f".{x}"))
+    edges = c.candidates(names(*a), names(*b), "k")
+    covered = c.judged(edges, names("s"), "k")[1]
+    assert "Join" not in covered._jdf.queryExecution().optimizedPlan().toString()
