@@ -98,6 +98,14 @@ def test_line_contexts_of_a_view_line_as_sql_has_them(spark, tmp_path):
     assert [tuple(r) for r in got] == con.execute(corpus.ORACLES["scl_24_line_contexts"]).fetchall() == [(1, 2, 1)]
 
 
+def test_a_hop_makes_what_it_finds_distinct_and_not_all_edges(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    twice = edges(spark).union(edges(spark))
+    assert sorted(tuple(r) for r in graph.reach(twice, spark.createDataFrame([("a",)], "id string"), 2).collect()) == [("a", 0), ("b", 1), ("c", 2), ("e", 2)]
+    assert plans[1].count("Aggregate") == 1
+
+
 def test_ungrounded_names_as_brute_force(spark):
     long = "x" * 60
     docs = [(1, f"select a from {long}1"), (41, "only here"), (2, None), (3, "from b.c")]

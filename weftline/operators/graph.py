@@ -18,7 +18,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst:
     A hop joins what the last one found with the edges and leaves out what was seen; each is checkpointed, and an empty one ends the walk.
     """
     key = key or []
-    step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
+    step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to"))  # an edge may come twice: what a hop finds is made distinct, not the whole table
     seen = front = cut(seeds.select(*key, "id").distinct().withColumn("hop", F.lit(0)))
     for h in range(1, min(depth, MOST_DEPTH) + 1):
         found = front.join(step, F.col("id") == F.col("_from")).select(*key, F.col("_to").alias("id")).distinct()
