@@ -75,3 +75,35 @@ def test_versions_keep_the_last_row_of_a_key(spark):
     assert got(0) == {"a": 0, "b": 0} and got(4) == {"a": 4, "b": 0} and got(7) == {"a": 7, "b": 0, "c": 4}
     v.put(spark.createDataFrame([], "k string, v long"), 6)
     assert got(7) == {"a": 6, "b": 0, "c": 4}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_base_without_changes_is_read_as_it_is(spark):
+    v = Versions(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), ["k"], "k string, v long", every=2)
+    v.start(spark.createDataFrame([("a", 0), ("b", 0), (None, 0), ("b", 0)], "k string, v long"))
+    assert not any(x in _plan(v.before(0)) for x in ("Aggregate", "Join"))
+    v.put(spark.createDataFrame([("a", 1), (None, 1)], "k string, v long"), 0)
+    assert "Aggregate" not in _plan(v.before(1)) and sorted(map(str, ((r.k, r.v) for r in v.before(1).collect()))) == ["('a', 1)", "('b', 0)", "(None, 1)"]
+    v.put(spark.createDataFrame([("c", 2)], "k string, v long"), 1)
+    assert not any(x in _plan(v.before(2)) for x in ("Aggregate", "Join")) and v.before(2).count() == 4
+    v.put(spark.createDataFrame([("d", 2)], "k string, v long"), 1)  # runs again: its base is made anew, not from itself
+    assert sorted(map(str, (r.k for r in v.before(2).collect()))) == ["None", "a", "b", "d"]
+
+
+def test_needs_are_computed_once_for_all_batches(spark, monkeypatch):
+    from weftline.adapt import Tables
+    from weftline.plans import upkeep
+
+    given = []
+
+    class Watched(Maintainer):
+        def __init__(self, spark, root, needs, waiting, every):
+            given.extend((needs(), waiting()))
+            super().__init__(spark, root, needs, waiting, every)
+
+    monkeypatch.setattr(upkeep, "Maintainer", Watched)
+    upkeep._maintained(Tables(spark, "/root/testdata/sf0.001"))
+    assert len(given) == 6 and not any("Relation" in _plan(x) for x in given)  # neither reads the tables again

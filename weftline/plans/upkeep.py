@@ -9,6 +9,7 @@ from weftline.functions import scalar as s
 from weftline.plans.corpus import ACQUIRED
 from weftline.registry import Registry
 from weftline.sources import layered
+from weftline.sources.store import cut
 from weftline.streaming import corpus, progress
 from weftline.streaming.maintainer import Maintainer
 
@@ -35,13 +36,18 @@ def _signals(t):
 
 
 def _maintained(t):
-    """Signals in shuffled order and partly twice, half of them before a stop and the rest after a restart with a maintainer of its own."""
+    """Signals in shuffled order and partly twice, half of them before a stop and the rest after a restart with a maintainer of its own.
+
+    The tables don't change meanwhile, so signals, needs and what waits are computed once and kept.
+    """
     spark, root = t.spark, _folder(t.spark, "maintained")
-    rows = _signals(t).withColumn("_deal", F.pmod(F.xxhash64("instance"), F.lit(6)))
-    stream = lambda: spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
-    begin = lambda: Maintainer(spark, f"{root}/state", lambda: _needs(t), lambda: t.inst().where("state = 'WAITING'").select(F.col("id").cast("string").alias("dependent")), every=2)
+    files = max(8, spark.sparkContext.defaultParallelism)  # of a half, which is a batch
+    rows = cut(_signals(t).withColumn("_deal", F.pmod(F.xxhash64("instance"), F.lit(6))))
+    needs, waiting = cut(_needs(t)), cut(t.inst().where("state = 'WAITING'").select(F.col("id").cast("string").alias("dependent")))
+    stream = lambda: spark.readStream.schema(SIGNALS).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    begin = lambda: Maintainer(spark, f"{root}/state", lambda: needs, lambda: waiting, every=2)
     for deals in ("_deal < 4", "_deal > 2"):
-        rows.where(deals).drop("_deal").repartition(8, "instance").write.mode("append").parquet(f"{root}/in")
+        rows.where(deals).drop("_deal").repartition(files, "instance").write.mode("append").parquet(f"{root}/in")
         keeper = begin()
         keeper.run(stream(), f"{root}/checkpoint").awaitTermination()
     return begin().current()
