@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.sources.store import cut
+from weftline.sources.store import cut, dealt
 
 
 def without(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
@@ -96,9 +96,9 @@ def updated(df: DataFrame, updates: DataFrame, key: str, column: str) -> DataFra
     return df.join(u, key, "left").withColumn(column, F.coalesce("_new", column)).select(df.columns)
 
 
-def upserted(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Both tables, of each key the row that comes first."""
-    return top(old.unionByName(new), key, order, 1)
+def upserted(old: DataFrame, new: DataFrame, key: list[str], order: list[Column], rows: int = 0) -> DataFrame:
+    """Both tables, of each key the row that comes first. ``rows``: about how many there are, so that parts are as many as they ask for."""
+    return top(dealt(old.unionByName(new), rows, *key), key, order, 1)
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

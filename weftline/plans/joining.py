@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import keyed as k
 from weftline.registry import Registry
+from weftline.sources.store import dealt
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -200,8 +201,9 @@ def requested(t):
 
 @_r.query("set_08_merged_edges", "SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM flow UNION ALL SELECT src, dst FROM flow WHERE confidence = 'CONFIRMED') GROUP BY ALL HAVING count(*) >= 1")
 def merged(t):
-    flow = t.flow().select("src", "dst", "confidence")
-    return flow.union(flow.where("confidence = 'CONFIRMED'")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """Confirmed edges count twice, so the union of both tables is one pass over the edges."""
+    twice = F.when(F.col("confidence") == "CONFIRMED", 2).otherwise(1)
+    return dealt(t.flow().select("src", "dst", twice.alias("n")), t.flow_rows(), "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 @_r.query("win_01_latest_version", "SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY coalesce(cents, 0) DESC, id) AS k FROM run) WHERE k = 1")
@@ -240,7 +242,7 @@ _RANK = "CASE confidence WHEN 'CONFIRMED' THEN 0 WHEN 'DECLARED' THEN 1 WHEN 'UN
 
 @_r.query("win_07_priority_wins", f"SELECT dst, src, confidence FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {_RANK}, src, task_id) AS k FROM flow) WHERE k = 1")
 def priority_wins(t):
-    return k.top(t.flow(), ["dst"], [k.confidence_rank(), F.col("src"), F.col("task_id")], 1).select("dst", "src", "confidence")
+    return k.top(dealt(t.flow(), t.flow_rows(), "dst"), ["dst"], [k.confidence_rank(), F.col("src"), F.col("task_id")], 1).select("dst", "src", "confidence")
 
 
 _TIERED = "SELECT priority AS tier, count(*) AS n, count(*) FILTER (WHERE state = 'SUCCESS') AS good FROM run GROUP BY 1"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import filters, graph as g, keyed, tree as tree_order
 from weftline.registry import Registry
+from weftline.sources.store import dealt
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -158,7 +159,7 @@ def corrections(t):
     flow = t.flow()
     action = F.when((F.count("*") % 2 == 0) | (F.col("task_id") % 3 == 0), "REMOVED").otherwise("CONFIRMED")
     found = flow.where("confidence = 'UNVERIFIED'").groupBy("src", "dst", "task_id").agg(action.alias("action")).drop("task_id")
-    return g.corrected(flow.select("src", "dst", "confidence"), found)
+    return g.corrected(dealt(flow.select("src", "dst", "confidence"), t.flow_rows(), "src", "dst"), found)
 
 
 @_r.query("grf_15_cycle_residue", "SELECT count(*) > 0 AS cyclic FROM flow WHERE src = dst")
@@ -209,7 +210,7 @@ def dag_layers(t):
 def merged(t):
     flow = t.flow()
     a = flow.where("src like 'nation:%'").select("src", "dst").distinct().withColumn("hop", F.lit(1))
-    b = flow.where("confidence = 'DECLARED' or src like 'supplier:%'").select("src", "dst").distinct().withColumn("hop", F.lit(2))
+    b = dealt(flow.where("confidence = 'DECLARED' or src like 'supplier:%'").select("src", "dst"), t.flow_rows(), "src", "dst").distinct().withColumn("hop", F.lit(2))
     return g.merged_dependencies(a, b)
 
 
@@ -234,7 +235,7 @@ def preorder(t):
 def correction_write(t):
     flow = t.flow().select("src", "dst", "task_id")
     new = flow.where("task_id % 4 = 2").withColumn("task_id", F.col("task_id") + 1000)
-    return keyed.upserted(flow.where("task_id % 4 <> 1"), new, ["src", "dst"], [F.col("task_id").desc()])
+    return keyed.upserted(flow.where("task_id % 4 <> 1"), new, ["src", "dst"], [F.col("task_id").desc()], t.flow_rows())
 
 
 @_r.query("grf_23_neighbour_tables", f"SELECT id, hop FROM ({_both('nation:9', 2)}) WHERE hop > 0 ORDER BY hop, id LIMIT 100")

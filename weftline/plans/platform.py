@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftline.operators import keyed, sqllineage as sl
 from weftline.registry import Registry
 from weftline.sources import connectors
-from weftline.sources.store import folder
+from weftline.sources.store import dealt, folder
 from weftline.streaming import outbox
 
 _r = Registry()
@@ -115,7 +115,7 @@ def cross_check(t):
 
 @_r.query("lin_13_channel_merge", "SELECT dst, src, task_id FROM (SELECT dst, src, task_id, row_number() OVER (PARTITION BY dst, src ORDER BY task_id % 4, task_id) AS k FROM flow) WHERE k = 1")
 def channel_merge(t):
-    return keyed.top(t.flow(), ["dst", "src"], [F.col("task_id") % 4, F.col("task_id")], 1).select("dst", "src", "task_id")
+    return keyed.top(dealt(t.flow(), t.flow_rows(), "dst", "src"), ["dst", "src"], [F.col("task_id") % 4, F.col("task_id")], 1).select("dst", "src", "task_id")
 
 
 @_r.query("lin_15_grounding", f"SELECT dst, src, CASE WHEN x = 'PRESENT' AND confidence = 'UNVERIFIED' THEN 'CONFIRMED' ELSE confidence END AS confidence FROM (SELECT c.*, CASE WHEN p_partkey % 5 = 0 THEN 'ABSENT' WHEN p_partkey % 5 = 1 THEN 'UNKNOWN' ELSE 'PRESENT' END AS x FROM ({_CHECKED}) c LEFT JOIN part ON 'part:' || p_partkey = c.dst) WHERE NOT (coalesce(x = 'ABSENT', false) AND confidence = 'UNVERIFIED')")
