@@ -7,21 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.sources.store import cut
+from weftline.sources.store import cut, dealt
 
 MOST_DEPTH, MOST_NODES, MOST_PATHS = 20, 2000, 200
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", key: list[str] | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst", key: list[str] | None = None, inside: bool = False) -> DataFrame:
     """(key..., id, hop) of what edges lead to from the seeds (key..., id) within ``depth`` hops, the seeds at hop 0; the least hop of each.
 
-    A hop joins what the last one found with the edges and leaves out what was seen; each is checkpointed, and an empty one ends the walk.
+    ``inside``: edges have the key too, and lead on within it. A hop joins what the last one found with the edges and leaves out what was seen; each is
+    checkpointed, and an empty one ends the walk. Edges are read once a hop, so those that take work to make should be cut before.
     """
     key = key or []
-    step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to"))  # an edge may come twice: what a hop finds is made distinct, not the whole table
+    on = [*key, "id"] if inside else ["id"]
+    step = edges.select(*on[:-1], F.col(src).alias("id"), F.col(dst).alias("_to"))  # an edge may come twice: what a hop finds is made distinct, not the whole table
     seen = front = cut(seeds.select(*key, "id").distinct().withColumn("hop", F.lit(0)))
     for h in range(1, min(depth, MOST_DEPTH) + 1):
-        found = front.join(step, F.col("id") == F.col("_from")).select(*key, F.col("_to").alias("id")).distinct()
+        found = front.join(step, on).select(*key, F.col("_to").alias("id")).distinct()
         front = cut(found.join(seen, [*key, "id"], "left_anti").withColumn("hop", F.lit(h)))
         if front.isEmpty():
             break
@@ -103,9 +105,12 @@ def task_levels(edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
 
     ``edges`` (src, dst, task_id): a task reads src and writes dst. The task itself is left out; the least level of each.
     """
-    writes = edges.select("task_id", F.col("dst").alias("id")).distinct()
-    reads = edges.select(F.col("task_id").alias("other"), F.col("src").alias("id")).distinct()
-    near = reach(edges, writes, depth, key=["task_id"])
+    src, dst = edges.select(F.col("src").alias("id")).distinct(), edges.select(F.col("dst").alias("id")).distinct()
+    mid = cut(src.join(dst, "id", "left_semi"))  # all that is written and read: nothing else has a reader or leads to one
+    of = lambda df, *sides: reduce(lambda d, c: d.join(mid.withColumnRenamed("id", c), c, "left_semi"), sides, df)
+    writes = of(edges.select("task_id", "dst"), "dst").select("task_id", F.col("dst").alias("id")).distinct()
+    reads = of(edges.select("task_id", "src"), "src").select(F.col("task_id").alias("other"), F.col("src").alias("id")).distinct()
+    near = reach(cut(of(edges.select("src", "dst"), "src", "dst").distinct()), writes, depth, key=["task_id"])
     return near.join(reads, "id").where("other <> task_id").groupBy("task_id", "other").agg((F.min("hop") + 1).alias("level"))
 
 
@@ -154,21 +159,43 @@ def closed_path(edges: DataFrame) -> DataFrame:
     return placed.unionByName(left.where("left = 0").join(n).select(F.col("n").alias("place"), "id"))
 
 
+def _led(edges: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """Edges that known nodes (key..., id) lead to."""
+    while True:
+        inside = edges.join(known.withColumnRenamed("id", "src"), [*key, "src"], "left_semi")
+        more = cut(inside.select(*key, F.col("dst").alias("id")).distinct().join(known, [*key, "id"], "left_anti"))
+        if more.where("id is not null").isEmpty():
+            return cut(inside)
+        known = cut(known.unionByName(more))
+
+
 def layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, key: list[str] | None = None) -> DataFrame:
     """(key..., id, layer, x) of a graph without cycles: the longest path that leads to each node, and where that stands in a layout.
 
-    Goes on until no layer grows; a graph with a cycle, in which none would stop to grow, is a ValueError. ``rounds`` bounds the paths instead.
+    One peeling gives both: an edge is left after as many rounds as the longest path to its start has edges, so that a node is as deep as the last round in which
+    an edge still leads to it. A graph with a cycle, of which edges never go, is a ValueError. ``rounds`` bounds the paths instead.
     """
     key = key or []
-    if rounds is None and not peeled(edges, key=key).isEmpty():
-        raise ValueError("the graph has a cycle")
-    level, total, done = nodes.select(*key, "id").withColumn("layer", F.lit(0)), 0, 0
-    while rounds is None or done < rounds:
-        up = level.join(edges.withColumnRenamed("src", "id"), [*key, "id"]).select(*key, F.col("dst").alias("id"), (F.col("layer") + 1).alias("layer"))
-        level = cut(level.unionByName(up).groupBy(*key, "id").agg(F.max("layer").alias("layer")))
-        before, total, done = total, level.agg(F.struct(F.count("*"), F.coalesce(F.sum("layer"), F.lit(0)))).first()[0], done + 1
-        if total == before:
+    known = cut(nodes.select(*key, "id").distinct())
+    at = known.select(*key, F.col("id").alias("src"), F.lit(True).alias("_known"))
+    left = cut(edges.select(*key, "src", "dst").distinct().join(at, [*key, "src"], "left"))
+    if not left.where("_known is null").isEmpty():  # edges that begin outside count only if nodes lead there
+        if rounds is None and not peeled(left, key=key).isEmpty():
+            raise ValueError("the graph has a cycle")
+        left = _led(left, known, key)
+    left = left.drop("_known")
+    deep, n, rows, done = [known.withColumn("layer", F.lit(0))], left.count(), 0, 0
+    while n and (rounds is None or done < rounds):
+        rows, done = rows + n, done + 1
+        deep.append(left.select(*key, F.col("dst").alias("id"), F.lit(done).alias("layer")))
+        left = cut(left.join(left.select(*key, F.col("dst").alias("src")), [*key, "src"], "left_semi"))
+        before, n = n, left.count()
+        if n == before:
+            if rounds is None:
+                raise ValueError("the graph has a cycle")
+            deep.append(left.select(*key, F.col("dst").alias("id"), F.lit(rounds).alias("layer")))
             break
+    level = dealt(reduce(DataFrame.unionByName, deep), 2 * rows, *key, "id").groupBy(*key, "id").agg(F.max("layer").alias("layer"))
     return level.withColumn("x", 50 + 220 * F.col("layer"))
 
 

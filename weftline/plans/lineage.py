@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import filters, graph as g, keyed, tree as tree_order
 from weftline.registry import Registry
-from weftline.sources.store import dealt
+from weftline.sources.store import cut, dealt
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -149,9 +149,9 @@ def task_levels_up(t):
 
 
 def _tasks(t):
-    flow = t.flow()
-    parts = [flow.where("src like 'nation:%' and dst like 'supplier:%'"), flow.where("src like 'supplier:%'").withColumn("task_id", F.col("task_id") + 100)]
-    return parts[0].union(parts[1]).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "task_id").distinct()
+    flow = t.flow().where("src like 'supplier:%' or src like 'nation:%' and dst like 'supplier:%'")
+    later = F.when(F.col("src").startswith("supplier:"), 100).otherwise(0)
+    return flow.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), (F.col("task_id") + later).alias("task_id"))
 
 
 @_r.query("grf_14_corrections", "SELECT f.src, f.dst, f.confidence, coalesce(c.action = 'CONFIRMED', false) AS confirmed FROM flow f LEFT JOIN (SELECT src, dst, CASE WHEN count(*) % 2 = 0 OR task_id % 3 = 0 THEN 'REMOVED' ELSE 'CONFIRMED' END AS action FROM flow WHERE confidence = 'UNVERIFIED' GROUP BY src, dst, task_id) c USING (src, dst) WHERE c.action IS NULL OR c.action <> 'REMOVED'")
@@ -189,16 +189,14 @@ def closure(t):
 
 
 def _per_run(edges, seeds, src, dst, depth):
-    """Reach within each run: node names carry the run, so that a hop is one equi-join."""
-    named = edges.select(F.concat_ws("/", "run_id", src).alias("src"), F.concat_ws("/", "run_id", dst).alias("dst"))
-    found = g.reach(named, seeds.select(F.concat_ws("/", "run_id", "id").alias("id")), depth)
-    return found.select(F.substring_index("id", "/", 1).cast("long").alias("run_id"), F.substring_index("id", "/", -1).cast("int").alias("id"), "hop")
+    """Reach within each run. Edges are made once, not for each hop."""
+    return g.reach(cut(edges), seeds, depth, src, dst, key=["run_id"], inside=True)
 
 
 @_r.query("grf_18_frozen_downstream", "SELECT a.run_id, a.node, a.rank - b.rank AS hop FROM dag_node a JOIN (SELECT run_id, min(rank) AS rank FROM dag_node WHERE strength = 'WEAK' GROUP BY 1) b ON a.run_id = b.run_id AND a.rank >= b.rank")
 def frozen(t):
     seeds = t.dag_node().where("strength = 'WEAK'").groupBy("run_id").agg(F.min("node").alias("id"))
-    return _per_run(t.dag_edge(), seeds, "src", "dst", 7).select("run_id", F.col("id").alias("node"), "hop")
+    return _per_run(t.dag_edge().select("run_id", "src", "dst"), seeds, "src", "dst", 7).select("run_id", F.col("id").alias("node"), "hop")
 
 
 @_r.query("grf_19_layers", "SELECT run_id, node, rank - 1 AS layer, 50 + 220 * (rank - 1) AS x FROM dag_node")
