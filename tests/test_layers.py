@@ -48,6 +48,22 @@ def test_cycles_and_no_nodes(spark):
     assert tree.preorder(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_leaves_take_one_step_and_ended_steps_are_spread(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tree, "cut", lambda df, keep=tree.cut: made.append(keep(df)) or made[-1])
+    rows = [(0, None, None, None)] + [(k, 0, None, None) for k in range(1, 2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted((x.id, x.place, x.depth) for x in tree.preorder(spark.createDataFrame(rows, SCHEMA)).collect()) == plain(rows)
+        steps, last = made[1], made[-1].groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert steps.count() == 2001  # the root is entered and left
+    assert max(r["count"] for r in made[-2].groupBy(F.spark_partition_id()).count().collect()) < 1000 and max(r["count"] for r in last) < 1000
+
+
 def test_layers_ask_the_source_for_the_rest_alone(spark):
     asked = []
     known = spark.createDataFrame([("l1", ["a"]), ("l2", ["b"])], "name string, columns array<string>")

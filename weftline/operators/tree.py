@@ -27,14 +27,17 @@ def preorder(nodes: DataFrame, key: str = "id", parent: str = "parent", sort: st
     above = rows.select(F.col("_id").alias("_parent"), F.col("_n").alias("_up"))
     linked = rows.join(after, "_n", "left").join(child, "_id", "left").join(above, "_parent", "left")
     sibling = F.when(F.col("_sib_parent").eqNullSafe(F.col("_parent")), F.col("_sib"))  # step 2n enters node n, step 2n + 1 leaves it
-    enter = linked.select((2 * F.col("_n")).alias("step"), F.coalesce(2 * F.col("_child"), 2 * F.col("_n") + 1).alias("to"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper"))
-    leave = linked.select((2 * F.col("_n") + 1).alias("step"), F.coalesce(2 * sibling, 2 * F.col("_up") + 1).alias("to"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"))
+    back = F.coalesce(2 * sibling, 2 * F.col("_up") + 1)
+    inner = F.col("_child").isNotNull()  # a node without children is entered and left in one step
+    enter = linked.select((2 * F.col("_n")).alias("step"), F.when(inner, 2 * F.col("_child")).otherwise(back).alias("to"), F.lit(1).cast("long").alias("entered"), F.when(inner, 1).otherwise(0).cast("long").alias("deeper"))
+    leave = linked.where(inner).select((2 * F.col("_n") + 1).alias("step"), back.alias("to"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"))
     state, rounds = cut(enter.union(leave)), max(1, 2 * rows.count()).bit_length()
     for _ in range(rounds):
         if state.where("to is not null").isEmpty():
             break
-        far = state.select(F.col("step").alias("to"), F.col("to").alias("_to"), F.col("entered").alias("_e"), F.col("deeper").alias("_d"))
-        state = cut(state.join(far, "to", "left").select("step", F.col("_to").alias("to"), (F.col("entered") + F.coalesce("_e", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_d", F.lit(0))).alias("deeper")))
+        far = state.select(F.col("step").alias("_at"), F.col("to").alias("_to"), F.col("entered").alias("_e"), F.col("deeper").alias("_d"))
+        at = state.withColumn("_at", F.coalesce("to", -1 - F.col("step")))  # steps that lead to the end find nothing, but are spread over tasks as others are
+        state = cut(at.join(far, "_at", "left").select("step", F.col("_to").alias("to"), (F.col("entered") + F.coalesce("_e", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_d", F.lit(0))).alias("deeper")))
     ended = state.where("to is null and step % 2 = 0").select((F.col("step") / 2).cast("long").alias("_n"), "entered", "deeper")
     whole = ended.agg(F.max("entered").alias("_all"))
     found = rows.join(ended, "_n").join(F.broadcast(whole))  # one row
